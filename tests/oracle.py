@@ -1,0 +1,47 @@
+"""Compare a query's rows with those of its SQL twin."""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+from datetime import datetime
+from pathlib import Path
+
+import duckdb
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for file in sorted(Path(sf_dir).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
+    return con
+
+
+def _plain(value):
+    if isinstance(value, float):
+        return None if math.isnan(value) else round(value, 9)
+    if isinstance(value, datetime):
+        return value.replace(tzinfo=None)
+    return value
+
+
+def as_bag(names: list[str], rows) -> Counter:
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return Counter(tuple(_plain(row[i]) for i in order) for row in rows)
+
+
+def difference(df, con: duckdb.DuckDBPyConnection, sql: str) -> str:
+    """Empty if names and rows agree."""
+    cursor = con.execute(sql)
+    names = [column[0] for column in cursor.description]
+    if sorted(names) != sorted(df.columns):
+        return f"columns {sorted(df.columns)} against {sorted(names)}"
+    want = as_bag(names, cursor.fetchall())
+    got = as_bag(df.columns, df.collect())
+    if want == got:
+        return ""
+    missing, extra = want - got, got - want
+    return (
+        f"{sum(got.values())} rows against {sum(want.values())}; "
+        f"missing {list(missing.items())[:3]}; extra {list(extra.items())[:3]}"
+    )
