@@ -30,28 +30,27 @@ def _packaged() -> list[tuple[str, str, str]]:
 def load_crosswalk(spark: SparkSession, path: str | None = None) -> DataFrame:
     """The call-type dictionary: the packaged one, or CSV files at ``path``.
 
-    The files have the header ``dataset,call_type,common_call_type``.
-
-    Codes are trimmed. A text may occur once per dataset, so the join cannot add rows.
-    The broadcast hint is set here, where the number of rows is known.
+    The files have the header ``dataset,call_type,common_call_type``. Codes are trimmed.
     """
     if path is None:
-        raw = spark.createDataFrame(_packaged(), CROSSWALK_SCHEMA)
-    else:
-        raw = spark.read.csv(path, schema=CROSSWALK_SCHEMA, header=True, comment="#")
+        return crosswalk_of(spark, _packaged())
+    raw = spark.read.csv(path, schema=CROSSWALK_SCHEMA, header=True, comment="#")
+    size = raw.groupBy("dataset", "call_type").count().agg(F.sum("count"), F.count(F.lit(1))).first()
+    return _checked(raw, rows=size[0] or 0, keys=size[1])
+
+
+def crosswalk_of(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    """A dictionary from ``(dataset, call type, code)`` entries."""
+    frame = spark.createDataFrame(rows, CROSSWALK_SCHEMA).coalesce(1)
+    return _checked(frame, rows=len(rows), keys=len({row[:2] for row in rows}))
+
+
+def _checked(raw: DataFrame, rows: int, keys: int) -> DataFrame:
+    """Refuse a repeated key, so that the join cannot add rows; broadcast only what is small."""
+    if rows != keys:
+        raise ValueError(f"call-type dictionary has {rows} rows for {keys} call types")
     crosswalk = raw.withColumn("common_call_type", F.trim("common_call_type"))
-    return checked(crosswalk)
-
-
-def checked(crosswalk: DataFrame) -> DataFrame:
-    """Refuse a dictionary with a repeated key; hint a broadcast only if it is small."""
-    per_key = crosswalk.groupBy("dataset", "call_type").count()
-    size = per_key.agg(
-        F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("keys")
-    ).first()
-    if size["rows"] != size["keys"]:
-        raise ValueError(f"call-type dictionary repeats {size['rows'] - size['keys']} keys")
-    return F.broadcast(crosswalk) if size["rows"] <= BROADCAST_ROWS else crosswalk
+    return F.broadcast(crosswalk) if rows <= BROADCAST_ROWS else crosswalk
 
 
 def map_call_type(df: DataFrame, crosswalk: DataFrame, type_col: str) -> DataFrame:

@@ -26,7 +26,7 @@ from callharmony.operators import (
     page_counts,
     upsert,
 )
-from callharmony.operators.crosswalk import CROSSWALK_SCHEMA, checked, load_crosswalk
+from callharmony.operators.crosswalk import crosswalk_of, load_crosswalk
 from callharmony.plans.jobs import audit, harmonize, run, run_all
 from callharmony.schema import CALL_SCHEMA
 from callharmony.session import workspace
@@ -91,8 +91,7 @@ EVENT_CODES = {"click": "SUSP", "view": "INFO", "purchase": "LARCENY", "error":
 
 
 def event_crosswalk(spark: SparkSession, dataset: str) -> DataFrame:
-    rows = [(dataset, text, code) for text, code in EVENT_CODES.items()]
-    return checked(spark.createDataFrame(rows, CROSSWALK_SCHEMA))
+    return crosswalk_of(spark, [(dataset, text, code) for text, code in EVENT_CODES.items()])
 
 
 def event_code_sql(column: str) -> str:
@@ -357,7 +356,7 @@ PRIORITY_CODES = {"1-URGENT": "911H", "2-HIGH": "ASSIST", "3-MEDIUM": "INFO", "5
 def crosswalk_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     codes = [("Orders", text, code) for text, code in PRIORITY_CODES.items()]
-    crosswalk = checked(spark.createDataFrame(codes, CROSSWALK_SCHEMA))
+    crosswalk = crosswalk_of(spark, codes)
     return map_call_type(label(orders, "Orders"), crosswalk, "o_orderpriority").drop("dataset")
 
 

@@ -16,7 +16,6 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -67,27 +66,24 @@ def page_order(runs: int) -> Sequence[str]:
 
 
 class CallTable:
-    """One table at ``path``, in storage that all executors share. One writer at a time."""
+    """One table at ``path``, in storage that all executors share. One writer at a time.
+
+    A table that is not there yet begins as an empty version 0.
+    """
 
     def __init__(self, spark: SparkSession, path: str, max_pending: int = 64):
         self.spark = spark
         self.path = path.rstrip("/")
         self.max_pending = max_pending
+        self._write_manifest(State(), "ignore")
 
     # Reading
 
     def state(self, version: int | None = None) -> State:
         """The live parts of a version, the newest by default: a few rows per dataset."""
-        try:
-            manifest = self.spark.read.schema(f"{MANIFEST_SCHEMA}, version INT").json(f"{self.path}/manifest")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return State()
+        manifest = self.spark.read.schema(f"{MANIFEST_SCHEMA}, version INT").json(f"{self.path}/manifest")
         if version is None:
             version = manifest.agg(F.max("version")).first()[0]
-            if version is None:
-                return State()
         rows = manifest.where(F.col("version") == version).collect()
         return State(
             version=version,
@@ -203,11 +199,14 @@ class CallTable:
         return [Part(dataset, part, False, min(ids), max(ids)) for dataset, ids in runs.items()]
 
     def _commit(self, state: State) -> int:
-        version = state.version + 1
+        """Make ``state`` the next version; a second writer of that version fails here."""
+        state = replace(state, version=state.version + 1)
+        self._write_manifest(state, "errorifexists")
+        return state.version
+
+    def _write_manifest(self, state: State, mode: str) -> None:
         rows = [{"kind": "head"}]
         rows += [{"kind": "part", **vars(p)} for p in state.parts]
         rows += [{"kind": "stream", "stream": s, "batch_id": b} for s, b in state.batches.items()]
         manifest = self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
-        # One file, and never over an existing version: a second writer fails here.
-        manifest.write.mode("errorifexists").json(f"{self.path}/manifest/version={version}")
-        return version
+        manifest.write.mode(mode).json(f"{self.path}/manifest/version={state.version}")

@@ -64,27 +64,15 @@ def body_rows(spec: SourceSpec, body: str) -> tuple[list[dict], bool]:
 
 
 class PagedReader(DataSourceReader):
-    def __init__(self, spec: SourceSpec, fetch: Fetch, schema: StructType, options: dict[str, str]):
+    def __init__(self, spec: SourceSpec, fetch: Fetch, schema: StructType, options: dict[str, str], as_rows: bool):
         self.spec = replace(spec, page_size=int(options.get("page_size", spec.page_size or 0)))
         self.fetch = fetch
         self.schema = schema
-        self.as_rows = [name.lower() for name in schema.names] != ["page_seq", "body"]
+        self.as_rows = as_rows
         self.total = int(options["total"]) if "total" in options else None
         self.pages_per_task = int(options.get("pages_per_task", 16))
         self.where = ""
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Send time bounds with the request. Spark still applies every filter itself."""
-        time_columns = {name.lower() for name in self.spec.time.columns}
-        bounds = []
-        for each in filters:
-            sign = SIGNS.get(type(each))
-            if self.as_rows and sign and ".".join(each.attribute).lower() in time_columns:
-                value = each.value
-                bounds.append(f"{each.attribute[-1]} {sign} {value if isinstance(value, int) else repr(str(value))}")
-            yield each
-        self.where = " AND ".join(bounds)
-
     def partitions(self) -> list[OffsetRange]:
         """Ranges of whole pages, the last one open, so that rows added meanwhile are read too.
 
@@ -129,6 +117,24 @@ class PagedReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
 
+class FilteredReader(PagedReader):
+    """Rows with range filters on the time column sent along; Spark still applies every filter itself.
+
+    Filters reach a Python source only with ``spark.sql.python.filterPushdown.enabled``.
+    """
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        time_columns = {name.lower() for name in self.spec.time.columns}
+        bounds = []
+        for each in filters:
+            sign = SIGNS.get(type(each))
+            if sign and ".".join(each.attribute).lower() in time_columns:
+                value = each.value
+                bounds.append(f"{each.attribute[-1]} {sign} {value if isinstance(value, int) else repr(str(value))}")
+            yield each
+        self.where = " AND ".join(bounds)
+
+
 def paged_source(spec: SourceSpec, fetch: Fetch = http_fetch, name: str = "paged") -> type[DataSource]:
     """A data source class for one source, with the function that sends a request."""
 
@@ -141,7 +147,9 @@ def paged_source(spec: SourceSpec, fetch: Fetch = http_fetch, name: str = "paged
             return BODY_SCHEMA
 
         def reader(self, schema: StructType) -> DataSourceReader:
-            return PagedReader(spec, fetch, schema, dict(self.options))
+            as_rows = [name.lower() for name in schema.names] != ["page_seq", "body"]
+            reader = FilteredReader if as_rows else PagedReader
+            return reader(spec, fetch, schema, dict(self.options), as_rows)
 
     return Paged
 
