@@ -7,10 +7,10 @@ from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from callharmony.schema import CROSSWALK_SCHEMA
+from callharmony.session import local_frame
 from callharmony.sources.specs import SPECS
 
-CROSSWALK_SCHEMA = "dataset STRING, call_type STRING, common_call_type STRING"
-
 # Above this many rows a dictionary is joined without a broadcast hint.
 BROADCAST_ROWS = 100_000
 
@@ -41,7 +41,8 @@ def load_crosswalk(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 def crosswalk_of(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
     """A dictionary from ``(dataset, call type, code)`` entries."""
-    frame = spark.createDataFrame(rows, CROSSWALK_SCHEMA).coalesce(1)
+    entries = [dict(zip(CROSSWALK_SCHEMA.names, row, strict=True)) for row in rows]
+    frame = local_frame(spark, entries, CROSSWALK_SCHEMA)
     return _checked(frame, rows=len(rows), keys=len({row[:2] for row in rows}))
 
 

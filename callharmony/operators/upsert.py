@@ -35,8 +35,8 @@ def delete_matching(target: DataFrame, keys_df: DataFrame, keys: Sequence[str] =
 
 
 def empty_like(df: DataFrame) -> DataFrame:
-    """No rows, same columns."""
-    return df.sparkSession.createDataFrame([], df.schema)
+    """No rows, same columns; the optimizer drops whatever made them."""
+    return df.limit(0)
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

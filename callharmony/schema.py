@@ -33,6 +33,9 @@ KEYS = ("dataset", "call_id")
 # Which page a row came from. Later runs, then later pages, supersede earlier ones.
 ORDER = ("run_id", "page_seq")
 
+# The call-type dictionary.
+CROSSWALK_SCHEMA = StructType(fields("dataset", "call_type", "common_call_type", dtype=StringType()))
+
 # One response body as it was fetched.
 PAGE_SCHEMA = StructType(
     [

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "callharmony", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,3 +44,9 @@ def workspace(spark: SparkSession, purpose: str) -> str:
         shared = tempfile.mkdtemp(prefix="callharmony-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/callharmony/{purpose}-{uuid.uuid4().hex}"
+
+
+def local_frame(spark: SparkSession, rows: list[dict], schema: StructType) -> DataFrame:
+    """A few rows held by the driver. As Arrow data they are a local relation, not a Spark job."""
+    columns = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=columns), schema)

@@ -11,25 +11,41 @@ that fails before its manifest leaves the table as it was.
 
 from __future__ import annotations
 
+import dataclasses
+import re
 import uuid
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    BooleanType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from callharmony.operators.project import conform
 from callharmony.operators.upsert import delete_matching, empty_like, fold_pages
-from callharmony.schema import CALL_SCHEMA, KEYS, ORDER
+from callharmony.schema import CALL_SCHEMA, KEYS, ORDER, fields
+from callharmony.session import local_frame
 
 # A stored row also knows its page, so that pages may be added in any order.
-STORED_SCHEMA = StructType([*CALL_SCHEMA.fields]).add("run_id", "string").add("page_seq", "integer")
-PART_SCHEMA = StructType([*STORED_SCHEMA.fields]).add("part", "string")
-MANIFEST_SCHEMA = (
-    "kind STRING, dataset STRING, part STRING, pending BOOLEAN, first_run STRING, last_run STRING, "
-    "stream STRING, batch_id BIGINT"
+STORED_SCHEMA = StructType(
+    [*CALL_SCHEMA.fields, StructField("run_id", StringType()), StructField("page_seq", IntegerType())]
+)
+PART_SCHEMA = StructType([*STORED_SCHEMA.fields, StructField("part", StringType())])
+MANIFEST_SCHEMA = StructType(
+    [
+        *fields("kind", "dataset", "part", "first_run", "last_run", "stream", dtype=StringType()),
+        StructField("pending", BooleanType()),
+        StructField("batch_id", LongType()),
+    ]
 )
+VERSION_PATTERN = re.compile(r"/manifest/version=(\d+)/")
 
 
 @dataclass(frozen=True)
@@ -45,7 +61,7 @@ class Part:
 class State:
     version: int = 0
     parts: tuple[Part, ...] = ()
-    batches: dict[str, int] = field(default_factory=dict)
+    batches: dict[str, int] = dataclasses.field(default_factory=dict)
 
     def of(self, datasets: Iterable[str | None]) -> list[Part]:
         wanted = set(datasets)
@@ -81,10 +97,11 @@ class CallTable:
 
     def state(self, version: int | None = None) -> State:
         """The live parts of a version, the newest by default: a few rows per dataset."""
-        manifest = self.spark.read.schema(f"{MANIFEST_SCHEMA}, version INT").json(f"{self.path}/manifest")
+        manifest = self.spark.read.schema(MANIFEST_SCHEMA)
         if version is None:
-            version = manifest.agg(F.max("version")).first()[0]
-        rows = manifest.where(F.col("version") == version).collect()
+            files = manifest.json(f"{self.path}/manifest").inputFiles()
+            version = max(int(VERSION_PATTERN.search(file).group(1)) for file in files)
+        rows = manifest.json(f"{self.path}/manifest/version={version}").collect()
         return State(
             version=version,
             parts=tuple(
@@ -100,7 +117,7 @@ class CallTable:
     def _scan(self, parts: Sequence[Part]) -> DataFrame:
         """Exactly these parts; part and dataset are folders, so nothing else is listed or read."""
         if not parts:
-            return self.spark.createDataFrame([], STORED_SCHEMA)
+            return local_frame(self.spark, [], STORED_SCHEMA)
         ids = sorted({p.part for p in parts})
         live = [
             (F.col("part") == part) & _in_datasets(p.dataset for p in parts if p.part == part) for part in ids
@@ -175,8 +192,8 @@ class CallTable:
 
     def clear_staging(self, name: str) -> None:
         """Leave an empty staging folder behind."""
-        path = self._staging(name)
-        empty_like(self.spark.read.parquet(path)).write.mode("overwrite").parquet(path)
+        staged = self.spark.read.schema(STORED_SCHEMA).parquet(self._staging(name))
+        empty_like(staged).write.mode("overwrite").parquet(self._staging(name))
 
     def _staging(self, name: str) -> str:
         return f"{self.path}/staging/{name}"
@@ -208,5 +225,5 @@ class CallTable:
         rows = [{"kind": "head"}]
         rows += [{"kind": "part", **vars(p)} for p in state.parts]
         rows += [{"kind": "stream", "stream": s, "batch_id": b} for s, b in state.batches.items()]
-        manifest = self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
+        manifest = local_frame(self.spark, rows, MANIFEST_SCHEMA).coalesce(1)
         manifest.write.mode(mode).json(f"{self.path}/manifest/version={state.version}")

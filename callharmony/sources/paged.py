@@ -105,7 +105,7 @@ class PagedReader(DataSourceReader):
 
     def _batch(self, rows: list[dict]) -> pa.RecordBatch:
         lowered = [{name.lower(): value for name, value in row.items()} for row in rows]
-        arrow = to_arrow_schema(self.schema, timezone="UTC")
+        arrow = to_arrow_schema(self.schema)
         text = pa.types.is_string
         columns = [
             pa.array(
