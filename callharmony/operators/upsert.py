@@ -56,13 +56,15 @@ def fold_pages(df: DataFrame, keys: Sequence[str] = KEYS, seq: str | Sequence[st
     null key, spread over as many partitions as they have pages.
     """
     seq = [seq] if isinstance(seq, str) else list(seq)
+    # The maximum of one number is a hash aggregate, that of a struct has to sort.
+    last = F.max(seq[0]) if len(seq) == 1 else F.max(F.struct(*seq))
     latest = (
         df.where(~has_null_key(keys))
         .groupBy(*keys)
-        .agg(F.max(F.struct(*seq)).alias("_last"))
+        .agg(last.alias("_last"))
         .select(
             *[F.col(k).alias(f"_key_{k}") for k in keys],
-            *[F.col(f"_last.{s}").alias(f"_last_{s}") for s in seq],
+            *[(F.col("_last") if len(seq) == 1 else F.col(f"_last.{s}")).alias(f"_last_{s}") for s in seq],
             F.lit(True).alias("_is_last"),
         )
     )

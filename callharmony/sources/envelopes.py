@@ -6,8 +6,10 @@ field is skipped by the JSON parser. A body without the expected row array gives
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType
@@ -38,6 +40,15 @@ class Envelope:
             inside = f"`{parent}`: struct<{inside}>"
         return f"struct<{inside}>"
 
+    def text(self, body: Column) -> Column:
+        """The body, or null if it is one object where an array is due; Spark would take it for a row."""
+        if self.array_path is not None:
+            return body
+        return F.when(F.ltrim(body, F.lit(" \t\r\n")).startswith("["), body)
+
+    def parse(self, row_type: str) -> Column:
+        return F.from_json(self.text(F.col("body")), self.schema(row_type))
+
     def rows(self, parsed: Column) -> Column:
         return at_path(parsed, self.array_path)
 
@@ -84,11 +95,6 @@ def unwrap(
     return df.select(*keep, element).select(*keep, fields)
 
 
-def spellings(name: str) -> list[str]:
-    """The letter cases in which a field is looked for; JSON names are matched exactly."""
-    return list(dict.fromkeys([name, name.lower(), name.upper(), name.title()]))
-
-
 def parse_rows(
     pages: DataFrame,
     envelope: Envelope,
@@ -99,38 +105,75 @@ def parse_rows(
     """The named fields of every row as text, with the page they came from.
 
     Text is the one type that holds whatever a page sends: an id may be a number on one
-    page and a string on the next. A field is taken from whichever spelling the row has.
+    page and a string on the next. Names match in any letter case, as long as a page spells
+    a name in one way; ``aliases`` are further spellings for the quick parse.
     """
-    variants = {
-        name: list(dict.fromkeys([*spellings(name), *(aliases or {}).get(name, ())])) for name in fields
-    }
-    sent = [(name, spelling) for name, found in variants.items() for spelling in found]
+    fields = list(fields)
+    sent = [(name, spelling) for name in fields for spelling in (name, *(aliases or {}).get(name, ()))]
     # Spark resolves names in any case, so spellings of one name are told apart by position.
-    row_type = "struct<{}>".format(", ".join(f"`{spelling}`: string" for _, spelling in sent))
     by_position = "struct<{}>".format(", ".join(f"f{i}: string" for i in range(len(sent))))
-    picked = [
-        F.coalesce(*[F.col(f"_row.f{i}") for i, (owner, _) in enumerate(sent) if owner == name]).alias(name)
-        for name in variants
-    ]
-    body = F.from_json("body", envelope.schema(row_type))
-    element = F.explode(envelope.rows(body)).alias("_element")
+    positions = {name: [i for i, (owner, _) in enumerate(sent) if owner == name] for name in fields}
+
+    exact = envelope.parse("struct<{}>".format(", ".join(f"`{spelling}`: string" for _, spelling in sent)))
+    element = f"struct<row: {by_position}>" if envelope.row_field else by_position
+    parsed = pages.select(*keep, "body", envelope.rows(exact).cast(f"array<{element}>").alias("_rows"))
+    row = (lambda e: e["row"]) if envelope.row_field else (lambda e: e)
+
+    def value(r: Column, name: str) -> Column:
+        return F.coalesce(*[r[f"f{i}"] for i in positions[name]])
+
+    def in_other_case(name: str) -> Column:
+        """No row of the page has the field, no known spelling is there, but its letters are."""
+        known = "|".join(re.escape(spelling) for owner, spelling in sent if owner == name)
+        return (
+            ~F.exists("_rows", lambda e: value(row(e), name).isNotNull())
+            & F.lower("body").contains(f'"{name.lower()}"')
+            & ~F.col("body").rlike(f'"(?:{known})"\\s*:')
+        )
+
+    other_case = reduce(lambda a, b: a | b, [in_other_case(name) for name in fields])
+    slow = rows_in_any_case(envelope, sent, element)
+    rows = F.when(other_case, slow).otherwise(F.col("_rows"))
+    picked = [value(F.col("_row"), name).alias(name) for name in fields]
     return (
-        pages.select(*keep, element)
-        .select(*keep, envelope.row(F.col("_element")).cast(by_position).alias("_row"))
+        parsed.select(*keep, F.explode(rows).alias("_element"))
+        .select(*keep, row(F.col("_element")).alias("_row"))
         .select(*keep, *picked)
     )
 
 
+def rows_in_any_case(envelope: Envelope, sent: list[tuple[str, str]], element: str) -> Column:
+    """The rows of a page whose names are spelled in another letter case.
+
+    Each row is parsed to a map, which costs several times the parse to known names, so it
+    is done only for pages on which a field is there by name and yet was not found.
+    """
+    nothing = F.lit(None).cast("string")
+
+    def find(entries: Column, name: str) -> Column:
+        return F.get(F.filter(entries, lambda entry: F.lower(entry["key"]) == name.lower()), 0)["value"]
+
+    def as_struct(e: Column) -> Column:
+        entries, taken, values = F.map_entries(envelope.row(e)), set(), []
+        for i, (name, _) in enumerate(sent):
+            values.append((nothing if name in taken else find(entries, name)).alias(f"f{i}"))
+            taken.add(name)
+        found = F.struct(*values)
+        return F.struct(found.alias("row")) if envelope.row_field else found
+
+    return F.transform(envelope.rows(envelope.parse("map<string, string>")), as_struct).cast(f"array<{element}>")
+
+
 def raw_rows(pages: DataFrame, envelope: Envelope) -> DataFrame:
     """Every row as it was sent, all fields, as one JSON text per row."""
-    body = F.from_json("body", envelope.schema("string"))
+    body = envelope.parse("string")
     element = F.explode(envelope.rows(body)).alias("_element")
     return pages.select(element).select(envelope.row(F.col("_element")).alias("value"))
 
 
 def page_sizes(pages: DataFrame, envelope: Envelope, keep: Iterable[str] = PAGE_COLUMNS) -> DataFrame:
     """One row per page without opening its rows: ``n``, ``has_rows``, ``truncated``."""
-    body = F.from_json("body", envelope.schema("struct<`_`: boolean>"))
+    body = envelope.parse("struct<`_`: boolean>")
     truncated = at_path(F.col("_body"), envelope.truncated_path) if envelope.truncated_path else F.lit(None)
     rows = envelope.rows(F.col("_body"))
     return pages.select(*keep, body.alias("_body")).select(

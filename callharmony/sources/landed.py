@@ -33,18 +33,17 @@ def _first_group(path: Column, pattern: str) -> Column:
 
 def read_page_files(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
     """Page files as ``PAGE_SCHEMA``; many files per task, each file one row."""
-    options = {"wholetext": "true", "recursiveFileLookup": "true"}
-    return _located(spark.read.options(**options).text(path), dataset)
+    return _located(spark.read.text(path, wholetext=True, recursiveFileLookup=True), dataset)
 
 
 def stream_page_files(
     spark: SparkSession, path: str, dataset: str | None = None, files_per_batch: int | None = None
 ) -> DataFrame:
     """The same files as a stream; the page number is in the path, not in the arrival order."""
-    reader = spark.readStream.options(wholetext="true", recursiveFileLookup="true")
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return _located(reader.text(path), dataset)
+    return _located(reader.text(path, wholetext=True, recursiveFileLookup=True), dataset)
 
 
 def land_pages(pages: DataFrame, path: str, mode: str = "append") -> None:
@@ -70,7 +69,8 @@ def read_datastore_pages(spark: SparkSession, path: str, record_schema: str) ->
 
 def read_row_array(spark: SparkSession, path: str, row_schema: str) -> DataFrame:
     """Rows of replies that are one top-level array each."""
-    parsed = parse_body(read_page_files(spark, path), ROW_ARRAY.schema(f"struct<{row_schema}>"))
+    bodies = read_page_files(spark, path).withColumn("body", ROW_ARRAY.text(F.col("body")))
+    parsed = parse_body(bodies, ROW_ARRAY.schema(f"struct<{row_schema}>"))
     return unwrap(parsed, ROW_ARRAY.array_path, keep=["page_seq"])
 
 
