@@ -122,16 +122,24 @@ def parse_rows(
     def value(r: Column, name: str) -> Column:
         return F.coalesce(*[r[f"f{i}"] for i in positions[name]])
 
-    def in_other_case(name: str) -> Column:
-        """No row of the page has the field, no known spelling is there, but its letters are."""
+    def in_other_case(name: str, lowered: Column) -> Column:
+        """The name is on the page, but no row has the field and no known spelling is there.
+
+        In this order: a field that is sent is seen near the start of the page and in its first
+        rows, and one that is not sent costs a single search.
+        """
         known = "|".join(re.escape(spelling) for owner, spelling in sent if owner == name)
         return (
-            ~F.exists("_rows", lambda e: value(row(e), name).isNotNull())
-            & F.lower("body").contains(f'"{name.lower()}"')
+            lowered.contains(f'"{name.lower()}"')
+            & ~F.exists("_rows", lambda e: value(row(e), name).isNotNull())
             & ~F.col("body").rlike(f'"(?:{known})"\\s*:')
         )
 
-    other_case = reduce(lambda a, b: a | b, [in_other_case(name) for name in fields])
+    # Bound by the lambda, the body is put in lower case once for all fields.
+    other_case = F.exists(
+        F.array(F.lower("body")),
+        lambda lowered: reduce(lambda a, b: a | b, [in_other_case(name, lowered) for name in fields]),
+    )
     slow = rows_in_any_case(envelope, sent, element)
     rows = F.when(other_case, slow).otherwise(F.col("_rows"))
     picked = [value(F.col("_row"), name).alias(name) for name in fields]

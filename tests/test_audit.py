@@ -1,0 +1,99 @@
+import random
+
+import pytest
+from bodies import datastore, pages
+from pyspark.sql import Observation
+
+from callharmony.operators import (
+    audit_summary,
+    call_metrics,
+    page_audit,
+    page_counts,
+    record_count,
+    with_running_total,
+)
+from callharmony.plans.jobs import audit
+from callharmony.sources import SPECS
+
+
+def counts(spark, rows):
+    return spark.createDataFrame(rows, "dataset string, page_seq int, n bigint")
+
+
+def test_record_count_and_metrics_on_a_write(spark):
+    calls = spark.createDataFrame(
+        [("A", "1", "x", "X"), ("A", None, "y", None), ("A", "2", None, None)],
+        "dataset string, call_id string, call_type string, common_call_type string",
+    )
+    assert record_count(calls) == 3
+    seen = Observation()
+    calls.observe(seen, *call_metrics()).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"records": 3, "null_keys": 1, "unmapped": 1}
+
+
+def test_page_counts(spark):
+    rows = spark.createDataFrame(
+        [("A", 0)] * 3 + [("A", 1)] * 2 + [("B", 0)] + [("A", 4)], "dataset string, page_seq int"
+    )
+    got = sorted(tuple(r) for r in page_counts(rows).collect())
+    assert got == [("A", 0, 3, 3), ("A", 1, 2, 5), ("A", 4, 1, 6), ("B", 0, 1, 1)]
+
+
+@pytest.mark.parametrize("span", [1, 3, 4096])
+def test_running_totals_do_not_depend_on_the_span(spark, span):
+    rng = random.Random(7)
+    seqs = sorted(rng.sample(range(40), 25))
+    data = [("A", seq, rng.randint(0, 9)) for seq in seqs] + [("B", 7, 2)]
+    got = {
+        (r.dataset, r.page_seq): (r.running, r.next_seq, r.first_seq)
+        for r in with_running_total(counts(spark, data), span=span).collect()
+    }
+    total, want = 0, {("B", 7): (2, None, 7)}
+    for i, (_, seq, n) in enumerate(data[:-1]):
+        total += n
+        want["A", seq] = (total, seqs[i + 1] if i + 1 < len(seqs) else None, seqs[0])
+    assert got == want
+
+
+@pytest.mark.parametrize(
+    "sizes, complete",
+    [
+        ({0: 10, 1: 10, 2: 4}, {0: True, 1: True, 2: True}),
+        ({0: 10, 1: 10, 2: 0}, {0: True, 1: True, 2: True}),
+        ({0: 10, 1: 10}, {0: True, 1: False}),
+        ({0: 10, 1: 3, 2: 4}, {0: True, 1: False, 2: True}),
+        ({0: 10, 2: 4}, {0: False, 2: True}),
+        ({1: 10, 2: 4}, {1: False, 2: True}),
+        ({0: 4}, {0: True}),
+    ],
+)
+def test_page_audit(spark, sizes, complete):
+    result = page_audit(counts(spark, [("A", seq, n) for seq, n in sizes.items()]), page_size=10)
+    rows = {r.page_seq: r for r in result.collect()}
+    assert {seq: r.complete for seq, r in rows.items()} == complete
+    assert [r.is_last for _, r in sorted(rows.items())] == [False] * (len(sizes) - 1) + [True]
+    offset = 0
+    for seq, n in sizes.items():
+        assert rows[seq].offset == offset and rows[seq].is_short == (n < 10)
+        offset += n
+    (summary,) = audit_summary(result).collect()
+    assert tuple(summary) == ("A", len(sizes), sum(sizes.values()), all(complete.values()))
+
+
+@pytest.mark.parametrize(
+    "flags, complete",
+    [([True, True, False], [True] * 3), ([True, None], [True] * 2), ([True, True], [True, False]),
+     ([None, True], [False, False]), ([False, None], [False, True])],
+)
+def test_datastore_audit_goes_by_the_truncated_flag(spark, flags, complete):
+    spec = SPECS["arizona-phoenix"]
+    df = pages(spark, *[datastore({"a": 1}, truncated=flag) for flag in flags])
+    assert [r.complete for r in audit(spec, df).orderBy("page_seq").collect()] == complete
+
+
+def test_runs_are_judged_apart(spark):
+    spec = SPECS["arizona-phoenix"]
+    first = pages(spark, datastore({"a": 1}, truncated=True), datastore({"a": 2}), run_id="r1")
+    second = pages(spark, datastore({"a": 1}, truncated=True), run_id="r2")
+    got = audit_summary(audit(spec, first.union(second)), by=("dataset", "run_id")).collect()
+    assert {(r.run_id, r.pages, r.records, r.complete) for r in got} == {("r1", 2, 2, True), ("r2", 1, 1, False)}

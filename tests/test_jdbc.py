@@ -1,0 +1,48 @@
+"""The SQL of the warehouse sink, run on the tests' SQL library; no server is involved."""
+
+import duckdb
+import pytest
+
+from callharmony.operators import conform
+from callharmony.schema import CALL_SCHEMA
+from callharmony.sinks import staging_sql, upsert_sql, write_jdbc
+
+
+def test_staging_and_upsert_sql():
+    con = duckdb.connect()
+    con.execute("CREATE SCHEMA public")
+    con.execute("CREATE TABLE public.call_data (dataset VARCHAR, call_id VARCHAR, call_type VARCHAR)")
+    con.execute("INSERT INTO public.call_data VALUES ('A','1','x'), ('A','2','x'), ('B','1','x'), ('A',NULL,'x')")
+    for statement in staging_sql("public.call_data", "public.run_7"):
+        con.execute(statement)
+    assert con.execute("SELECT * FROM public.run_7").fetchall() == []
+    con.execute("INSERT INTO public.run_7 VALUES ('A','1','y'), ('A','1','z'), ('A',NULL,'y')")
+    for statement in upsert_sql("public.call_data", "public.run_7", columns=("dataset", "call_id", "call_type")):
+        con.execute(statement)
+    got = con.execute("SELECT * FROM public.call_data").fetchall()
+    assert sorted(got, key=str) == sorted(
+        [("A", "2", "x"), ("B", "1", "x"), ("A", None, "x"), ("A", "1", "y"), ("A", "1", "z"), ("A", None, "y")],
+        key=str,
+    )
+    assert con.execute("SELECT count(*) FROM information_schema.tables").fetchall() == [(1,)]
+
+
+def test_columns_are_named_so_that_their_order_does_not_matter():
+    insert = upsert_sql("public.call_data", "public.s")[2]
+    assert insert.count("mental_health") == 2 and insert.startswith("INSERT INTO public.call_data (dataset, call_id")
+
+
+@pytest.mark.parametrize("name", ["a b", "x;drop table y", "a.b.c", "1a", '"a"', ""])
+def test_only_plain_table_names(name):
+    with pytest.raises(ValueError):
+        staging_sql("public.call_data", name)
+    with pytest.raises(ValueError):
+        upsert_sql(name, "s")
+
+
+def test_nothing_is_merged_if_loading_fails(spark):
+    ran = []
+    df = conform(spark.createDataFrame([("A", "1")], "dataset string, call_id string"), CALL_SCHEMA)
+    with pytest.raises(Exception, match="(?i)driver"):
+        write_jdbc(df, "jdbc:nowhere:x", "public.s", ["pre"], ["post"], ran.append)
+    assert ran == ["pre"]

@@ -1,0 +1,124 @@
+from collections import Counter
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from callharmony.operators import conform
+from callharmony.schema import CALL_SCHEMA
+from callharmony.sinks import CallTable
+from callharmony.sinks.table import STORED_SCHEMA
+
+
+@pytest.fixture
+def calls(spark, tmp_path):
+    return CallTable(spark, str(tmp_path / "calls"))
+
+
+def rows(spark, *values, run_id=None, page_seq=None):
+    df = spark.createDataFrame(values, "dataset string, call_id string, call_type string")
+    return conform(
+        df.withColumns({"run_id": F.lit(run_id).cast("string"), "page_seq": F.lit(page_seq).cast("int")}),
+        STORED_SCHEMA,
+    )
+
+
+def bag(df):
+    return Counter((r.dataset, r.call_id, r.call_type) for r in df.collect())
+
+
+A, B = "Phoenix, AZ", "New: Orleans/LA=100%"
+
+
+def test_new_table_is_empty_with_the_canonical_schema(calls):
+    assert calls.state().version == 0 and calls.read().schema == CALL_SCHEMA and calls.read().count() == 0
+
+
+def test_upserts_in_turn(spark, calls):
+    assert calls.upsert(rows(spark, (A, "1", "x"), (A, "2", "x"), (B, "1", "x"), (A, None, "x"))) == 1
+    assert calls.upsert(rows(spark, (A, "2", "y"), (A, "2", "z"), (A, "3", "y"), (A, None, "y"))) == 2
+    assert bag(calls.read()) == Counter(
+        [(A, "1", "x"), (A, "2", "y"), (A, "2", "z"), (A, "3", "y"), (B, "1", "x"), (A, None, "x"), (A, None, "y")]
+    )
+    assert bag(calls.read(1)) == Counter([(A, "1", "x"), (A, "2", "x"), (B, "1", "x"), (A, None, "x")])
+
+
+def test_a_dataset_without_new_rows_is_carried_over_as_it_is(spark, calls):
+    calls.upsert(rows(spark, (A, "1", "x"), (B, "1", "x")))
+    before = {p.part for p in calls.state().parts if p.dataset == B}
+    calls.upsert(rows(spark, (A, "1", "y")))
+    assert {p.part for p in calls.state().parts if p.dataset == B} == before
+    assert bag(calls.read().where(F.col("dataset") == B)) == Counter([(B, "1", "x")])
+
+
+def test_reading_one_dataset_opens_only_its_folders(spark, calls):
+    calls.upsert(rows(spark, (A, "1", "x"), (B, "1", "x")))
+    plan = calls.read().where(F.col("dataset") == A)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "dataset" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_an_empty_batch_changes_no_rows(spark, calls):
+    calls.upsert(rows(spark, (A, "1", "x")))
+    calls.upsert(rows(spark, (A, "1", "x")).limit(0))
+    assert bag(calls.read()) == Counter([(A, "1", "x")])
+
+
+def test_a_failed_write_leaves_the_old_version_and_a_rerun_is_clean(spark, calls):
+    calls.upsert(rows(spark, (A, "1", "x")))
+    batch = rows(spark, (A, "1", "y"), (A, "2", "y"))
+    bad = batch.withColumn("call_type", F.when(F.col("call_id") == "2", F.raise_error(F.lit("lost"))).otherwise("y"))
+    with pytest.raises(PySparkException, match="lost"):
+        calls.upsert(conform(bad, STORED_SCHEMA))
+    assert calls.state().version == 1 and bag(calls.read()) == Counter([(A, "1", "x")])
+    calls.upsert(batch)
+    assert bag(calls.read()) == Counter([(A, "1", "y"), (A, "2", "y")])
+
+
+def test_a_second_writer_of_the_same_version_fails(spark, calls):
+    state = calls.state()
+    calls.upsert(rows(spark, (A, "1", "x")))
+    with pytest.raises(PySparkException, match="PATH_ALREADY_EXISTS"):
+        calls._commit(state)
+    assert bag(calls.read()) == Counter([(A, "1", "x")])
+
+
+def test_pages_may_come_in_any_order(spark, calls):
+    pages = {
+        0: [(A, "1", "p0"), (A, "2", "p0"), (A, None, "p0")],
+        1: [(A, "1", "p1"), (A, "3", "p1"), (A, "3", "p1")],
+        2: [(A, "2", "p2"), (A, None, "p2"), (B, "1", "p2")],
+    }
+    want = Counter([(A, "1", "p1"), (A, "3", "p1"), (A, "3", "p1"), (A, "2", "p2"), (A, None, "p0"), (A, None, "p2"),
+                    (B, "1", "p2")])
+    for seq in (2, 0, 1):
+        calls.append_pages(rows(spark, *pages[seq], run_id="r1", page_seq=seq))
+    assert bag(calls.read()) == want
+    calls.compact()
+    assert bag(calls.read()) == want and not any(p.pending for p in calls.state().parts)
+    calls.append_pages(rows(spark, (A, "1", "late"), (A, "4", "late"), run_id="r1", page_seq=0))
+    assert bag(calls.read()) == want + Counter([(A, "4", "late")])
+    calls.append_pages(rows(spark, (A, "1", "next run"), run_id="r2", page_seq=0))
+    assert bag(calls.read())[(A, "1", "next run")] == 1 and bag(calls.read())[(A, "1", "p1")] == 0
+
+
+def test_a_replayed_batch_is_skipped(spark, calls):
+    for batch_id in (0, 1, 1, 0):
+        calls.append_pages(rows(spark, (A, None, f"b{batch_id}"), run_id="r", page_seq=0), "s", batch_id)
+    assert bag(calls.read()) == Counter([(A, None, "b0"), (A, None, "b1")])
+    calls.append_pages(rows(spark, (A, None, "b0"), run_id="r", page_seq=0), "another stream", 0)
+    assert sum(bag(calls.read()).values()) == 3
+
+
+def test_many_pending_parts_are_compacted(spark, tmp_path):
+    calls = CallTable(spark, str(tmp_path / "calls"), max_pending=2)
+    for seq in range(3):
+        calls.append_pages(rows(spark, (A, "1", f"p{seq}"), run_id="r", page_seq=seq))
+    assert [p.pending for p in calls.state().parts] == [False]
+    assert bag(calls.read()) == Counter([(A, "1", "p2")])
+
+
+def test_upsert_takes_pending_pages_into_account(spark, calls):
+    calls.append_pages(rows(spark, (A, "1", "p0"), (A, "2", "p0"), run_id="r", page_seq=0))
+    calls.append_pages(rows(spark, (A, "1", "p1"), run_id="r", page_seq=1))
+    calls.upsert(rows(spark, (A, "2", "new")))
+    assert bag(calls.read()) == Counter([(A, "1", "p1"), (A, "2", "new")])
