@@ -1,3 +1,11 @@
-from callharmony.plans.jobs import RunReport, harmonize, run, run_all
+from callharmony.plans.jobs import (
+    RunReport,
+    audit,
+    fetch_pages,
+    harmonize,
+    run,
+    run_all,
+    run_to_warehouse,
+)
 
-__all__ = ["RunReport", "harmonize", "run", "run_all"]
+__all__ = ["RunReport", "audit", "fetch_pages", "harmonize", "run", "run_all", "run_to_warehouse"]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from callharmony.functions import whole_number
 from callharmony.operators.audit import call_metrics, page_audit
@@ -14,11 +14,15 @@ from callharmony.operators.crosswalk import map_call_type
 from callharmony.operators.project import conform, label
 from callharmony.operators.ranges import apply_range
 from callharmony.operators.upsert import fold_pages
-from callharmony.schema import KEYS, ORDER
+from callharmony.schema import CALL_SCHEMA, KEYS, ORDER
 from callharmony.session import require_utc
+from callharmony.sinks.jdbc import staging_sql, upsert_sql, write_jdbc
 from callharmony.sinks.raw import land_raw_text
 from callharmony.sinks.table import STORED_SCHEMA, CallTable, page_order
 from callharmony.sources.envelopes import page_sizes, parse_rows, raw_rows
+from callharmony.sources.http import http_fetch, total_rows
+from callharmony.sources.landed import land_pages, read_page_table
+from callharmony.sources.paged import Fetch, register_paged
 from callharmony.sources.specs import SourceSpec
 
 
@@ -69,6 +73,28 @@ def audit(spec: SourceSpec, pages: DataFrame) -> DataFrame:
     return page_audit(sizes, page_size, by=("dataset", "run_id"))
 
 
+def fetch_pages(
+    spark: SparkSession,
+    spec: SourceSpec,
+    landing: str,
+    run_id: str,
+    fetch: Fetch = http_fetch,
+    **options: object,
+) -> DataFrame:
+    """Read a service on the executors, keep its bodies as a page table, and return those of this run.
+
+    Later steps start from what has landed, so no page is asked for twice. ``options`` are
+    those of the paged source; with no ``total``, a feature service is asked for its own.
+    """
+    if "total" not in options and (total := total_rows(spec, fetch)) is not None:
+        options["total"] = total
+    register_paged(spark, spec, fetch)
+    bodies = spark.read.format("paged").options(**options).load()
+    land_pages(bodies.withColumns({"dataset": F.lit(spec.slug), "run_id": F.lit(run_id)}), landing)
+    landed = read_page_table(spark, landing)
+    return landed.where((F.col("dataset") == spec.slug) & (F.col("run_id") == run_id))
+
+
 def run(
     spec: SourceSpec,
     pages: DataFrame,
@@ -133,5 +159,30 @@ def run_all(
     )
 
 
+def run_to_warehouse(
+    spec: SourceSpec,
+    pages: DataFrame,
+    crosswalk: DataFrame,
+    url: str,
+    target: str,
+    staging: str,
+    execute: Callable[[str], object],
+    properties: dict[str, str] | None = None,
+) -> None:
+    """One source into a table of a JDBC warehouse, through a staging table of the run."""
+    rows = harmonize(spec, pages, crosswalk)
+    if spec.paged:
+        rows = fold_pages(rows, KEYS, ORDER)
+    write_jdbc(
+        rows.select(*CALL_SCHEMA.names),
+        url,
+        staging,
+        staging_sql(target, staging),
+        upsert_sql(target, staging),
+        execute,
+        properties,
+    )
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -20,6 +20,8 @@ def build_session(app: str = "callharmony", master: str | None = None, **conf: s
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # A task writes the few dataset folders side by side, without sorting its rows first.
+        "spark.sql.maxConcurrentOutputFileWriters": "32",
         **conf,
     }
     for key, value in settings.items():
@@ -27,6 +29,20 @@ def build_session(app: str = "callharmony", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+def shuffle_conf(input_bytes: int) -> dict[str, str]:
+    """Settings for a given input size, to pass to ``build_session``.
+
+    Half a gigabyte per shuffle partition fits an executor's memory many times over, and
+    adaptive execution joins partitions that turn out small.
+    """
+    partitions = min(max(input_bytes // 2**29, 200), 200_000)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+        "spark.sql.files.maxPartitionBytes": "256MB",
+    }
+
+
 def require_utc(spark: SparkSession) -> None:
     """Local call times are shifted relative to the session zone, so it has to be UTC."""
     zone = spark.conf.get("spark.sql.session.timeZone")
