@@ -4,6 +4,9 @@ from callharmony.functions.times import (
     join_date_time,
     local_to_utc,
     text_to_ts,
+    wall_to_utc,
 )
 
-__all__ = ["cast_to", "whole_number", "epoch_ms_to_ts", "join_date_time", "local_to_utc", "text_to_ts"]
+__all__ = [
+    "cast_to", "epoch_ms_to_ts", "join_date_time", "local_to_utc", "text_to_ts", "wall_to_utc", "whole_number",
+]

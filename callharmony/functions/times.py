@@ -10,13 +10,18 @@ def text_to_ts(value: Column) -> Column:
     return F.try_to_timestamp(value)
 
 
-def local_to_utc(value: Column, tz: str) -> Column:
-    """Wall time in the named zone, as UTC. The session zone must be UTC.
+def wall_to_utc(wall: Column, tz: str) -> Column:
+    """A wall-clock timestamp in the named zone, as UTC. The session zone must be UTC.
 
     An hour skipped in spring moves forward; an hour repeated in autumn takes the
     earlier of its two offsets.
     """
-    return F.to_utc_timestamp(text_to_ts(value), tz)
+    return F.to_utc_timestamp(wall, tz)
+
+
+def local_to_utc(value: Column, tz: str) -> Column:
+    """Wall-clock text in the named zone, as UTC."""
+    return wall_to_utc(text_to_ts(value), tz)
 
 
 def join_date_time(date: Column, time: Column) -> Column:

@@ -48,13 +48,15 @@ def harmonize(
     """
     require_utc(pages.sparkSession)
     rows = parse_rows(pages, spec.envelope, spec.fields, spec.aliases, keep=ORDER)
+    rows = rows.withColumn("_time", spec.time.source_time())
     if rejects is not None:
-        rows = rows.observe(rejects, F.count_if(spec.time.rejected()).alias("time_rejects"))
+        rejected = spec.time.rejected(F.col("_time"))
+        rows = rows.observe(rejects, F.count_if(rejected).alias("time_rejects"))
     if spec.time_range is not None:
         bounds = spec.time_range
-        rows = apply_range(rows, spec.time.source_time(), bounds.low, bounds.high, bounds.half_open)
+        rows = apply_range(rows, "_time", bounds.low, bounds.high, bounds.half_open)
 
-    fields: dict[str, Column] = {"call_time": spec.time.call_time()}
+    fields: dict[str, Column] = {"call_time": spec.time.call_time(F.col("_time"))}
     fields |= {target: F.col(source) for target, source in spec.texts.items()}
     fields |= {target: whole_number(F.col(source)).cast("boolean") for target, source in spec.flags.items()}
     # A reply that is not paged is one batch, in however many bodies it was landed.

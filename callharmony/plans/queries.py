@@ -186,7 +186,9 @@ def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Response bodies built from a table, and the scans that read them
 
 EVENT_FIELDS = "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-EVENT_ROWS_SQL = "SELECT event_id // 1000 AS page_seq, event_id, user_id, event_type, value, props FROM events"
+EVENT_ROWS_SQL = (
+    "SELECT CAST(event_id // 1000 AS INTEGER) AS page_seq, event_id, user_id, event_type, value, props FROM events"
+)
 
 
 def page_bodies(rows: DataFrame, envelope: Envelope, page: Column, fields: list[Column]) -> DataFrame:
@@ -486,7 +488,7 @@ def audited_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT 'events' AS dataset, 'r1' AS run_id, page_seq, n, CAST(sum(n) OVER w AS BIGINT) AS running, "
     "CAST(sum(n) OVER w AS BIGINT) - n AS \"offset\", lead(page_seq) OVER w IS NULL AS is_last, "
     "n < 1000 AS is_short, TRUE AS has_rows, (lead(page_seq) OVER w IS NULL) = (n < 1000) AS complete "
-    "FROM (SELECT event_id // 1000 AS page_seq, count(*) AS n FROM events GROUP BY ALL) "
+    "FROM (SELECT CAST(event_id // 1000 AS INTEGER) AS page_seq, count(*) AS n FROM events GROUP BY ALL) "
     "WINDOW w AS (ORDER BY page_seq)"
 )
 def body_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, functions as F
 from callharmony.functions import (
     epoch_ms_to_ts,
     join_date_time,
-    local_to_utc,
     text_to_ts,
+    wall_to_utc,
     whole_number,
 )
 from callharmony.sources.envelopes import DATASTORE, FEATURES, ROW_ARRAY, Envelope
@@ -31,12 +31,12 @@ class TimeRule:
             return epoch_ms_to_ts(whole_number(F.col(self.columns[0])))
         return text_to_ts(self._text())
 
-    def call_time(self) -> Column:
-        return local_to_utc(self._text(), self.tz) if self.tz else self.source_time()
+    def call_time(self, source_time: Column) -> Column:
+        return wall_to_utc(source_time, self.tz) if self.tz else source_time
 
-    def rejected(self) -> Column:
+    def rejected(self, source_time: Column) -> Column:
         """A time was sent but could not be read."""
-        return self._text().isNotNull() & self.call_time().isNull()
+        return self._text().isNotNull() & source_time.isNull()
 
     def _text(self) -> Column:
         columns = [F.col(name) for name in self.columns]
