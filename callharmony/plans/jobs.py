@@ -15,7 +15,7 @@ from callharmony.operators.project import conform, label
 from callharmony.operators.ranges import apply_range
 from callharmony.operators.upsert import fold_pages
 from callharmony.schema import CALL_SCHEMA, KEYS, ORDER
-from callharmony.session import require_utc
+from callharmony.session import require_utc, workspace
 from callharmony.sinks.jdbc import staging_sql, upsert_sql, write_jdbc
 from callharmony.sinks.raw import land_raw_text
 from callharmony.sinks.table import STORED_SCHEMA, CallTable, page_order
@@ -171,10 +171,16 @@ def run_to_warehouse(
     execute: Callable[[str], object],
     properties: dict[str, str] | None = None,
 ) -> None:
-    """One source into a table of a JDBC warehouse, through a staging table of the run."""
+    """One source into a table of a JDBC warehouse, through a staging table of the run.
+
+    Paged rows are written to the cluster's shared folder first, so that folding them does
+    not parse the pages twice.
+    """
     rows = harmonize(spec, pages, crosswalk)
     if spec.paged:
-        rows = fold_pages(rows, KEYS, ORDER)
+        path = workspace(pages.sparkSession, spec.slug)
+        rows.write.parquet(path)
+        rows = fold_pages(pages.sparkSession.read.schema(rows.schema).parquet(path), KEYS, ORDER)
     write_jdbc(
         rows.select(*CALL_SCHEMA.names),
         url,

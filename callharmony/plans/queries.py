@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampType
 
-from callharmony.functions import cast_to, epoch_ms_to_ts, join_date_time, local_to_utc, text_to_ts
+from callharmony.functions import epoch_ms_to_ts, join_date_time, local_to_utc, text_to_ts
 from callharmony.operators import (
     apply_range,
     call_metrics,

@@ -81,6 +81,10 @@ def page_order(runs: int) -> Sequence[str]:
     return ORDER[1:] if runs <= 1 else ORDER
 
 
+class VersionConflict(RuntimeError):
+    """Two writers made the same version."""
+
+
 class CallTable:
     """One table at ``path``, in storage that all executors share. One writer at a time.
 
@@ -92,16 +96,24 @@ class CallTable:
         self.path = path.rstrip("/")
         self.max_pending = max_pending
         self._write_manifest(State(), "ignore")
+        if not self._versions():  # an earlier start ended before its manifest was there
+            self._write_manifest(State(), "append")
 
     # Reading
 
+    def _versions(self) -> list[int]:
+        """The versions that have a manifest, from a listing alone."""
+        files = self.spark.read.schema(MANIFEST_SCHEMA).json(f"{self.path}/manifest").inputFiles()
+        return sorted(int(VERSION_PATTERN.search(file).group(1)) for file in files)
+
     def state(self, version: int | None = None) -> State:
         """The live parts of a version, the newest by default: a few rows per dataset."""
-        manifest = self.spark.read.schema(MANIFEST_SCHEMA)
         if version is None:
-            files = manifest.json(f"{self.path}/manifest").inputFiles()
-            version = max(int(VERSION_PATTERN.search(file).group(1)) for file in files)
-        rows = manifest.json(f"{self.path}/manifest/version={version}").collect()
+            version = self._versions()[-1]
+        manifest = self.spark.read.schema(MANIFEST_SCHEMA).json(f"{self.path}/manifest/version={version}")
+        rows = manifest.collect()
+        if sum(r.kind == "head" for r in rows) != 1:
+            raise VersionConflict(f"version {version} of {self.path}")
         return State(
             version=version,
             parts=tuple(
@@ -151,6 +163,9 @@ class CallTable:
         state = self.state()
         added = self._write(batch, "batch")
         touched = [p.dataset for p in added]
+        if any(p.pending for p in state.of(touched)):
+            self.compact()  # the target is read in two branches below, which should not fold twice
+            state = self.state()
         old = state.of(touched)
         kept = []
         if old:
@@ -216,9 +231,11 @@ class CallTable:
         return [Part(dataset, part, False, min(ids), max(ids)) for dataset, ids in runs.items()]
 
     def _commit(self, state: State) -> int:
-        """Make ``state`` the next version; a second writer of that version fails here."""
+        """Make ``state`` the next version. An unfinished attempt at it is no hindrance."""
         state = replace(state, version=state.version + 1)
-        self._write_manifest(state, "errorifexists")
+        if self._versions()[-1] >= state.version:
+            raise VersionConflict(f"version {state.version} of {self.path} is there already")
+        self._write_manifest(state, "append")
         return state.version
 
     def _write_manifest(self, state: State, mode: str) -> None:

@@ -255,6 +255,16 @@ def test_error_pages_and_empty_pages_give_no_rows_but_fail_the_audit(spark, cros
     assert got == [(0, False, False), (1, True, True)]
 
 
+@pytest.mark.parametrize("spec", [BTV, NOLA])
+def test_a_run_without_rows(spark, crosswalk, tmp_path, spec):
+    calls = CallTable(spark, str(tmp_path / "calls"))
+    for df in (pages(spark, dataset=spec.slug), pages(spark, ERROR), spark.range(0).selectExpr(
+        "string(id) dataset", "string(id) run_id", "int(id) page_seq", "string(id) body"
+    )):
+        report = run(spec, df, crosswalk, calls, str(tmp_path / "lake"), "r1")
+        assert (report.records, report.time_rejects, calls.read().count()) == (0, 0, 0)
+
+
 def test_local_times_need_a_utc_session(spark, crosswalk, conf):
     conf(spark__sql__session__timeZone="America/New_York")
     with pytest.raises(ValueError, match="UTC"):

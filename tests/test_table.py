@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from callharmony.operators import conform
 from callharmony.schema import CALL_SCHEMA
-from callharmony.sinks import CallTable
+from callharmony.sinks import CallTable, VersionConflict
 from callharmony.sinks.table import STORED_SCHEMA
 
 
@@ -77,9 +77,21 @@ def test_a_failed_write_leaves_the_old_version_and_a_rerun_is_clean(spark, calls
 def test_a_second_writer_of_the_same_version_fails(spark, calls):
     state = calls.state()
     calls.upsert(rows(spark, (A, "1", "x")))
-    with pytest.raises(PySparkException, match="PATH_ALREADY_EXISTS"):
+    with pytest.raises(VersionConflict):
         calls._commit(state)
     assert bag(calls.read()) == Counter([(A, "1", "x")])
+    calls._write_manifest(calls.state(), "append")
+    with pytest.raises(VersionConflict):
+        calls.read()
+
+
+def test_an_attempt_that_ended_before_its_manifest_is_no_hindrance(spark, tmp_path):
+    (tmp_path / "calls" / "manifest" / "version=0" / "_temporary").mkdir(parents=True)
+    calls = CallTable(spark, str(tmp_path / "calls"))
+    (tmp_path / "calls" / "manifest" / "version=1" / "_temporary").mkdir(parents=True)
+    assert calls.read().count() == 0
+    assert calls.upsert(rows(spark, (A, "1", "x"))) == 1
+    assert bag(CallTable(spark, str(tmp_path / "calls")).read()) == Counter([(A, "1", "x")])
 
 
 def test_pages_may_come_in_any_order(spark, calls):
