@@ -34,6 +34,8 @@ def heavy_digests(rows: DataFrame, digest: str) -> list[str]:
     sketched = (
         rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("merger"))
         .agg(F.expr(f"approx_top_k_accumulate(hex(`{digest}`), {TRACKED})").alias("sketch"), F.count(F.lit(1)).alias("n"))
+        # By a constant key: a combiner without any key fails in tasks that get no sketch.
+        .groupBy(F.lit(0).alias("all"))
         .agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"), F.sum("n").alias("n"))
         .where("n > 0")
         .select(F.expr(f"approx_top_k_estimate(sketch, {MAX_HEAVY})").alias("top"), "n")
