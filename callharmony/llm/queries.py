@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callharmony.llm.exact import exact_dedup
+from callharmony.llm.idfiles import id_files
+from callharmony.llm.packing import pack
 from callharmony.llm.quality import quality
 from callharmony.llm.tables import ship
 
@@ -31,6 +33,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(documents(spark, sf_dir))
+    figures = {"sequences": packed.sequences, "lower_bound": packed.lower_bound}
+    return packed.pieces.withColumns({name: F.lit(value).cast("long") for name, value in figures.items()})
+
+
+@query
+def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files(documents(spark, sf_dir))
+
+
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
