@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callharmony.llm.exact import exact_dedup
 from callharmony.llm.idfiles import id_files
+from callharmony.llm.jaccard import jaccard_join
 from callharmony.llm.packing import pack
 from callharmony.llm.quality import quality
 from callharmony.llm.tables import ship
@@ -40,6 +41,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.pieces.withColumns({name: F.lit(value).cast("long") for name, value in figures.items()})
 
 
+@query
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(documents(spark, sf_dir)).drop("text_key")
+
+
 @query
 def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files(documents(spark, sf_dir))
