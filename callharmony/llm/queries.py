@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from callharmony.llm.exact import exact_dedup
 from callharmony.llm.idfiles import id_files
 from callharmony.llm.jaccard import jaccard_join
+from callharmony.llm.langid import identify, learn
+from callharmony.llm.linechunks import drop_repeated_chunks
+from callharmony.llm.mixing import mix
 from callharmony.llm.packing import pack
+from callharmony.llm.personal import find_personal
 from callharmony.llm.quality import quality
 from callharmony.llm.tables import ship
+from callharmony.llm.viterbi import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +39,40 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out)
+    profiles = learn(docs.where("NOT held_out"))
+    return identify(docs.select("doc_id", "held_out", "text"), profiles).drop("text")
+
+
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(documents(spark, sf_dir))
+
+
+@query
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
+
+
+ORACLES["op4_mix_sources"] = """
+WITH sizes AS (SELECT source, sum(length(text)) AS n FROM documents GROUP BY source),
+shares AS (SELECT source, n, pow(n::DOUBLE, 0.7) AS share FROM sizes),
+rates AS (SELECT source, sum(n) OVER () * share / sum(share) OVER () / n AS rate FROM shares),
+terms AS (SELECT source, rate, k, -rate + k * ln(rate) - lgamma(k + 1) AS log_p FROM rates, range(129) AS r(k)),
+cdf AS (SELECT source, list(p ORDER BY k) AS cdf FROM
+  (SELECT source, k, sum(exp(log_p)) OVER (PARTITION BY source ORDER BY k) AS p FROM terms) GROUP BY source),
+drawn AS (SELECT d.*, (('0x' || md5('0:' || doc_id || ':1')[1:13])::BIGINT + 0.5) / pow(2, 52) AS u, c.cdf
+  FROM documents d JOIN cdf c USING (source)),
+counted AS (SELECT * EXCLUDE (cdf, u), len(list_filter(cdf, lambda c: c < u)) AS n FROM drawn)
+SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy,
+       (('0x' || md5('0:place:' || doc_id || ':' || copy)[1:13])::BIGINT + 0.5) / pow(2, 52) AS place
+FROM (SELECT * EXCLUDE n, unnest(range(1, n + 1)) AS copy FROM counted)
+"""
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(documents(spark, sf_dir))
@@ -41,11 +80,36 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.pieces.withColumns({name: F.lit(value).cast("long") for name, value in figures.items()})
 
 
+@query
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_chunks(documents(spark, sf_dir))
+
+
+ORACLES["op6_line_chunks"] = """
+WITH lines AS (SELECT doc_id, unnest(split) AS line, unnest(range(len(split))) AS i
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS split FROM documents)),
+hashed AS (SELECT *, ('0x' || md5(line)[1:8])::BIGINT AS h FROM lines),
+ends AS (SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS is_end FROM hashed),
+numbered AS (SELECT *, coalesce(sum(is_end::INT) OVER
+  (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ends),
+chunks AS (SELECT doc_id, c, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, c),
+marked AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY n >= 2, chunk ORDER BY doc_id, c) > 1 AS gone FROM chunks)
+SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (NOT gone), '') AS text,
+       sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed
+FROM marked GROUP BY doc_id
+"""
+
+
 @query
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir)).drop("text_key")
 
 
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir))
+
+
 @query
 def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files(documents(spark, sf_dir))
