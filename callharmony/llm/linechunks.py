@@ -47,7 +47,8 @@ def _place() -> Column:
 
 def repeats(keyed: DataFrame) -> DataFrame:
     """``doc_id, text_key, removed``: the numbers of the chunks that occurred before, for documents that have such."""
-    exploded = _chunked(keyed).select("doc_id", "text_key", F.posexplode("chunks").alias("chunk_no", "chunk_lines"))
+    # The outer form, since Spark derives a filter from the other one and moves it, inlined, to the scan.
+    exploded = _chunked(keyed).select("doc_id", "text_key", F.posexplode_outer("chunks").alias("chunk_no", "chunk_lines"))
     chunks = exploded.where(F.size("chunk_lines") >= LEAST_LINES).select(
         "doc_id", "text_key", "chunk_no", F.array_join("chunk_lines", "\n").alias("chunk")
     ).withColumn("chunk_hash", F.xxhash64("chunk"))
