@@ -8,13 +8,13 @@ do so can be in one region.
 1. Documents with equal shingle sets become one point.
 2. A point with more unique shingles than a partner could lack has no link and leaves. Uniqueness is first counted
    for a fixed share of all shingles, where most points leave, then for all shingles of the rest.
-3. Each region's first pivot is its smallest point. Distances to it are computed once per pair of points, whatever
+3. Each region's first pivot is the point with the fewest shingles of its own. Distances to it are computed once per pair of points, whatever
    number of regions they share. Points within ``r`` are linked to it; a linked point that is nearer to the pivot
    than all others in the region by more than ``r`` cannot link to those and leaves.
-4. Regions that still hold points of several components join recursively: further pivots are chosen in them, and
-   a pivot meets only points of other components, of fitting size, inside the window that the triangle
-   inequality leaves around its own distance to the earlier pivot. Pivots leave their region, until each region
-   holds one component.
+4. Regions that still hold points of several components join recursively: points outside a region's largest
+   component become pivots, and a pivot meets only points of other components, of fitting size, inside the window
+   that the triangle inequality leaves around its own distance to the earlier pivot. Pivots leave their region,
+   until each region holds one component.
 
 The links found connect exactly what all links would connect.
 """
@@ -35,8 +35,8 @@ N = 5
 PERCENT = 75
 # Uniqueness is counted first for the shingles below this share of the hash range.
 FIRST_SHARE = 0.4
-# In a region with more points, a quarter become pivots in a round instead of all.
-SMALL_REGION = 32
+# If more points of a region are outside its largest component, half of them become pivots in a round, not all.
+SMALL_REGION = 64
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 # Odd numbers for the places of a window, drawn once.
@@ -138,7 +138,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _regions(sets: DataFrame, percent: int) -> DataFrame:
-    """``region, sid, n``: the regions of the rarest shingles. A region is named by its shingle."""
+    """``region, sid, n, own, place``: the regions of the rarest shingles. A region is named by its shingle.
+
+    ``own`` is the number of shingles no other set has, ``place`` the shingle's place in the set's order of rarity.
+    """
     sized = sets.select("sid", F.size("shingles").cast("long").alias("n"), "shingles")
     entries = sized.select("sid", "n", F.explode("shingles").alias("region"))
     shared = entries.groupBy("region").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
@@ -148,9 +151,23 @@ def _regions(sets: DataFrame, percent: int) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("f", "region"))).alias("by_rarity"))
     )
     # Unique shingles come first in the order of rarity, so they use up part of the prefix.
-    prefix = F.col("n") - _need(F.col("n"), percent) + 1 - (F.col("n") - F.size("by_rarity"))
-    rare = ranked.where(prefix > 0).select("sid", "n", F.explode(F.slice("by_rarity", F.lit(1), prefix.cast("int"))).alias("e"))
-    return rare.select("e.region", "sid", "n")
+    own = F.col("n") - F.size("by_rarity")
+    prefix = F.col("n") - _need(F.col("n"), percent) + 1 - own
+    rare = ranked.where(prefix > 0).select(
+        "sid", "n", own.alias("own"), F.posexplode(F.slice("by_rarity", F.lit(1), prefix.cast("int"))).alias("at", "e")
+    )
+    return rare.select("e.region", "sid", "n", "own", (F.col("own") + F.col("at")).alias("place"))
+
+
+def _may_link(percent: int) -> Column:
+    """Whether a point and a pivot (``p_`` columns) can link, judged in the region of their first common shingle.
+
+    The sizes must fit, and from their places on both sets must hold enough shingles for the overlap a link needs.
+    A pair that fails this in a later region has been judged in an earlier one.
+    """
+    overlap = F.ceil(percent * (F.col("n") + F.col("p_n")) / F.lit(100.0 + percent))
+    left = F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place"))
+    return (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & (left >= overlap)
 
 
 def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -160,39 +177,52 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     r = 1 - percent / 100
     regions = written(_regions(sets, percent), "regions")
-    firsts = regions.groupBy("region").agg(F.min("sid").alias("pivot"), F.count(F.lit(1)).alias("points")).where("points > 1")
-    members = written(regions.join(firsts.drop("points"), "region"), "regions")
-    pairs = members.where("sid != pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
+    # The point with the fewest shingles of its own is the best guess at a group's centre.
+    firsts = (
+        regions.groupBy("region")
+        .agg(F.min(F.struct("own", "sid", "n", "place")).alias("p"), F.count(F.lit(1)).alias("points"))
+        .where("points > 1")
+        .select("region", F.col("p.sid").alias("p_sid"), F.col("p.n").alias("p_n"), F.col("p.place").alias("p_place"))
+    )
+    members = written(regions.join(firsts, "region").where("sid != p_sid"), "regions")
+    pairs = members.where(_may_link(percent)).select(F.col("p_sid").alias("a"), F.col("sid").alias("b")).distinct()
     known = written(_verified(pairs, sets, percent), "distances")
     links = known.where("linked").select("a", "b")
     labels = components(links)
 
-    # What is left of each region after its first pivot.
-    near = members.join(known.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "d", "linked"), ["pivot", "sid"])
-    beyond = near.where("NOT linked").groupBy("region").agg(F.min("d").alias("beyond"))
-    left = near.join(beyond, "region").where(~F.col("linked") | (F.col("d") >= F.col("beyond") - r - 1e-9))
-    region = left.select("region", "sid", "n", "d")
+    # What is left of each region after its first pivot; d is null where the pair was ruled out unmeasured.
+    near = members.join(known.select(F.col("a").alias("p_sid"), F.col("b").alias("sid"), "d", "linked"), ["p_sid", "sid"], "left")
+    far = ~F.coalesce("linked", F.lit(False))
+    beyond = near.where(far).groupBy("region").agg(F.min(F.coalesce("d", F.lit(0.0))).alias("beyond"))
+    left = near.join(beyond, "region").where(far | (F.col("d") >= F.col("beyond") - r - 1e-9))
+    region = left.select("region", "sid", "n", "place", "d")
+    rounds = 0
     while True:
+        rounds += 1
         labelled = (
             region.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
             .withColumn("label", F.coalesce("label", "sid"))
         )
+        by_label = labelled.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c"))
         mixed = (
-            labelled.groupBy("region")
-            .agg(F.count(F.lit(1)).alias("points"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("sid").alias("first"))
-            .where("l1 != l2")
-            .drop("l1", "l2")
+            by_label.groupBy("region")
+            .agg(F.max(F.struct("c", "label")).alias("home"), F.sum("c").alias("points"))
+            .where("points > home.c")
+            .select("region", F.col("home.label").alias("home"), (F.col("points") - F.col("home.c")).alias("outside"))
+        )
+        # Points of the largest component need not meet each other, so the others are the pivots.
+        chosen = (F.col("label") != F.col("home")) & (
+            (F.col("outside") <= SMALL_REGION) | (F.pmod(F.xxhash64("sid", F.lit(rounds)), F.lit(2)) == 0)
         )
-        chosen = (F.col("points") <= SMALL_REGION) | (F.col("sid") == F.col("first")) | (F.pmod(F.xxhash64("sid", "points"), F.lit(4)) == 0)
-        region = written(labelled.join(mixed, "region").withColumn("pivot", chosen).drop("points", "first"), "regions")
+        region = written(labelled.join(mixed, "region").withColumn("pivot", chosen).drop("home", "outside"), "regions")
         if region.isEmpty():
             return labels
-        pivots = region.where("pivot").select("region", *[F.col(name).alias(f"p_{name}") for name in ("sid", "n", "d", "label")])
+        pivots = region.where("pivot").select("region", *[F.col(name).alias(f"p_{name}") for name in ("sid", "n", "place", "d", "label")])
         meeting = (
             (F.col("label") != F.col("p_label"))
             & (~F.col("pivot") | (F.col("sid") < F.col("p_sid")))
-            & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
-            & (F.abs(F.col("d") - F.col("p_d")) <= r + 1e-9)
+            & _may_link(percent)
+            & (F.abs(F.coalesce(F.col("d") - F.col("p_d"), F.lit(0.0))) <= r + 1e-9)
         )
         met = region.join(pivots, "region").where(meeting)
         pairs = met.select(F.least("sid", "p_sid").alias("a"), F.greatest("sid", "p_sid").alias("b")).distinct()
@@ -200,7 +230,7 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         if not found.isEmpty():
             links = written(links.unionByName(found), "links")
             labels = components(links)
-        region = region.where("NOT pivot").select("region", "sid", "n", "d")
+        region = region.where("NOT pivot").select("region", "sid", "n", "place", "d")
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
