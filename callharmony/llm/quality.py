@@ -31,7 +31,8 @@ WINDOW = 5
 UPPER = {"symbol_rate": 0.10, "dup_line_rate": 0.30, "upper_rate": 1.00, "mark_rate": 0.25, "long_rate": 2.5}
 LOWER = {"long_rate": 2.0}
 SPREAD = 4.0
-# A group with fewer documents takes the fences of its language, a language with fewer those of all documents.
+# A group with fewer documents takes the fences of its language, a language with fewer those of all documents; if
+# these are fewer as well, only the base rules count.
 LEAST_GROUP = 100
 SKETCH_K = 400
 
@@ -125,7 +126,7 @@ def fences(counted: DataFrame, counts: str, lang: str, source: str) -> DataFrame
         *[
             F.when(F.col("n") >= LEAST_GROUP, F.col(name))
             .when(F.col("lang_n") >= LEAST_GROUP, F.col(f"lang_{name}"))
-            .otherwise(F.col(f"all_{name}"))
+            .when(F.col("all_n") >= LEAST_GROUP, F.col(f"all_{name}"))
             .alias(name)
             for name in rates
         ],

@@ -1,0 +1,32 @@
+import pytest
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, counts string, kept boolean, copy int"
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Documents with nulls in every column, empty and blank texts, ties, repeated rows and clashing names."""
+    long = " ".join(f"word{i % 997}x{i}" for i in range(30_000))
+    prose = "the quick brown fox jumps over the lazy dog and then it rests for a while in the warm sun"
+    texts = [
+        (1, prose, "en", "a"),
+        (2, prose, "en", "a"),
+        (2, prose, "en", "a"),
+        (3, None, "en", "a"),
+        (4, "", "en", None),
+        (5, " \n\t ", None, "b"),
+        (None, "no id but words enough to be counted as a text of some length here", "en", "b"),
+        (None, None, None, None),
+        (6, long, "en", "b"),
+        (7, "日本語 テキスト 😀 naïve <b>", "xx", "c"),
+        (8, "a\nb\na\nb\na\nb\na\nb", "xx", "c"),
+        (9, "one two three", "xx", "c"),
+        (10, "ONE two  three", "xx", "c"),
+    ]
+    rows = [(i, t, lang, source, None if t is None else len(t), "r", None, True, 7) for i, t, lang, source in texts]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def empty(odd):
+    return odd.limit(0)

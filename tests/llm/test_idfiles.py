@@ -1,0 +1,55 @@
+import json
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
+
+from callharmony.llm import idfiles
+from callharmony.llm.tokenizing import WORD_BPE
+from callharmony.session import workspace
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1)), st.booleans())
+def test_frames_round_trip(values, small):
+    ids = np.array([v % 65536 if small else v for v in values], "<u4").tobytes()
+    for dictionary in (b"", idfiles.train([bytes([i % 7]) * 50 + bytes([i]) * 9 for i in range(200)])):
+        frames = idfiles.Frames(dictionary)
+        assert frames.unpack(frames.pack(ids)) == ids
+
+
+def test_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    library, start, want = Tokenizer.from_file(WORD_BPE), 0, {}
+    for row in docs.orderBy("doc_id").collect():
+        ids = np.array([*library.encode(row["text"], add_special_tokens=False).ids, 2], "<u4")
+        want[row["doc_id"]] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    found = {row["doc_id"]: tuple(row[1:4]) for row in idfiles.id_files(docs).select("doc_id", "start", "n_tokens", "ids_crc32").collect()}
+    assert found == want
+
+
+def test_random_access_and_a_wrong_dictionary(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    folder = workspace(spark, "ids")
+    manifest = idfiles.write_ids(docs, folder)
+    place = Path(folder.removeprefix("file:"))
+    assert json.loads((place / "manifest.json").read_text()) == manifest
+    file = idfiles.IdFile(f"{folder}/{manifest['files'][0]['name']}", (place / "dictionary.zstd").read_bytes())
+    rows = {row["doc_id"]: bytes(row["ids"]) for row in idfiles.read_ids(spark, folder).collect()}
+    for i in (file.count - 1, 0):
+        assert file.ids(i) == rows[file.doc_ids[i]]
+    with pytest.raises(ValueError, match="another dictionary"):
+        idfiles.IdFile(f"{folder}/{manifest['files'][0]['name']}", b"other")
+    assert not [f for f in place.iterdir() if f.suffix not in (".ids", ".zstd", ".json", ".crc")]
+
+
+def test_odd_rows(odd, empty):
+    rows = idfiles.id_files(odd).orderBy("start").collect()
+    assert [row["doc_id"] for row in rows] == [None, None, 1, 2, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+    assert [row["start"] for row in rows] == [sum(r["n_tokens"] for r in rows[:i]) for i in range(len(rows))]
+    assert {row["n_tokens"] for row in rows if row["doc_id"] in (3, 4, 5)} == {1}
+    assert idfiles.id_files(empty).count() == 0

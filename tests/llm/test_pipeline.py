@@ -1,0 +1,66 @@
+"""The pipeline against a plain twin, stage by stage, and the registered queries against their SQL."""
+
+import sys
+from collections import defaultdict
+from pathlib import Path
+
+import oracle
+import pytest
+
+sys.path.append(str(Path(__file__).parent))
+from brute import link_groups, shingle_set  # noqa: E402
+from test_packing import check_layout  # noqa: E402
+
+import __spark_entry__ as entry  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from callharmony.llm.queries import ORACLES, QUERIES  # noqa: E402
+from callharmony.llm.tables import written  # noqa: E402
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def rows_of(df):
+    return sorted((tuple(row) for row in df.collect()), key=repr)
+
+
+def test_stages(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    outs = []
+    for stage in stages.values():
+        docs = written(stage(spark, docs, SF_DIR), "test-stage")
+        outs.append(docs)
+    good, unique, apart, mixed, packed = outs
+    for df in outs[:-1]:
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+    verdict = {row["doc_id"] for row in QUERIES["op1_quality_rules"](spark, SF_DIR).where("kept").collect()}
+    assert {row["doc_id"] for row in good.collect()} == verdict
+
+    last = defaultdict(int)
+    for row in good.collect():
+        last[row["text"]] = max(last[row["text"]], row["doc_id"])
+    assert rows_of(unique) == [row for row in rows_of(good) if last[row[1]] == row[0]]
+
+    ordered = sorted(unique.collect(), key=lambda row: row["doc_id"])
+    groups = link_groups([shingle_set(row["text"]) for row in ordered])
+    assert sorted(row["doc_id"] for row in apart.collect()) == [row["doc_id"] for i, row in enumerate(ordered) if groups[i] == i]
+
+    assert set(rows_of(mixed)) <= set(rows_of(apart))
+    pieces = packed.collect()
+    check_layout(pieces)
+    assert sum(row["piece"] == 0 for row in pieces) == mixed.count()
+
+
+def test_run_equals_its_stages_in_size(spark):
+    assert entry.queries()["pipeline"](spark, SF_DIR).count() > 0
+
+
+@pytest.mark.parametrize("name", ORACLES)
+def test_query_equals_its_sql(spark, name):
+    assert oracle.difference(QUERIES[name](spark, SF_DIR), oracle.connect(SF_DIR), ORACLES[name]) == ""
+
+
+def test_every_operator_has_one_query():
+    numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
+    assert numbers == list(range(1, 11)) and QUERIES.keys() <= entry.queries().keys()

@@ -1,0 +1,68 @@
+import re
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from callharmony.llm import quality as q
+from callharmony.llm.words import numbered, window_ids
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    covered = {j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("ab \n\t#*é😀\x1c\x85"), max_size=80))
+def test_counts(text):
+    assert q.counts_of(text)[:5] == brute(text)
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=30), st.integers(1, 7))
+def test_window_numbers_are_equal_for_equal_windows_only(items, width):
+    ids = window_ids(numbered([str(i).encode() for i in items]), width)
+    windows = [tuple(items[i : i + width]) for i in range(len(items) - width + 1)]
+    assert len(ids) == len(windows)
+    assert all((ids[i] == ids[j]) == (windows[i] == windows[j]) for i in range(len(ids)) for j in range(i))
+
+
+def test_odd_rows(odd):
+    rows = q.quality(odd).collect()
+    assert len(rows) == odd.count()
+    by_text = {row["doc_id"]: row for row in rows if row["doc_id"] is not None}
+    assert by_text[3]["base_failed"] and by_text[4]["base_failed"] and not by_text[3]["kept"]
+    assert not by_text[1]["base_failed"] and by_text[1]["kept"]
+    assert by_text[6]["n_words"] == 30_000 and by_text[6]["n_repeat_words"] == 0
+    left = q.drop_low_quality(odd)
+    assert left.columns == odd.columns
+    assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"]) == [1, 2, 2, 6]
+
+
+def test_empty_table(empty):
+    assert q.quality(empty).count() == 0 and q.drop_low_quality(empty).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_labelled_documents(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    rows = q.quality(docs).join(labels, "doc_id").where("NOT base_failed").collect()
+    good = [row["kept"] for row in rows if row["quality"] == 1]
+    assert sum(good) >= 0.99 * len(good)
+
+
+def test_fences_follow_the_group(spark):
+    """The same rate is normal in one source and far outside in another."""
+    words = " ".join(f"word{i}" for i in range(40))
+    marks = [" " + " ".join(f"#{i}" for i in range(n)) for n in (20, 21, 22)]
+    rows = [(i, words + marks[i % 3] if source == "tables" else words, "en", source) for source in ("tables", "prose") for i in range(200)]
+    rows.append((999, words + marks[0], "en", "prose"))
+    out = q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    kept = Counter((row["doc_id"] == 999, row["kept"]) for row in out.collect())
+    assert kept == {(False, True): 400, (True, False): 1}
