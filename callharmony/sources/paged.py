@@ -159,7 +159,11 @@ def register_paged(
 ) -> None:
     """Make the source readable as ``format(name)``.
 
-    The package travels with the class, so executors need no copy of it.
+    The package travels with the class, which is pickled here, so executors need no copy of it.
+    Later functions are pickled as usual.
     """
     cloudpickle.register_pickle_by_value(callharmony)
-    spark.dataSource.register(paged_source(spec, fetch, name))
+    try:
+        spark.dataSource.register(paged_source(spec, fetch, name))
+    finally:
+        cloudpickle.unregister_pickle_by_value(callharmony)
