@@ -71,12 +71,9 @@ def drop_repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc
     keyed = docs.select(column(docs, doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_key"))
     gone = written(repeats(keyed), "repeats").withColumnsRenamed({"doc_id": "g_id", "text_key": "g_key"})
     same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key"))
-    joined = keyed.join(broadcast_if_small(gone), same, "left")
-    cut = _chunked(joined.where("removed IS NOT NULL"))
-    kept_no = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.col("removed"))
+    # Texts move once, whatever the number of repeats.
+    cut = _chunked(keyed.join(gone.hint("merge"), same, "left"))
+    kept_no = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.coalesce("removed", F.array().cast("array<int>")))
     kept = cut.withColumn("kept_no", kept_no).withColumn("kept", F.flatten(F.transform("kept_no", lambda i: F.get(F.col("chunks"), i))))
     n_lines = F.size("lines").cast("long")
-    changed = kept.select("doc_id", F.array_join("kept", "\n").alias("text"), n_lines.alias("n_lines"), (n_lines - F.size("kept")).alias("n_removed"))
-    lines = F.size(F.split("text", "\n", -1)).cast("long")
-    whole = joined.where("removed IS NULL").select("doc_id", "text", lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    return whole.unionByName(changed)
+    return kept.select("doc_id", F.array_join("kept", "\n").alias("text"), n_lines.alias("n_lines"), (n_lines - F.size("kept")).alias("n_removed"))
