@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -33,7 +34,10 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--lake", help="base path for raw rows")
     parser.add_argument("--checkpoint")
     parser.add_argument("--crosswalk", help="CSV files to use in place of the packaged dictionaries")
-    parser.add_argument("--run-id", default=datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ"))
+    parser.add_argument("--run-id", help="the run to read; for landed pages the last one, for a fetch the time now")
+    parser.add_argument("--all-runs", action="store_true", help="read every landed run, to build the table anew")
+    parser.add_argument("--page-size", type=int)
+    parser.add_argument("--allow-incomplete", action="store_true")
     args = parser.parse_args(argv)
     needed = {
         "run": ["source", "table"],
@@ -49,14 +53,22 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
 
 def landed_pages(spark: SparkSession, spec: SourceSpec, args: argparse.Namespace) -> DataFrame:
     if args.layout == "files":
-        return read_page_files(spark, args.pages, spec.slug)
-    return read_page_table(spark, args.pages).where(F.col("dataset") == spec.slug)
+        pages = read_page_files(spark, args.pages, spec.slug)
+    else:
+        pages = read_page_table(spark, args.pages).where(F.col("dataset") == spec.slug)
+    if args.all_runs or args.command == "audit" and args.run_id is None:
+        return pages
+    if args.run_id is None:
+        args.run_id = pages.agg(F.max("run_id")).first()[0]
+    return pages.where(F.col("run_id") == args.run_id)
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parse_args(argv)
     spark = build_session()
     spec = SPECS.get(args.source)
+    if spec and args.page_size:
+        spec = replace(spec, page_size=args.page_size)
     if args.command == "show":
         preview(CallTable(spark, args.table).read())
     elif args.command == "audit":
@@ -64,14 +76,18 @@ def main(argv: list[str] | None = None) -> None:
         audit_summary(audit(spec, pages), by=("dataset", "run_id")).show(truncate=False)
     elif args.command == "stream":
         calls = CallTable(spark, args.table)
-        run_stream(spec, args.pages, load_crosswalk(spark, args.crosswalk), calls, args.checkpoint, args.lake)
+        crosswalk = load_crosswalk(spark, args.crosswalk)
+        run_stream(spec, args.pages, crosswalk, calls, args.checkpoint, args.lake, None, args.allow_incomplete)
     else:
         if args.landing:
+            args.run_id = args.run_id or datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
             pages = fetch_pages(spark, spec, args.landing, args.run_id)
         else:
             pages = landed_pages(spark, spec, args)
         calls = CallTable(spark, args.table)
-        report = run(spec, pages, load_crosswalk(spark, args.crosswalk), calls, args.lake, args.run_id)
+        crosswalk = load_crosswalk(spark, args.crosswalk)
+        run_id = args.run_id or datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
+        report = run(spec, pages, crosswalk, calls, args.lake, run_id, args.allow_incomplete)
         print(f"{report.records} records found. {report}")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from callharmony.operators.upsert import has_null_key
 from callharmony.schema import KEYS
+from callharmony.session import workspace
 
 # Pages per window partition. Running totals are built inside spans of this many pages
 # and then across the spans, so no task sees all pages of a large source.
@@ -28,7 +29,13 @@ def call_metrics(keys: Sequence[str] = KEYS) -> list[Column]:
 
 
 def with_running_total(counts: DataFrame, by: Sequence[str] = ("dataset",), span: int = SPAN) -> DataFrame:
-    """Add ``running``, ``next_seq`` and ``first_seq`` to one row per page with its count ``n``."""
+    """Add ``running``, ``next_seq`` and ``first_seq`` to one row per page with its count ``n``.
+
+    The counts are written first, a few bytes per page, since they are used twice.
+    """
+    path = workspace(counts.sparkSession, "page-counts")
+    counts.write.parquet(path)
+    counts = counts.sparkSession.read.schema(counts.schema).parquet(path)
     spans = counts.withColumn("_span", F.floor(F.col("page_seq") / span))
     group = [*by, "_span"]
     across = Window.partitionBy(*by).orderBy("_span")

@@ -28,9 +28,14 @@ def apply_range(
     of that day. ``half_open`` leaves the upper bound itself out, for ranges given as
     "up to the start of the next day". Rows with no time are outside every range.
     """
-    value = F.col(column) if isinstance(column, str) else column
+    return df.where(in_range(F.col(column) if isinstance(column, str) else column, low, high, half_open))
+
+
+def in_range(value: Column, low: Bound = None, high: Bound = None, half_open: bool = False) -> Column:
+    """The same as a condition; null for rows with no time."""
+    inside = F.lit(True)
     if low is not None:
-        df = df.where(value >= _bound(low))
+        inside = value >= _bound(low)
     if high is not None:
-        df = df.where(value < _bound(high) if half_open else value <= _bound(high))
-    return df
+        inside &= value < _bound(high) if half_open else value <= _bound(high)
+    return inside

@@ -1,6 +1,8 @@
 from callharmony.plans.jobs import (
+    IncompleteFetch,
     RunReport,
     audit,
+    complete_pages,
     fetch_pages,
     harmonize,
     run,
@@ -8,4 +10,4 @@ from callharmony.plans.jobs import (
     run_to_warehouse,
 )
 
-__all__ = ["RunReport", "audit", "fetch_pages", "harmonize", "run", "run_all", "run_to_warehouse"]
+__all__ = ["IncompleteFetch", "RunReport", "audit", "complete_pages", "fetch_pages", "harmonize", "run", "run_all", "run_to_warehouse"]

@@ -12,7 +12,7 @@ from callharmony.functions import whole_number
 from callharmony.operators.audit import call_metrics, page_audit
 from callharmony.operators.crosswalk import map_call_type
 from callharmony.operators.project import conform, label
-from callharmony.operators.ranges import apply_range
+from callharmony.operators.ranges import in_range
 from callharmony.operators.upsert import fold_pages
 from callharmony.schema import CALL_SCHEMA, KEYS, ORDER
 from callharmony.session import require_utc, workspace
@@ -21,7 +21,7 @@ from callharmony.sinks.raw import land_raw_text
 from callharmony.sinks.table import STORED_SCHEMA, CallTable, page_order
 from callharmony.sources.envelopes import page_sizes, parse_rows, raw_rows
 from callharmony.sources.http import http_fetch, total_rows
-from callharmony.sources.landed import land_pages, read_page_table
+from callharmony.sources.landed import read_page_table, replace_run
 from callharmony.sources.paged import Fetch, register_paged
 from callharmony.sources.specs import SourceSpec
 
@@ -35,6 +35,13 @@ class RunReport:
     null_keys: int
     unmapped: int
     time_rejects: int
+    out_of_range: int
+    pages: int
+    bad_pages: int
+
+
+class IncompleteFetch(RuntimeError):
+    """Pages are missing, or a reply has no rows; nothing was written."""
 
 
 def harmonize(
@@ -43,18 +50,21 @@ def harmonize(
     """Canonical rows of a source's pages, with the run and page they came from.
 
     One pass with no shuffle: parse, filter, project, look the call type up. Fields the
-    source does not have are typed nulls. ``rejects`` counts times that were sent but could
-    not be read, before the range filter leaves such rows out.
+    source does not have are typed nulls. Rows outside the source's range are left out, rows
+    whose time is missing or cannot be read stay with a null time. ``rejects`` counts times
+    that were sent but could not be read, and rows out of range.
     """
     require_utc(pages.sparkSession)
     rows = parse_rows(pages, spec.envelope, spec.fields, spec.aliases, keep=ORDER)
     rows = rows.withColumn("_time", spec.time.source_time())
-    if rejects is not None:
-        rejected = spec.time.rejected(F.col("_time"))
-        rows = rows.observe(rejects, F.count_if(rejected).alias("time_rejects"))
+    outside = F.lit(False)
     if spec.time_range is not None:
         bounds = spec.time_range
-        rows = apply_range(rows, "_time", bounds.low, bounds.high, bounds.half_open)
+        outside = ~F.coalesce(in_range(F.col("_time"), bounds.low, bounds.high, bounds.half_open), F.lit(True))
+    if rejects is not None:
+        rejected = spec.time.rejected(F.col("_time"))
+        rows = rows.observe(rejects, F.count_if(rejected).alias("time_rejects"), F.count_if(outside).alias("out_of_range"))
+    rows = rows.where(~outside)
 
     fields: dict[str, Column] = {"call_time": spec.time.call_time(F.col("_time"))}
     fields |= {target: F.col(source) for target, source in spec.texts.items()}
@@ -70,11 +80,20 @@ def harmonize(
 
 def audit(spec: SourceSpec, pages: DataFrame) -> DataFrame:
     """Whether the pages of each run are all there, by the source's own rule for the last page."""
-    sizes = page_sizes(pages, spec.envelope)
+    sizes = page_sizes(pages, spec.envelope)  # one pass over the bodies; what follows reads the written counts
     page_size = None if spec.envelope.truncated_path else spec.page_size
     return page_audit(sizes, page_size, by=("dataset", "run_id"))
 
 
+def complete_pages(sources: Mapping[SourceSpec, DataFrame], allow_incomplete: bool = False) -> tuple[int, int]:
+    """The numbers of pages and of pages that fail their audit; any of the latter is refused unless allowed."""
+    judged = [audit(spec, pages).select("dataset", "run_id", "page_seq", "complete") for spec, pages in sources.items()]
+    row = _union(judged).agg(F.count(F.lit(1)), F.count_if(~F.col("complete")), F.min(F.when(~F.col("complete"), F.struct("dataset", "run_id", "page_seq")))).first()
+    if row[1] and not allow_incomplete:
+        raise IncompleteFetch(f"{row[1]} of {row[0]} pages are incomplete, the first is {tuple(row[2])}")
+    return row[0], row[1]
+
+
 def fetch_pages(
     spark: SparkSession,
     spec: SourceSpec,
@@ -85,14 +104,18 @@ def fetch_pages(
 ) -> DataFrame:
     """Read a service on the executors, keep its bodies as a page table, and return those of this run.
 
-    Later steps start from what has landed, so no page is asked for twice. ``options`` are
-    those of the paged source; with no ``total``, a feature service is asked for its own.
+    Later steps start from what has landed, so no page is asked for twice. A repeated fetch
+    of a run takes the place of the earlier one. ``options`` are those of the paged source but
+    for the page size, which is the spec's, since the audit needs it too; with no ``total``,
+    services that count their rows are asked for it.
     """
+    if "page_size" in options:
+        raise ValueError("the page size is part of the spec")
     if "total" not in options and (total := total_rows(spec, fetch)) is not None:
         options["total"] = total
     register_paged(spark, spec, fetch)
     bodies = spark.read.format("paged").options(**options).load()
-    land_pages(bodies.withColumns({"dataset": F.lit(spec.slug), "run_id": F.lit(run_id)}), landing)
+    replace_run(bodies, landing, spec.slug, run_id)
     landed = read_page_table(spark, landing)
     return landed.where((F.col("dataset") == spec.slug) & (F.col("run_id") == run_id))
 
@@ -104,9 +127,10 @@ def run(
     target: CallTable,
     lake: str | None = None,
     run_id: str | None = None,
+    allow_incomplete: bool = False,
 ) -> RunReport:
-    """One source: keep the raw rows, harmonize, fold the pages, upsert."""
-    return run_all({spec: pages}, crosswalk, target, lake, run_id)
+    """One source: audit the pages, keep the raw rows, harmonize, fold the pages, upsert."""
+    return run_all({spec: pages}, crosswalk, target, lake, run_id, allow_incomplete)
 
 
 def run_all(
@@ -115,13 +139,16 @@ def run_all(
     target: CallTable,
     lake: str | None = None,
     run_id: str | None = None,
+    allow_incomplete: bool = False,
 ) -> RunReport:
-    """Any number of sources in one upsert.
+    """Any number of sources in one upsert. Incomplete runs are refused before anything is written.
 
     With ``lake``, the raw rows are kept below it first, in the folder of ``run_id``; a
-    repeated run replaces its own folder. Paged sources are staged as Parquet so that
-    folding reads narrow columns and no JSON is parsed twice.
+    repeated run replaces its own folder. Rows are staged as Parquet so that folding reads
+    narrow columns and no JSON is parsed twice. Of a source that replies in one batch, the
+    last run that has a key gives all rows of it.
     """
+    n_pages, bad_pages = complete_pages(sources, allow_incomplete)
     if lake is not None:
         if run_id is None:
             raise ValueError("landing raw rows needs a run_id")
@@ -134,19 +161,20 @@ def run_all(
         rows = harmonize(spec, pages, crosswalk, rejects[spec.slug])
         (paged if spec.paged else whole).append(rows)
 
-    counts, batches = [], []
-    if paged:
-        staging = "+".join(sorted(spec.slug for spec in sources if spec.paged))
+    counts, batches, stagings = [], [], []
+    for kind, frames in (("paged", paged), ("whole", whole)):
+        if not frames:
+            continue
+        stagings.append(f"{kind}-" + "+".join(sorted(spec.slug for spec in sources if spec.paged == (kind == "paged"))))
         counts.append(Observation())
         runs = [F.min("run_id").alias("first_run"), F.max("run_id").alias("last_run")]
-        staged = target.stage(_union(paged), staging, counts[-1], [*call_metrics(), *runs])
+        staged = target.stage(_union(frames), stagings[-1], counts[-1], [*call_metrics(), *runs])
         span = {counts[-1].get["first_run"], counts[-1].get["last_run"]}
-        batches.append(fold_pages(staged, KEYS, page_order(len(span))))
-    if whole:
-        counts.append(Observation())
-        batches.append(_union(whole).observe(counts[-1], *call_metrics()))
+        # Within one run, a reply that is not paged has nothing to fold.
+        one_batch = kind == "whole" and len(span) == 1
+        batches.append(staged if one_batch else fold_pages(staged, KEYS, page_order(len(span))))
     version = target.upsert(_union(batches))
-    if paged:
+    for staging in stagings:
         target.clear_staging(staging)
 
     def total(name: str) -> int:
@@ -158,6 +186,9 @@ def run_all(
         null_keys=total("null_keys"),
         unmapped=total("unmapped"),
         time_rejects=sum(seen.get["time_rejects"] for seen in rejects.values()),
+        out_of_range=sum(seen.get["out_of_range"] for seen in rejects.values()),
+        pages=n_pages,
+        bad_pages=bad_pages,
     )
 
 
@@ -170,17 +201,25 @@ def run_to_warehouse(
     staging: str,
     execute: Callable[[str], object],
     properties: dict[str, str] | None = None,
-) -> None:
-    """One source into a table of a JDBC warehouse, through a staging table of the run.
+    lake: str | None = None,
+    run_id: str | None = None,
+    allow_incomplete: bool = False,
+) -> dict[str, int]:
+    """One source into a table of a JDBC warehouse, through a staging table of the run; returns its counts.
 
-    Paged rows are written to the cluster's shared folder first, so that folding them does
-    not parse the pages twice.
+    Audited and landed like ``run``. Rows are written to the cluster's shared folder first, so
+    that folding them does not parse the pages twice.
     """
-    rows = harmonize(spec, pages, crosswalk)
-    if spec.paged:
-        path = workspace(pages.sparkSession, spec.slug)
-        rows.write.parquet(path)
-        rows = fold_pages(pages.sparkSession.read.schema(rows.schema).parquet(path), KEYS, ORDER)
+    n_pages, bad_pages = complete_pages({spec: pages}, allow_incomplete)
+    if lake is not None:
+        if run_id is None:
+            raise ValueError("landing raw rows needs a run_id")
+        land_raw_text(raw_rows(pages, spec.envelope), lake, spec.slug, run_id, mode="overwrite")
+    rejects, counts = Observation(), Observation()
+    rows = harmonize(spec, pages, crosswalk, rejects)
+    path = workspace(pages.sparkSession, spec.slug)
+    rows.observe(counts, *call_metrics()).write.parquet(path)
+    rows = fold_pages(pages.sparkSession.read.schema(rows.schema).parquet(path), KEYS, ORDER)
     write_jdbc(
         rows.select(*CALL_SCHEMA.names),
         url,
@@ -190,6 +229,7 @@ def run_to_warehouse(
         execute,
         properties,
     )
+    return {**counts.get, **rejects.get, "pages": n_pages, "bad_pages": bad_pages}
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

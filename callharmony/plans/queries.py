@@ -7,7 +7,7 @@ them from a whole table, one page per thousand ids.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampType
@@ -47,6 +47,7 @@ from callharmony.sources import (
     read_row_array,
     read_row_lines,
     register_raw,
+    replace_run,
     unwrap,
 )
 from callharmony.sources.paged import register_paged
@@ -191,21 +192,33 @@ EVENT_ROWS_SQL = (
 )
 
 
+PAGE_ROWS = 1000
+
+
 def page_bodies(rows: DataFrame, envelope: Envelope, page: Column, fields: list[Column]) -> DataFrame:
-    """One body per page, in the given envelope; a page is as many rows as the source's pages are."""
+    """One body per page of ``PAGE_ROWS`` ids, in the given envelope, ended as the source's services end a fetch.
+
+    The last page says that nothing was cut off, or is short; where it is full, an empty one follows.
+    """
     row = F.struct(*fields)
     rows_of_page = F.collect_list(F.struct(row.alias(envelope.row_field)) if envelope.row_field else row)
+    paged = rows.groupBy(page.cast("int").alias("page_seq")).agg(rows_of_page.alias("rows"), F.count(F.lit(1)).alias("n"))
+    final = paged.agg(F.max(F.struct("page_seq", "n")).alias("final"))
+    empty = F.array().cast(paged.schema["rows"].dataType)
+    after = final.where(F.col("final.n") >= PAGE_ROWS).select((F.col("final.page_seq") + 1).alias("page_seq"), empty.alias("rows"), F.lit(0).cast("bigint").alias("n"))
+    paged = paged.unionByName(after).join(F.broadcast(final))  # one row
     if envelope.array_path is None:
-        body = rows_of_page
+        body = F.col("rows")
     else:
         *parents, last = envelope.array_path.split(".")
-        inside = [rows_of_page.alias(last)]
+        inside = [F.col("rows").alias(last)]
         if envelope.truncated_path:
-            inside.append(F.lit(True).alias(envelope.truncated_path.split(".")[-1]))
+            more = F.col("page_seq") < F.col("final.page_seq") + (F.col("final.n") >= PAGE_ROWS).cast("int")
+            inside.append(more.alias(envelope.truncated_path.split(".")[-1]))
         body = F.struct(*inside)
         for parent in reversed(parents):
             body = F.struct(body.alias(parent))
-    return rows.groupBy(page.cast("int").alias("page_seq")).agg(F.to_json(body).alias("body"))
+    return paged.select("page_seq", F.to_json(body).alias("body"))
 
 
 def event_bodies(spark: SparkSession, sf_dir: str, envelope: Envelope) -> DataFrame:
@@ -266,8 +279,7 @@ EVENTS_SPEC = SourceSpec(
     envelope=FEATURES,
     time=TimeRule(("ts",)),
     texts={"call_id": "event_id", "call_type": "event_type"},
-    page_size=1000,
-    where="1=1",
+    page_size=PAGE_ROWS,
 )
 
 
@@ -488,7 +500,9 @@ def audited_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT 'events' AS dataset, 'r1' AS run_id, page_seq, n, CAST(sum(n) OVER w AS BIGINT) AS running, "
     "CAST(sum(n) OVER w AS BIGINT) - n AS \"offset\", lead(page_seq) OVER w IS NULL AS is_last, "
     "n < 1000 AS is_short, TRUE AS has_rows, (lead(page_seq) OVER w IS NULL) = (n < 1000) AS complete "
-    "FROM (SELECT CAST(event_id // 1000 AS INTEGER) AS page_seq, count(*) AS n FROM events GROUP BY ALL) "
+    "FROM (SELECT CAST(event_id // 1000 AS INTEGER) AS page_seq, count(*) AS n FROM events GROUP BY ALL "
+    "UNION ALL SELECT CAST(max(event_id) // 1000 AS INTEGER) + 1, 0 FROM events "
+    "HAVING max(event_id) % 1000 = 999) "
     "WINDOW w AS (ORDER BY page_seq)"
 )
 def body_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -552,6 +566,20 @@ FLAGS_SQL = {
 }
 LOCAL_SQL = "timezone('UTC', timezone('{}', {}))"
 
+
+# Of every fifty rows of a source with a time range, one has no time and one has a time that cannot be read.
+def spoilt(time: str) -> str:
+    return f"CASE event_id % 50 WHEN 0 THEN NULL WHEN 1 THEN 'soon' ELSE {time} END"
+
+
+def spoilt_sql(time: str) -> str:
+    return f"CASE WHEN event_id % 50 > 1 THEN {time} END"
+
+
+def spoilt_where(condition: str) -> str:
+    return f"(event_id % 50 <= 1 OR {condition})"
+
+
 STAND_INS = {
     "arizona-phoenix": StandIn(
         call_types={
@@ -564,9 +592,9 @@ STAND_INS = {
         call_type="FINAL_CALL_TYPE",
         call_id="INCIDENT_NUM",
         call_id_sql=USER_ID,
-        time_fields={"CALL_RECEIVED": f"CAST({MOVED} AS STRING)"},
-        time_sql=LOCAL_SQL.format("America/Phoenix", MOVED_SQL),
-        where_sql=f"{MOVED_SQL} BETWEEN DATE '2020-12-31' AND DATE '2022-01-01'",
+        time_fields={"CALL_RECEIVED": spoilt(f"CAST({MOVED} AS STRING)")},
+        time_sql=spoilt_sql(LOCAL_SQL.format("America/Phoenix", MOVED_SQL)),
+        where_sql=spoilt_where(f"{MOVED_SQL} BETWEEN DATE '2020-12-31' AND DATE '2022-01-01'"),
         fields={"DISPOSITION": "upper(event_type)", "priority": "length(event_type)", **FLAGS},
         extra_sql={"disposition": "upper(event_type)", "priority": "length(event_type)", **FLAGS_SQL},
     ),
@@ -581,9 +609,11 @@ STAND_INS = {
         call_type="narrative",
         call_id="id",
         call_id_sql=USER_ID,
-        time_fields={"report_date": f"date_format({MOVED}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"},
-        time_sql=LOCAL_SQL.format("America/New_York", MOVED_SQL),
-        where_sql=f"{MOVED_SQL} BETWEEN TIMESTAMP '2021-01-01 00:00:00' AND TIMESTAMP '2021-12-31 11:59:59'",
+        time_fields={"report_date": spoilt(f"date_format({MOVED}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")")},
+        time_sql=spoilt_sql(LOCAL_SQL.format("America/New_York", MOVED_SQL)),
+        where_sql=spoilt_where(
+            f"{MOVED_SQL} BETWEEN TIMESTAMP '2021-01-01 00:00:00' AND TIMESTAMP '2021-12-31 11:59:59'"
+        ),
         fields={"priority": "length(event_type)", **FLAGS},
         extra_sql={"priority": "length(event_type)", **FLAGS_SQL},
     ),
@@ -608,11 +638,11 @@ STAND_INS = {
         call_type="description",
         call_id="callNumber",
         call_id_sql=USER_ID,
-        time_fields={"callDateTime": f"unix_millis(CAST({MOVED} AS TIMESTAMP))"},
-        time_sql=f"date_trunc('milliseconds', {MOVED_SQL})",
-        where_sql=(
-            f"date_trunc('milliseconds', {MOVED_SQL}) >= DATE '2021-01-01' "
-            f"AND date_trunc('milliseconds', {MOVED_SQL}) <= DATE '2021-12-31'"
+        time_fields={"callDateTime": spoilt(f"CAST(unix_millis(CAST({MOVED} AS TIMESTAMP)) AS STRING)")},
+        time_sql=spoilt_sql(f"date_trunc('milliseconds', {MOVED_SQL})"),
+        where_sql=spoilt_where(
+            f"(date_trunc('milliseconds', {MOVED_SQL}) >= DATE '2021-01-01' "
+            f"AND date_trunc('milliseconds', {MOVED_SQL}) <= DATE '2021-12-31')"
         ),
         fields={"PRIORITY": "length(event_type)"},
         extra_sql={"priority": "length(event_type)"},
@@ -681,8 +711,9 @@ def case(values: dict[str, str], column: str = "event_type") -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
 
 
-def source_pages(spark: SparkSession, sf_dir: str, slug: str) -> DataFrame:
+def source_pages(spark: SparkSession, sf_dir: str, slug: str, events: DataFrame | None = None) -> DataFrame:
     """Landed pages of one source, with every event in them."""
+    events = table(spark, sf_dir, "events") if events is None else events
     stand_in, spec = STAND_INS[slug], SPECS[slug]
     expressions = {
         stand_in.call_id: stand_in.call_id_sql,
@@ -692,7 +723,7 @@ def source_pages(spark: SparkSession, sf_dir: str, slug: str) -> DataFrame:
         "other_field": "value",
     }
     fields = [F.expr(e).alias(name) for name, e in expressions.items()]
-    bodies = page_bodies(table(spark, sf_dir, "events"), spec.envelope, F.expr("event_id div 1000"), fields)
+    bodies = page_bodies(events, spec.envelope, F.expr("event_id div 1000"), fields)
     return bodies.select(F.lit(slug).alias("dataset"), F.lit("r1").alias("run_id"), "page_seq", "body")
 
 
@@ -716,6 +747,11 @@ def source_sql(slug: str) -> str:
     )
 
 
+def as_paged(slug: str) -> SourceSpec:
+    """The source as its stand-in is paged."""
+    return replace(SPECS[slug], page_size=PAGE_ROWS)
+
+
 def job(slug: str) -> None:
     """Register the whole job of a source: raw rows landed, pages folded, calls upserted."""
 
@@ -724,7 +760,7 @@ def job(slug: str) -> None:
         calls = CallTable(spark, f"{root}/calls")
         land_pages(source_pages(spark, sf_dir, slug), f"{root}/pages")
         pages = read_page_table(spark, f"{root}/pages")
-        run(SPECS[slug], pages, load_crosswalk(spark), calls, lake=f"{root}/lake", run_id="r1")
+        run(as_paged(slug), pages, load_crosswalk(spark), calls, lake=f"{root}/lake", run_id="r1")
         return calls.read()
 
     query(source_sql(slug), name="job_" + slug.replace("-", "_"))(build)
@@ -741,7 +777,7 @@ for _slug in SPECS:
 )
 def all_sources_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = CallTable(spark, workspace(spark, "all"))
-    pages = {spec: source_pages(spark, sf_dir, slug) for slug, spec in SPECS.items()}
+    pages = {as_paged(slug): source_pages(spark, sf_dir, slug) for slug in SPECS}
     run_all(pages, load_crosswalk(spark), calls)
     return calls.read().groupBy("dataset").agg(
         F.count(F.lit(1)).alias("n"),
@@ -761,6 +797,31 @@ def incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.read()
 
 
+@query(source_sql("arizona-phoenix"))
+def refetch_same_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that is landed twice counts once."""
+    root, slug = workspace(spark, "refetch"), "arizona-phoenix"
+    calls = CallTable(spark, f"{root}/calls")
+    for _ in range(2):
+        replace_run(source_pages(spark, sf_dir, slug), f"{root}/pages", slug, "r1")
+    run(as_paged(slug), read_page_table(spark, f"{root}/pages"), load_crosswalk(spark), calls)
+    return calls.read()
+
+
+@query(source_sql("louisiana-new-orleans"))
+def row_array_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a source that replies in one batch, the last run's rows of a key stand."""
+    root, slug = workspace(spark, "tworuns"), "louisiana-new-orleans"
+    calls = CallTable(spark, f"{root}/calls")
+    pages = source_pages(spark, sf_dir, slug)
+    # Rows without a key pile up, so the earlier run has none of them; that leaves its pages short.
+    keyed = table(spark, sf_dir, "events").where("event_type <> 'error'").withColumn("event_type", F.lit("view"))
+    earlier = source_pages(spark, sf_dir, slug, keyed).withColumn("run_id", F.lit("r0"))
+    both = pages.unionByName(earlier)
+    run(as_paged(slug), both, load_crosswalk(spark), calls, allow_incomplete=True)
+    return calls.read()
+
+
 @query(
     "SELECT count(*) AS records, count(*) FILTER (event_type = 'error') AS null_keys, "
     "count(*) FILTER (event_type = 'signup') AS unmapped FROM events"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,6 +23,8 @@ def build_session(app: str = "callharmony", master: str | None = None, **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # A task writes the few dataset folders side by side, without sorting its rows first.
         "spark.sql.maxConcurrentOutputFileWriters": "32",
+        # Range filters reach the paged source.
+        "spark.sql.python.filterPushdown.enabled": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -53,10 +56,13 @@ def require_utc(spark: SparkSession) -> None:
 def workspace(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    A folder of our own is used only where the cluster names none, as in tests.
+    Without one, a folder of our own will do in local mode only; elsewhere executors would
+    each write to a disk of their own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="callharmony-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/callharmony/{purpose}-{uuid.uuid4().hex}"

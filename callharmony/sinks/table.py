@@ -18,6 +18,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import (
     BooleanType,
@@ -88,28 +89,30 @@ class VersionConflict(RuntimeError):
 class CallTable:
     """One table at ``path``, in storage that all executors share. One writer at a time.
 
-    A table that is not there yet begins as an empty version 0.
+    The first write creates it, from an empty version 0; reading a table that is not there fails.
     """
 
     def __init__(self, spark: SparkSession, path: str, max_pending: int = 64):
         self.spark = spark
         self.path = path.rstrip("/")
         self.max_pending = max_pending
-        self._write_manifest(State(), "ignore")
-        if not self._versions():  # an earlier start ended before its manifest was there
-            self._write_manifest(State(), "append")
 
     # Reading
 
     def _versions(self) -> list[int]:
         """The versions that have a manifest, from a listing alone."""
+        if not self._exists("manifest"):
+            return []
         files = self.spark.read.schema(MANIFEST_SCHEMA).json(f"{self.path}/manifest").inputFiles()
         return sorted(int(VERSION_PATTERN.search(file).group(1)) for file in files)
 
     def state(self, version: int | None = None) -> State:
         """The live parts of a version, the newest by default: a few rows per dataset."""
         if version is None:
-            version = self._versions()[-1]
+            versions = self._versions()
+            if not versions:
+                return State()
+            version = versions[-1]
         manifest = self.spark.read.schema(MANIFEST_SCHEMA).json(f"{self.path}/manifest/version={version}")
         rows = manifest.collect()
         if sum(r.kind == "head" for r in rows) != 1:
@@ -124,6 +127,8 @@ class CallTable:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The canonical rows of a version."""
+        if version is None and not self._versions():
+            raise FileNotFoundError(f"no table at {self.path}")
         return self._current(self.state(version).parts).select(*CALL_SCHEMA.names)
 
     def _scan(self, parts: Sequence[Part]) -> DataFrame:
@@ -164,7 +169,7 @@ class CallTable:
         added = self._write(batch, "batch")
         touched = [p.dataset for p in added]
         if any(p.pending for p in state.of(touched)):
-            self.compact()  # the target is read in two branches below, which should not fold twice
+            self.compact(touched)  # the target is read in two branches below, which should not fold twice
             state = self.state()
         old = state.of(touched)
         kept = []
@@ -190,10 +195,10 @@ class CallTable:
             return self.compact()
         return version
 
-    def compact(self) -> int:
-        """Fold the pending pages into one part per dataset."""
+    def compact(self, datasets: Iterable[str | None] | None = None) -> int:
+        """Fold the pending pages of some or all datasets into one part per dataset."""
         state = self.state()
-        unfolded = {p.dataset for p in state.parts if p.pending}
+        unfolded = {p.dataset for p in (state.parts if datasets is None else state.of(datasets)) if p.pending}
         if not unfolded:
             return state.version
         folded = self._write(self._current(state.of(unfolded)), "folded")
@@ -225,22 +230,43 @@ class CallTable:
         path = f"{self.path}/parts/part={part}"
         stored.write.partitionBy("dataset").parquet(path)
         written = self.spark.read.schema(STORED_SCHEMA).parquet(path)
-        runs: dict[str | None, list[str]] = {}
-        for row in written.select("dataset", "run_id").distinct().collect():
-            runs.setdefault(row.dataset, []).append(row.run_id)
-        return [Part(dataset, part, False, min(ids), max(ids)) for dataset, ids in runs.items()]
+        runs = written.groupBy("dataset").agg(F.min("run_id").alias("first"), F.max("run_id").alias("last"))
+        return [Part(row["dataset"], part, False, row["first"], row["last"]) for row in runs.collect()]
 
     def _commit(self, state: State) -> int:
-        """Make ``state`` the next version. An unfinished attempt at it is no hindrance."""
+        """Make ``state`` the next version, or fail if another writer has made it."""
         state = replace(state, version=state.version + 1)
-        if self._versions()[-1] >= state.version:
-            raise VersionConflict(f"version {state.version} of {self.path} is there already")
-        self._write_manifest(state, "append")
+        self._write_manifest(state)
         return state.version
 
-    def _write_manifest(self, state: State, mode: str) -> None:
+    def _hadoop(self, path: str):
+        """The store of a path, as Spark's JVM sees it, and the path there."""
+        jvm = self.spark._jvm
+        there = jvm.org.apache.hadoop.fs.Path(path)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(there.toUri(), self.spark._jsc.hadoopConfiguration()) \
+            if there.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark._jsc.hadoopConfiguration())
+        return context, there
+
+    def _exists(self, name: str) -> bool:
+        context, path = self._hadoop(f"{self.path}/{name}")
+        return context.util().exists(path)
+
+    def _write_manifest(self, state: State) -> None:
+        """Write the manifest beside the table and rename its folder, which only one writer can do."""
         rows = [{"kind": "head"}]
         rows += [{"kind": "part", **vars(p)} for p in state.parts]
         rows += [{"kind": "stream", "stream": s, "batch_id": b} for s, b in state.batches.items()]
         manifest = local_frame(self.spark, rows, MANIFEST_SCHEMA).coalesce(1)
-        manifest.write.mode(mode).json(f"{self.path}/manifest/version={state.version}")
+        draft = f"{self.path}/drafts/{uuid.uuid4().hex}"
+        manifest.write.json(draft)
+        context, source = self._hadoop(draft)
+        final = self._hadoop(f"{self.path}/manifest/version={state.version}")[1]
+        context.mkdir(final.getParent(), None, True)
+        gateway = self.spark.sparkContext._gateway
+        options = gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        if context.util().exists(final):
+            raise VersionConflict(f"version {state.version} of {self.path} is there already")
+        try:
+            context.rename(source, final, options)
+        except Py4JJavaError as failure:
+            raise VersionConflict(f"version {state.version} of {self.path} is there already") from failure

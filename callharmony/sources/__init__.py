@@ -19,6 +19,7 @@ from callharmony.sources.landed import (
     read_page_table,
     read_row_array,
     read_row_lines,
+    replace_run,
     stream_page_files,
 )
 from callharmony.sources.specs import SPECS, SourceSpec, TimeRange, TimeRule
@@ -27,5 +28,5 @@ __all__ = [
     "DATASTORE", "FEATURES", "ROW_ARRAY", "Envelope", "SPECS", "SourceSpec", "TimeRange", "TimeRule",
     "land_pages", "observed_fields", "page_sizes", "parse_body", "parse_rows", "raw_rows",
     "read_datastore_pages", "read_feature_pages", "read_page_files", "read_page_table",
-    "read_row_array", "read_row_lines", "register_raw", "stream_page_files", "unwrap",
+    "read_row_array", "read_row_lines", "register_raw", "replace_run", "stream_page_files", "unwrap",
 ]

@@ -105,8 +105,8 @@ def parse_rows(
     """The named fields of every row as text, with the page they came from.
 
     Text is the one type that holds whatever a page sends: an id may be a number on one
-    page and a string on the next. Names match in any letter case, as long as a page spells
-    a name in one way; ``aliases`` are further spellings for the quick parse.
+    page and a string on the next. Names match in any letter case, row by row; ``aliases``
+    are further spellings for the quick parse.
     """
     fields = list(fields)
     sent = [(name, spelling) for name in fields for spelling in (name, *(aliases or {}).get(name, ()))]
@@ -122,24 +122,13 @@ def parse_rows(
     def value(r: Column, name: str) -> Column:
         return F.coalesce(*[r[f"f{i}"] for i in positions[name]])
 
-    def in_other_case(name: str, lowered: Column) -> Column:
-        """The name is on the page, but no row has the field and no known spelling is there.
-
-        In this order: a field that is sent is seen near the start of the page and in its first
-        rows, and one that is not sent costs a single search.
-        """
+    def in_other_case(name: str) -> Column:
+        """Some row lacks the field, and somewhere on the page its name stands in a spelling that is not known."""
         known = "|".join(re.escape(spelling) for owner, spelling in sent if owner == name)
-        return (
-            lowered.contains(f'"{name.lower()}"')
-            & ~F.exists("_rows", lambda e: value(row(e), name).isNotNull())
-            & ~F.col("body").rlike(f'"(?:{known})"\\s*:')
-        )
-
-    # Bound by the lambda, the body is put in lower case once for all fields.
-    other_case = F.exists(
-        F.array(F.lower("body")),
-        lambda lowered: reduce(lambda a, b: a | b, [in_other_case(name, lowered) for name in fields]),
-    )
+        other = f'"(?!(?:{known})")(?i:{re.escape(name)})"\\s*:'
+        return F.exists("_rows", lambda e: value(row(e), name).isNull()) & F.col("body").rlike(other)
+
+    other_case = reduce(lambda a, b: a | b, [in_other_case(name) for name in fields])
     slow = rows_in_any_case(envelope, sent, element)
     rows = F.when(other_case, slow).otherwise(F.col("_rows"))
     picked = [value(F.col("_row"), name).alias(name) for name in fields]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, replace
+from datetime import date, datetime
 from urllib.parse import urlencode
 from urllib.request import urlopen
 
-from callharmony.sources.envelopes import DATASTORE, FEATURES
+from callharmony.sources.envelopes import DATASTORE, FEATURES, ROW_ARRAY
 from callharmony.sources.specs import SourceSpec
 
 
@@ -19,9 +20,37 @@ class PageRequest:
     limit: int | None
 
 
+def literal(spec: SourceSpec, value: date | datetime) -> str:
+    """A time in the query dialect of the source's service."""
+    if spec.envelope.name == ROW_ARRAY.name:
+        return f"'{value.isoformat()}'"
+    if isinstance(value, datetime):
+        return f"TIMESTAMP '{value.isoformat(sep=' ')}'"
+    return f"DATE '{value.isoformat()}'"
+
+
+def name_in(spec: SourceSpec, column: str) -> str:
+    """A column's name as the service has it; the datastore folds names that are not quoted."""
+    if spec.envelope.name == DATASTORE.name:
+        return '"{}"'.format(column.replace('"', '""'))
+    return spec.aliases.get(column, (column,))[0]
+
+
+def range_condition(spec: SourceSpec) -> str:
+    """The source's time range as its service is asked for it."""
+    if spec.time_range is None:
+        return ""
+    name, bounds = name_in(spec, spec.time.columns[0]), spec.time_range
+    low, high = literal(spec, bounds.low), literal(spec, bounds.high)
+    if bounds.half_open or spec.envelope.name == FEATURES.name:
+        return f"({name} >= {low} AND {name} {'<' if bounds.half_open else '<='} {high})"
+    between = ("between", "and") if spec.envelope.name == ROW_ARRAY.name else ("BETWEEN", "AND")
+    return f"{name} {between[0]} {low} {between[1]} {high}"
+
+
 def page_request(spec: SourceSpec, offset: int, where: str = "") -> PageRequest:
     """The request for the page at a row offset, in the dialect of the source's service."""
-    conditions = [c for c in (spec.where, where) if c and c != "1=1"]
+    conditions = [c for c in (range_condition(spec), spec.where, where) if c]
     condition = " AND ".join(f"({c})" for c in conditions) if len(conditions) > 1 else "".join(conditions)
     if spec.envelope.name == FEATURES.name:
         params = {
@@ -48,9 +77,14 @@ def http_fetch(request: PageRequest, timeout: float = 300) -> str:
 
 
 def total_rows(spec: SourceSpec, fetch=http_fetch) -> int | None:
-    """How many rows a feature service holds, if it says so; a plan for parallel reading."""
-    if spec.envelope.name != FEATURES.name:
+    """How many rows a feature service or a row-array service holds, if it says so; a plan for parallel reading."""
+    if spec.envelope.name == DATASTORE.name:
         return None
+    if spec.envelope.name == ROW_ARRAY.name:
+        request = page_request(spec, 0)
+        params = {name: value for name, value in request.params.items() if name == "$where"}
+        rows = json.loads(fetch(replace(request, params={"$select": "count(*) AS count", **params})))
+        return int(rows[0]["count"]) if rows and "count" in rows[0] else None
     request = page_request(spec, 0)
     params = {"f": "json", "where": request.params["where"], "returnCountOnly": "true"}
     return json.loads(fetch(replace(request, params=params))).get("count")

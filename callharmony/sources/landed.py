@@ -7,6 +7,8 @@ a million pages are then some large files instead of a million small ones.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from callharmony.schema import PAGE_SCHEMA
@@ -51,6 +53,13 @@ def land_pages(pages: DataFrame, path: str, mode: str = "append") -> None:
     pages.select(*PAGE_SCHEMA.names).write.mode(mode).partitionBy("dataset", "run_id").parquet(path)
 
 
+def replace_run(pages: DataFrame, path: str, dataset: str, run_id: str) -> None:
+    """Keep the bodies of one run in its own folder of the page table, in place of what an earlier try left."""
+    if not re.fullmatch(r"[\w.-]+", run_id):
+        raise ValueError(f"run id {run_id!r} is no folder name")
+    pages.select("page_seq", "body").write.mode("overwrite").parquet(f"{path}/dataset={dataset}/run_id={run_id}")
+
+
 def read_page_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGE_SCHEMA).parquet(path).select(*PAGE_SCHEMA.names)
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from datetime import date
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -31,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 import callharmony
-from callharmony.sources.http import PageRequest, http_fetch, page_request
+from callharmony.sources.http import PageRequest, http_fetch, literal, name_in, page_request
 from callharmony.sources.specs import SourceSpec
 
 BODY_SCHEMA = "page_seq INT, body STRING"
@@ -51,13 +52,15 @@ class OffsetRange(InputPartition):
 
 
 def body_rows(spec: SourceSpec, body: str) -> tuple[list[dict], bool]:
-    """The rows of one body, and whether the service said that there are more."""
+    """The rows of one body, and whether the service said that there are more. A reply without rows ends the job."""
     value = json.loads(body)
     parents, truncated = (spec.envelope.array_path or "").split("."), False
     for name in filter(None, parents):
         truncated = isinstance(value, dict) and bool(value.get("records_truncated"))
         value = value.get(name) if isinstance(value, dict) else None
-    rows = value if isinstance(value, list) else []
+    if not isinstance(value, list):
+        raise ValueError(f"{spec.slug}: a reply without rows: {body[:200]}")
+    rows = value
     if spec.envelope.row_field:
         rows = [row[spec.envelope.row_field] for row in rows]
     return rows, truncated
@@ -79,7 +82,7 @@ class PagedReader(DataSourceReader):
         A service that chooses its own page size gives the next offset only with each reply,
         so its pages are one range.
         """
-        if self.total is None or self.where or self.spec.envelope.truncated_path:
+        if self.total is None or self.spec.envelope.truncated_path:
             return [OffsetRange(0, None)]
         pages = max(1, -(-self.total // self.spec.page_size))
         starts = range(0, pages, self.pages_per_task)
@@ -98,7 +101,8 @@ class PagedReader(DataSourceReader):
             else:
                 yield (page, body)
             ends = not truncated if self.spec.envelope.truncated_path else len(rows) < self.spec.page_size
-            if partition.last is None and ends:
+            # With a filter sent along there are fewer rows than planned for.
+            if ends and (partition.last is None or self.where):
                 return
             page += 1
             offset += len(rows) if self.spec.envelope.truncated_path else self.spec.page_size
@@ -109,7 +113,10 @@ class PagedReader(DataSourceReader):
         text = pa.types.is_string
         columns = [
             pa.array(
-                [v if v is None or not text(f.type) else str(v) for v in (row.get(f.name.lower()) for row in lowered)],
+                [
+                    v if v is None or isinstance(v, str) or not text(f.type) else json.dumps(v, ensure_ascii=False)
+                    for v in (row.get(f.name.lower()) for row in lowered)
+                ],
                 type=f.type,
             )
             for f in arrow
@@ -120,17 +127,18 @@ class PagedReader(DataSourceReader):
 class FilteredReader(PagedReader):
     """Rows with range filters on the time column sent along; Spark still applies every filter itself.
 
+    Only bounds that are times are sent: text and numbers order or print differently at the services.
     Filters reach a Python source only with ``spark.sql.python.filterPushdown.enabled``.
     """
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        time_columns = {name.lower() for name in self.spec.time.columns}
+        time_columns = {name.lower(): name for name in self.spec.time.columns} if len(self.spec.time.columns) == 1 else {}
         bounds = []
         for each in filters:
             sign = SIGNS.get(type(each))
-            if sign and ".".join(each.attribute).lower() in time_columns:
-                value = each.value
-                bounds.append(f"{each.attribute[-1]} {sign} {value if isinstance(value, int) else repr(str(value))}")
+            name = time_columns.get(".".join(each.attribute).lower())
+            if sign and name and isinstance(each.value, date) and self.spec.time.tz is None and not self.spec.time.epoch_ms:
+                bounds.append(f"{name_in(self.spec, name)} {sign} {literal(self.spec, each.value)}")
             yield each
         self.where = " AND ".join(bounds)
 

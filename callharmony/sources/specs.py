@@ -103,7 +103,6 @@ PHOENIX = SourceSpec(
     time_range=TimeRange(date(2020, 12, 31), date(2022, 1, 1)),
     url="https://www.phoenixopendata.com/api/3/action/datastore_search_sql",
     resource="1d536ee6-7ffb-49c3-bffe-5cdd98a3c97e",
-    where="\"CALL_RECEIVED\" BETWEEN DATE '2020-12-31' AND DATE '2022-01-01'",
     order='"_id" ASC',
 )
 
@@ -117,7 +116,6 @@ GAINESVILLE = SourceSpec(
     time_range=TimeRange(datetime(2021, 1, 1), datetime(2021, 12, 31, 11, 59, 59)),
     page_size=5_000_000,
     url="https://data.cityofgainesville.org/resource/gvua-xt9q.json",
-    where="report_date between '2021-01-01T00:00:00' and '2021-12-31T11:59:59'",
     order=":id",
 )
 
@@ -151,7 +149,6 @@ BALTIMORE = SourceSpec(
         "https://opendata.baltimorecity.gov/egis/rest/services/NonSpatialTables/"
         "CallsForService_2021_Present/FeatureServer/0/query"
     ),
-    where="(callDateTime >= DATE '2021-01-01' AND callDateTime <= DATE '2021-12-31')",
     aliases={"calldatetime": ("callDateTime",), "callnumber": ("callNumber",)},
 )
 
@@ -166,7 +163,6 @@ WORCESTER = SourceSpec(
         "https://services1.arcgis.com/j8dqo2DJE7mVUBU1/arcgis/rest/services/"
         "Police_Incident_Data_-_2021/FeatureServer/0/query"
     ),
-    where="1=1",
 )
 
 BURLINGTON = SourceSpec(
@@ -181,7 +177,6 @@ BURLINGTON = SourceSpec(
         "https://maps.burlingtonvt.gov/arcgis/rest/services/Hosted/"
         "Police_Incidents_2021/FeatureServer/0/query"
     ),
-    where="1=1",
 )
 
 SPECS: dict[str, SourceSpec] = {

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from callharmony.plans.jobs import harmonize
+from callharmony.plans.jobs import IncompleteFetch, harmonize
 from callharmony.sinks.raw import land_raw_text
 from callharmony.sinks.table import CallTable
-from callharmony.sources.envelopes import raw_rows
+from callharmony.sources.envelopes import page_sizes, raw_rows
 from callharmony.sources.landed import stream_page_files
 from callharmony.sources.specs import SourceSpec
 
@@ -21,16 +21,22 @@ def run_stream(
     checkpoint: str,
     lake: str | None = None,
     files_per_batch: int | None = None,
+    allow_incomplete: bool = False,
 ) -> StreamingQuery:
     """Take up every page that has landed since the last call, then stop.
 
     Each batch adds its pages to the table at the cost of those pages alone. Rows carry
     their run and page number, so the result does not depend on the order in which files
     arrive, and batch numbers are kept in the table, so a replayed batch is skipped. The
-    raw rows of a batch have a folder of their own, which a replay overwrites.
+    raw rows of a batch have a folder of their own, which a replay overwrites. A reply without
+    rows stops the stream before its batch is added, unless it is allowed. Pending pages are
+    folded by readers, and into the table once there are many.
     """
 
     def add(pages: DataFrame, batch_id: int) -> None:
+        bad = 0 if allow_incomplete else page_sizes(pages, spec.envelope).where("NOT has_rows").count()
+        if bad:
+            raise IncompleteFetch(f"{bad} replies of batch {batch_id} have no rows")
         if lake is not None:
             rows = raw_rows(pages, spec.envelope)
             land_raw_text(rows, lake, spec.slug, f"stream/batch={batch_id}", mode="overwrite")
@@ -44,5 +50,4 @@ def run_stream(
         .start()
     )
     query.awaitTermination()
-    target.compact()
     return query

@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import pytest
 from bodies import features, pages
@@ -58,12 +59,16 @@ def test_fetch_land_and_run(spark, tmp_path):
         rows = [{"incident_number": i, "call_time": "2021-07-01 10:00:00", "call_type": "DUI"} for i in numbers]
         return json.dumps({"features": [{"attributes": row} for row in rows]})
 
-    landed = fetch_pages(spark, BTV, str(tmp_path / "pages"), "r1", fetch, page_size=10, pages_per_task=1)
+    small = replace(BTV, page_size=10)
+    fetch_pages(spark, small, str(tmp_path / "pages"), "r1", fetch, pages_per_task=1)
+    landed = fetch_pages(spark, small, str(tmp_path / "pages"), "r1", fetch, pages_per_task=1)
     calls = CallTable(spark, str(tmp_path / "calls"))
-    report = run(BTV, landed, load_crosswalk(spark), calls, str(tmp_path / "lake"), "r1")
+    report = run(small, landed, load_crosswalk(spark), calls, str(tmp_path / "lake"), "r1")
     assert report.records == 25 and calls.read().count() == 25
     asked = [json.loads(line) for line in open(log)]
-    assert sorted(int(a["resultOffset"]) for a in asked if "returnCountOnly" not in a) == [0, 10, 20]
+    assert sorted(int(a["resultOffset"]) for a in asked if "returnCountOnly" not in a) == [0, 0, 10, 10, 20, 20]
+    with pytest.raises(ValueError, match="page size"):
+        fetch_pages(spark, BTV, str(tmp_path / "pages"), "r1", fetch, page_size=10)
 
 
 def test_warehouse_job_prepares_staging_first(spark):

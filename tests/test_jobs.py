@@ -1,13 +1,14 @@
 """Each source's job on a fixture that holds the awkward cases of its data."""
 
 import json
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
 from bodies import ERROR, datastore, features, pages, row_array
 
 from callharmony.operators import audit_summary, load_crosswalk
-from callharmony.plans import harmonize, run, run_all
+from callharmony.plans import IncompleteFetch, harmonize, run, run_all
 from callharmony.plans.jobs import audit
 from callharmony.schema import CALL_SCHEMA
 from callharmony.sinks import CallTable
@@ -155,26 +156,29 @@ def by_id(rows):
 def test_phoenix(job):
     report, rows = job(PHX)
     calls = by_id(rows)
-    assert sorted(str(r.call_id) for r in rows) == ["10", "None", "p1", "p1", "p2", "p4"]
+    assert sorted(str(r.call_id) for r in rows) == ["10", "None", "p1", "p1", "p2", "p4", "p6", "p7"]
+    assert calls["p6"].call_time is None and calls["p7"].call_time is None
     assert [r.call_type for r in rows if r.call_id == "p1"] == ["OTHER", "OTHER"]
     assert calls["p1"].call_time == datetime(2021, 6, 1, 17) and calls["p1"].common_call_type is None
     assert calls["p2"].call_time == datetime(2021, 5, 2, 6) and calls["p2"].common_call_type == "PERSUSP"
     assert (calls["p2"].alcohol, calls["p2"].domestic_violence, calls["p2"].drug) == (None, False, True)
     assert calls["p4"].call_time == datetime(2022, 1, 1, 7) and calls["p4"].common_call_type == "TRESPASS"
     assert calls["10"].priority == "2" and calls["10"].disposition == "DONE" and calls["10"].mental_health is None
-    assert (report.records, report.null_keys, report.time_rejects) == (7, 1, 1)
+    assert (report.records, report.null_keys, report.time_rejects, report.out_of_range) == (9, 1, 1, 1)
+    assert (report.pages, report.bad_pages) == (2, 0)
 
 
 def test_gainesville(job):
     report, rows = job(GNV)
     calls = by_id(rows)
-    assert sorted(str(r.call_id) for r in rows) == ["None", "g1", "g2", "g2", "g3"]
+    assert sorted(str(r.call_id) for r in rows) == ["None", "g1", "g2", "g2", "g3", "g6"]
+    assert calls["g6"].call_time is None
     assert calls["g1"].call_time == datetime(2021, 3, 14, 7, 30) and calls["g1"].alcohol is True
     assert calls["g2"].call_time == datetime(2021, 11, 7, 5, 30)
     assert {r.common_call_type for r in rows if r.call_id == "g2"} == {"999", "NOISE"}
     assert calls["g3"].call_time == datetime(2021, 12, 31, 16, 59, 59) and calls["g3"].common_call_type is None
     assert calls["g1"].disposition is None and calls["g1"].priority == "1"
-    assert (report.records, report.null_keys, report.unmapped, report.time_rejects) == (5, 1, 1, 1)
+    assert (report.records, report.null_keys, report.unmapped, report.time_rejects) == (6, 1, 1, 1)
 
 
 def test_new_orleans(job):
@@ -191,12 +195,12 @@ def test_new_orleans(job):
 def test_baltimore(job, spark):
     report, rows = job(BAL)
     calls = by_id(rows)
-    assert len(rows) == 2000 + 2
+    assert len(rows) == 2000 + 3 and calls["none"].call_time is None
     assert calls["b0"].call_time == datetime(2021, 12, 31)
     assert calls["b1"].call_time == datetime(2021, 5, 1, 0, 0, 0, 1000)
     assert calls["new"].call_time == datetime(2021, 1, 1) and calls[None].call_time.microsecond == 123000
     assert all(r.common_call_type is None and r.alcohol is None for r in rows)
-    assert report.records == 2003
+    assert (report.records, report.out_of_range) == (2004, 2)
     assert [(r.records, r.complete) for r in audit_summary(audit(BAL, baltimore(spark))).collect()] == [(2006, True)]
 
 
@@ -236,15 +240,15 @@ def test_rerun_changes_nothing_but_null_keys(spark, crosswalk, tmp_path):
     for run_id in ("r1", "r2"):
         run(PHX, phoenix(spark), crosswalk, calls)
     rows = calls.read().collect()
-    assert sorted(str(r.call_id) for r in rows) == ["10", "None", "None", "p1", "p1", "p2", "p4"]
+    assert sorted(str(r.call_id) for r in rows) == ["10", "None", "None", "p1", "p1", "p2", "p4", "p6", "p7"]
 
 
 def test_all_sources_in_one_upsert(spark, crosswalk, tmp_path):
     calls = CallTable(spark, str(tmp_path / "calls"))
     report = run_all({spec: make(spark) for spec, make in SOURCES.items()}, crosswalk, calls)
     counts = {r.dataset: r["count"] for r in calls.read().groupBy("dataset").count().collect()}
-    assert counts == {PHX.label: 6, GNV.label: 5, NOLA.label: 4, BAL.label: 2002, WOR.label: 1002, BTV.label: 1000}
-    assert report.version == 1 and report.records == 7 + 5 + 4 + 2003 + 2003 + 1000
+    assert counts == {PHX.label: 8, GNV.label: 6, NOLA.label: 4, BAL.label: 2003, WOR.label: 1002, BTV.label: 1000}
+    assert report.version == 1 and report.records == 9 + 6 + 4 + 2004 + 2003 + 1000
     assert report.time_rejects == 1 + 1 + 1 + 0 + 1 + 0
 
 
@@ -258,7 +262,7 @@ def test_error_pages_and_empty_pages_give_no_rows_but_fail_the_audit(spark, cros
 @pytest.mark.parametrize("spec", [BTV, NOLA])
 def test_a_run_without_rows(spark, crosswalk, tmp_path, spec):
     calls = CallTable(spark, str(tmp_path / "calls"))
-    for df in (pages(spark, dataset=spec.slug), pages(spark, ERROR), spark.range(0).selectExpr(
+    for df in (pages(spark, dataset=spec.slug), spark.range(0).selectExpr(
         "string(id) dataset", "string(id) run_id", "int(id) page_seq", "string(id) body"
     )):
         report = run(spec, df, crosswalk, calls, str(tmp_path / "lake"), "r1")
@@ -275,3 +279,39 @@ def test_harmonize_is_one_pass_without_a_shuffle(spark, crosswalk):
     plan = harmonize(PHX, phoenix(spark), crosswalk)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
     assert "PythonEval" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("bodies", [
+    [features({"incident_number": "1"}), ERROR, features()],
+    [features({"incident_number": "1"}), ERROR],
+    [features(*[{"incident_number": str(i)} for i in range(1000)])],
+])
+def test_an_incomplete_run_is_refused(spark, crosswalk, tmp_path, bodies):
+    calls = CallTable(spark, str(tmp_path / "calls"))
+    with pytest.raises(IncompleteFetch):
+        run(BTV, pages(spark, *bodies, dataset=BTV.slug), crosswalk, calls, str(tmp_path / "lake"), "r1")
+    assert not (tmp_path / "calls").exists() and not (tmp_path / "lake").exists()
+    report = run(BTV, pages(spark, *bodies, dataset=BTV.slug), crosswalk, calls, allow_incomplete=True)
+    assert report.bad_pages > 0 and calls.read().count() == report.records
+
+
+def test_a_missing_page_is_refused(spark, crosswalk, tmp_path):
+    small = replace(BTV, page_size=1)
+    df = pages(spark, *[features({"incident_number": str(i)}) for i in range(3)], features(), dataset=BTV.slug)
+    calls = CallTable(spark, str(tmp_path / "calls"))
+    assert run(small, df, crosswalk, calls).records == 3
+    with pytest.raises(IncompleteFetch):
+        run(small, df.where("page_seq <> 1"), crosswalk, calls)
+
+
+def test_two_runs_of_a_row_array_source_count_once(spark, crosswalk, tmp_path):
+    first, second = (row_array({"nopd_item": "1", "initialtypetext": t}, {"nopd_item": k, "initialtypetext": t}) for t, k in (("a", "2"), ("b", "3")))
+    df = pages(spark, first, dataset=NOLA.slug, run_id="r1").unionByName(pages(spark, second, dataset=NOLA.slug, run_id="r2"))
+    calls = CallTable(spark, str(tmp_path / "calls"))
+    run(NOLA, df, crosswalk, calls)
+    assert sorted((r.call_id, r.call_type) for r in calls.read().collect()) == [("1", "b"), ("2", "a"), ("3", "b")]
+
+
+def test_bodies_are_read_once_for_the_audit(spark):
+    df = audit(BTV, burlington(spark))
+    assert "from_json" not in df._jdf.queryExecution().executedPlan().toString()

@@ -1,13 +1,14 @@
 import json
 import re
 from dataclasses import replace
+from datetime import date, datetime
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql.datasource import GreaterThan, GreaterThanOrEqual, LessThan
 
 from callharmony.sources import FEATURES, SPECS, parse_rows
 from callharmony.sources.http import page_request, total_rows
-from callharmony.sources.paged import OffsetRange, PagedReader, register_paged
+from callharmony.sources.paged import FilteredReader, OffsetRange, PagedReader, register_paged
 
 BAL, PHX, GNV = (SPECS[s] for s in ("maryland-baltimore", "arizona-phoenix", "florida-gainesville"))
 
@@ -19,10 +20,10 @@ def service(total, log=None):
         if log is not None:
             with open(log, "a") as file:
                 file.write(json.dumps(request.params) + "\n")
-        rows = [{"callNumber": i, "callDateTime": 1609459200000 + i} for i in range(total)]
-        for sign, bound in re.findall(r"calldatetime (>=|<=|>|<) (\d+)", request.params["where"]):
-            keep = {">=": int.__ge__, "<=": int.__le__, ">": int.__gt__, "<": int.__lt__}[sign]
-            rows = [r for r in rows if keep(r["callDateTime"], int(bound))]
+        rows = [{"callNumber": i, "callDateTime": 1609459200000 + i, "call_time": f"2021-07-01 10:00:{i % 60:02d}", "flag": i % 2 == 0} for i in range(total)]
+        for sign, bound in re.findall(r"call_time (>=|<=|>|<) TIMESTAMP '([^']+)'", request.params["where"]):
+            keep = {">=": str.__ge__, "<=": str.__le__, ">": str.__gt__, "<": str.__lt__}[sign]
+            rows = [r for r in rows if keep(r["call_time"], bound)]
         page = rows[request.offset : request.offset + int(request.params["resultRecordCount"])]
         return json.dumps({"features": [{"attributes": row} for row in page]})
 
@@ -57,17 +58,52 @@ def test_bodies_through_spark(spark):
     assert {r.page_seq for r in rows.collect()} == set(range(10))
 
 
-def test_rows_with_the_time_range_sent_along(spark, conf, tmp_path):
+BTV = SPECS["vermont-burlington"]
+
+
+def test_rows_as_the_bodies_have_them(spark, conf):
     conf(spark__sql__python__filterPushdown__enabled="true")
-    log = tmp_path / "requests"
-    register_paged(spark, replace(BAL, where="1=1"), service(50, str(log)), name="paged_rows")
-    reader = spark.read.format("paged_rows").schema("callnumber STRING, calldatetime BIGINT").option("page_size", 10)
-    low, high = 1609459200000 + 10, 1609459200000 + 30
-    got = reader.load().where(F.col("calldatetime").between(low, high)).collect()
-    assert sorted(int(r.callnumber) for r in got) == list(range(10, 31))
-    asked = [json.loads(line) for line in log.read_text().splitlines()]
-    assert {a["where"] for a in asked} == {f"calldatetime >= {low} AND calldatetime <= {high}"}
-    assert [a["resultOffset"] for a in asked] == ["0", "10", "20"]
+    register_paged(spark, BTV, service(50), name="paged_rows")
+    options = {"page_size": 10, "total": 50, "pages_per_task": 1}
+    df = spark.read.format("paged_rows").schema("callnumber STRING, flag STRING").options(**options).load()
+    got = df.collect()
+    assert sorted(int(r.callnumber) for r in got) == list(range(50)) and {r.flag for r in got} == {"true", "false"}
+    assert df.rdd.getNumPartitions() == 5
+
+
+def pushed(spec, *filters):
+    reader = FilteredReader(spec, None, None, {"total": "100", "page_size": "10", "pages_per_task": "1"}, True)
+    assert list(reader.pushFilters(list(filters))) == list(filters)
+    assert len(reader.partitions()) == (1 if spec is PHX else 10)
+    return reader.where
+
+
+def test_bounds_in_each_dialect():
+    low = GreaterThanOrEqual(("call_time",), datetime(2021, 5, 1, 10))
+    assert pushed(BTV, low, LessThan(("call_time",), date(2021, 6, 1))) == (
+        "call_time >= TIMESTAMP '2021-05-01 10:00:00' AND call_time < DATE '2021-06-01'"
+    )
+    # Numbers, text and local times are not the services' own: they stay with Spark.
+    assert pushed(BTV, GreaterThanOrEqual(("call_time",), "2021-05-01")) == ""
+    assert pushed(BAL, GreaterThanOrEqual(("calldatetime",), 1609459200000)) == ""
+    assert pushed(PHX, GreaterThanOrEqual(("CALL_RECEIVED",), datetime(2021, 5, 1))) == ""
+    utc = replace(PHX, time=replace(PHX.time, tz=None))
+    reader = FilteredReader(utc, None, None, {}, True)
+    list(reader.pushFilters([GreaterThan(("call_received",), datetime(2021, 5, 1))]))
+    assert reader.where == "\"CALL_RECEIVED\" > TIMESTAMP '2021-05-01 00:00:00'"
+
+
+def test_a_filtered_range_ends_at_its_short_page():
+    reader = FilteredReader(BTV, service(50), None, {"total": "50", "page_size": "10", "pages_per_task": "3"}, False)
+    list(reader.pushFilters([LessThan(("call_time",), datetime(2021, 7, 1, 10, 0, 12))]))
+    read = [len(json.loads(body)["features"]) for part in reader.partitions() for _, body in reader.read(part)]
+    assert sum(read) == 12
+
+
+def test_a_reply_without_rows_ends_the_fetch():
+    reader = PagedReader(BTV, lambda request: '{"error": {"code": 400}}', None, {"page_size": "10"}, False)
+    with pytest.raises(ValueError, match="without rows"):
+        list(reader.read(OffsetRange(0, None)))
 
 
 def test_a_service_that_says_truncated_is_read_in_turn():
@@ -110,3 +146,9 @@ def test_total_rows():
 
     assert total_rows(BAL, fetch) == 12 and asked[0]["returnCountOnly"] == "true"
     assert total_rows(PHX, fetch) is None
+
+    def counted(request):
+        asked.append(request.params)
+        return '[{"count": "7"}]'
+
+    assert total_rows(GNV, counted) == 7 and asked[-1]["$select"] == "count(*) AS count" and "between" in asked[-1]["$where"]
