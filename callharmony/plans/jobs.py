@@ -81,8 +81,7 @@ def harmonize(
 def audit(spec: SourceSpec, pages: DataFrame) -> DataFrame:
     """Whether the pages of each run are all there, by the source's own rule for the last page."""
     sizes = page_sizes(pages, spec.envelope)  # one pass over the bodies; what follows reads the written counts
-    page_size = None if spec.envelope.truncated_path else spec.page_size
-    return page_audit(sizes, page_size, by=("dataset", "run_id"))
+    return page_audit(sizes, spec.page_size, by=("dataset", "run_id"))
 
 
 def complete_pages(sources: Mapping[SourceSpec, DataFrame], allow_incomplete: bool = False) -> tuple[int, int]:
@@ -111,7 +110,7 @@ def fetch_pages(
     """
     if "page_size" in options:
         raise ValueError("the page size is part of the spec")
-    if "total" not in options and (total := total_rows(spec, fetch)) is not None:
+    if "total" not in options and spec.page_size and (total := total_rows(spec, fetch)) is not None:
         options["total"] = total
     register_paged(spark, spec, fetch)
     bodies = spark.read.format("paged").options(**options).load()

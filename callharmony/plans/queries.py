@@ -32,7 +32,9 @@ from callharmony.schema import CALL_SCHEMA
 from callharmony.session import workspace
 from callharmony.sinks import CallTable, land_raw, land_raw_text
 from callharmony.sources import (
+    DATASTORE,
     FEATURES,
+    ROW_ARRAY,
     SPECS,
     Envelope,
     SourceSpec,
@@ -283,9 +285,9 @@ EVENTS_SPEC = SourceSpec(
 )
 
 
-@query(EVENT_ROWS_SQL)
-def paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = page_files(event_bodies(spark, sf_dir, FEATURES), workspace(spark, "service"))
+def paged_events(spark: SparkSession, sf_dir: str, envelope: Envelope, none: str) -> DataFrame:
+    """Bodies of all events, asked for page by page, several pages to a task; ``none`` is a reply without rows."""
+    root = page_files(event_bodies(spark, sf_dir, envelope), workspace(spark, "service"))
 
     def fetch(request) -> str:
         from pyarrow import fs
@@ -294,17 +296,44 @@ def paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = fs.FileSelector(f"{path}/page_seq={request.offset // request.limit}", allow_not_found=True)
         files = [f.path for f in system.get_file_info(folder) if f.base_name.startswith("part-")]
         if not files:
-            return '{"features": []}'
+            return none
         with system.open_input_stream(files[0]) as stream:
             return stream.read().decode("utf-8")
 
-    register_paged(spark, EVENTS_SPEC, fetch, name="paged_events")
+    register_paged(spark, replace(EVENTS_SPEC, envelope=envelope), fetch, name=f"paged_events_{envelope.name}")
     total = table(spark, sf_dir, "events").count()
-    bodies = spark.read.format("paged_events").option("total", total).load()
+    return spark.read.format(f"paged_events_{envelope.name}").options(total=total, pages_per_task=2).load()
+
+
+@query(EVENT_ROWS_SQL)
+def paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = paged_events(spark, sf_dir, FEATURES, '{"features": []}')
     parsed = parse_body(bodies, FEATURES.schema(f"struct<{EVENT_FIELDS}>"))
     return unwrap(parsed, FEATURES.array_path, FEATURES.row_field, keep=["page_seq"])
 
 
+@query(EVENT_ROWS_SQL)
+def paged_datastore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = paged_events(spark, sf_dir, DATASTORE, '{"result": {"records": []}}')
+    return unwrap(parse_body(bodies, DATASTORE.schema(f"struct<{EVENT_FIELDS}>")), DATASTORE.array_path, keep=["page_seq"])
+
+
+@query(EVENT_ROWS_SQL)
+def paged_row_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = paged_events(spark, sf_dir, ROW_ARRAY, "[]")
+    return unwrap(parse_body(bodies, ROW_ARRAY.schema(f"struct<{EVENT_FIELDS}>")), ROW_ARRAY.array_path, keep=["page_seq"])
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(value AS DOUBLE) AS value FROM events WHERE event_type <> 'error'")
+def paged_rows_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows straight from the service, filtered by Spark."""
+    paged_events(spark, sf_dir, FEATURES, '{"features": []}')
+    total = table(spark, sf_dir, "events").count()
+    reader = spark.read.format("paged_events_features").options(total=total, pages_per_task=2)
+    rows = reader.schema("event_id STRING, event_type STRING, value STRING").load()
+    return rows.where("event_type <> 'error'").select("event_id", F.col("value").cast("double").alias("value"))
+
+
 @query(
     " UNION ALL ".join(
         f"SELECT '{name}' AS field, CAST(count({name}) AS BIGINT) AS n FROM events HAVING count({name}) > 0"

@@ -63,7 +63,7 @@ def page_request(spec: SourceSpec, offset: int, where: str = "") -> PageRequest:
     elif spec.envelope.name == DATASTORE.name:
         sql = [f'SELECT * FROM "{spec.resource}"']
         sql += [f"WHERE {condition}"] if condition else []
-        sql += [f"ORDER BY {spec.order}", f"OFFSET {offset}"]
+        sql += [f"ORDER BY {spec.order}", *([f"LIMIT {spec.page_size}"] if spec.page_size else []), f"OFFSET {offset}"]
         params = {"sql": " ".join(sql)}
     else:
         params = {"$limit": str(spec.page_size), "$offset": str(offset), "$order": spec.order}
@@ -77,14 +77,16 @@ def http_fetch(request: PageRequest, timeout: float = 300) -> str:
 
 
 def total_rows(spec: SourceSpec, fetch=http_fetch) -> int | None:
-    """How many rows a feature service or a row-array service holds, if it says so; a plan for parallel reading."""
+    """How many rows the service holds, if it says so; a plan for parallel reading."""
+    request = page_request(spec, 0)
+    if spec.envelope.name == FEATURES.name:
+        params = {"f": "json", "where": request.params["where"], "returnCountOnly": "true"}
+        return json.loads(fetch(replace(request, params=params))).get("count")
     if spec.envelope.name == DATASTORE.name:
-        return None
-    if spec.envelope.name == ROW_ARRAY.name:
-        request = page_request(spec, 0)
+        condition = range_condition(spec) or spec.where
+        sql = f'SELECT count(*) AS count FROM "{spec.resource}"' + f" WHERE {condition}" * bool(condition)
+        rows = (json.loads(fetch(replace(request, params={"sql": sql}))).get("result") or {}).get("records")
+    else:
         params = {name: value for name, value in request.params.items() if name == "$where"}
         rows = json.loads(fetch(replace(request, params={"$select": "count(*) AS count", **params})))
-        return int(rows[0]["count"]) if rows and "count" in rows[0] else None
-    request = page_request(spec, 0)
-    params = {"f": "json", "where": request.params["where"], "returnCountOnly": "true"}
-    return json.loads(fetch(replace(request, params=params))).get("count")
+    return int(rows[0]["count"]) if isinstance(rows, list) and rows and "count" in rows[0] else None

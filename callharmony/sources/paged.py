@@ -80,9 +80,9 @@ class PagedReader(DataSourceReader):
         """Ranges of whole pages, the last one open, so that rows added meanwhile are read too.
 
         A service that chooses its own page size gives the next offset only with each reply,
-        so its pages are one range.
+        so its pages are one range; with a page size in the spec it is asked for pages of that.
         """
-        if self.total is None or self.spec.envelope.truncated_path:
+        if self.total is None or not self.spec.page_size:
             return [OffsetRange(0, None)]
         pages = max(1, -(-self.total // self.spec.page_size))
         starts = range(0, pages, self.pages_per_task)
@@ -100,12 +100,12 @@ class PagedReader(DataSourceReader):
                 yield self._batch(rows)
             else:
                 yield (page, body)
-            ends = not truncated if self.spec.envelope.truncated_path else len(rows) < self.spec.page_size
+            ends = len(rows) < self.spec.page_size if self.spec.page_size else not truncated
             # With a filter sent along there are fewer rows than planned for.
             if ends and (partition.last is None or self.where):
                 return
             page += 1
-            offset += len(rows) if self.spec.envelope.truncated_path else self.spec.page_size
+            offset += self.spec.page_size or len(rows)
 
     def _batch(self, rows: list[dict]) -> pa.RecordBatch:
         lowered = [{name.lower(): value for name, value in row.items()} for row in rows]
@@ -136,8 +136,8 @@ class FilteredReader(PagedReader):
         bounds = []
         for each in filters:
             sign = SIGNS.get(type(each))
-            name = time_columns.get(".".join(each.attribute).lower())
-            if sign and name and isinstance(each.value, date) and self.spec.time.tz is None and not self.spec.time.epoch_ms:
+            name = sign and time_columns.get(".".join(each.attribute).lower())
+            if name and isinstance(each.value, date) and self.spec.time.tz is None and not self.spec.time.epoch_ms:
                 bounds.append(f"{name_in(self.spec, name)} {sign} {literal(self.spec, each.value)}")
             yield each
         self.where = " AND ".join(bounds)

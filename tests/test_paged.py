@@ -74,10 +74,23 @@ def test_rows_as_the_bodies_have_them(spark, conf):
 def pushed(spec, *filters):
     reader = FilteredReader(spec, None, None, {"total": "100", "page_size": "10", "pages_per_task": "1"}, True)
     assert list(reader.pushFilters(list(filters))) == list(filters)
-    assert len(reader.partitions()) == (1 if spec is PHX else 10)
+    assert len(reader.partitions()) == 10
     return reader.where
 
 
+def test_a_datastore_is_read_in_parallel_with_a_page_size():
+    spec = replace(PHX, page_size=10)
+
+    def fetch(request):
+        limit, offset = (int(x) for x in re.search(r"LIMIT (\d+) OFFSET (\d+)$", request.params["sql"]).groups())
+        return json.dumps({"result": {"records": [{"_id": i} for i in range(25)][offset : offset + limit]}})
+
+    reader = PagedReader(spec, fetch, None, {"total": "25", "pages_per_task": "1"}, as_rows=False)
+    parts = reader.partitions()
+    assert len(parts) == 3
+    assert [r["_id"] for p in parts for _, body in reader.read(p) for r in json.loads(body)["result"]["records"]] == list(range(25))
+
+
 def test_bounds_in_each_dialect():
     low = GreaterThanOrEqual(("call_time",), datetime(2021, 5, 1, 10))
     assert pushed(BTV, low, LessThan(("call_time",), date(2021, 6, 1))) == (
@@ -145,7 +158,12 @@ def test_total_rows():
         return '{"count": 12}'
 
     assert total_rows(BAL, fetch) == 12 and asked[0]["returnCountOnly"] == "true"
-    assert total_rows(PHX, fetch) is None
+
+    def stored(request):
+        asked.append(request.params)
+        return '{"result": {"records": [{"count": "9"}]}}'
+
+    assert total_rows(PHX, stored) == 9 and asked[-1]["sql"].startswith("SELECT count(*)") and "BETWEEN" in asked[-1]["sql"]
 
     def counted(request):
         asked.append(request.params)

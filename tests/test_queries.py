@@ -26,3 +26,11 @@ def test_every_query_has_sql():
 def test_entry(spark):
     df = entry.entry(spark)
     assert len(df.columns) == 14 and df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["FEATURES", "DATASTORE", "ROW_ARRAY"])
+def test_services_are_read_in_several_tasks(spark, name):
+    from callharmony.plans import queries
+
+    bodies = queries.paged_events(spark, "/root/testdata/sf0.01", getattr(queries, name), "[]")
+    assert bodies.rdd.getNumPartitions() > 1
