@@ -1,6 +1,6 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Every document gets rates (symbols, doubled lines, capitals, exclamation marks, word length). Their quantiles are
+Every document gets rates (symbols, doubled lines and words, capitals, exclamation marks, word length). Their quantiles are
 kept as mergeable KLL sketches per language and source. A group's fence is its third quartile plus a multiple of
 its interquartile range; small groups use the merged sketch of their language, or of everything. The fences are
 then joined to the documents, and those outside are rejected.
@@ -18,7 +18,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from callharmony.llm.tables import broadcast_if_small, column, written
 from callharmony.llm.words import numbered, window_ids, words_of
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_doubled"]
 COUNTS_TYPE = StructType([StructField(name, LongType(), False) for name in COUNTS])
 
 # Fixed by the task: the least number of words, and the largest share of repeated words in per cent.
@@ -28,7 +28,7 @@ WINDOW = 5
 
 # Rates a fence is set on, with the least distance from the median that is ever rejected: a group whose
 # documents are all alike still accepts a document that differs by less.
-UPPER = {"symbol_rate": 0.10, "dup_line_rate": 0.30, "upper_rate": 1.00, "mark_rate": 0.25, "long_rate": 2.5}
+UPPER = {"symbol_rate": 0.10, "dup_line_rate": 0.30, "upper_rate": 1.00, "mark_rate": 0.25, "doubled_rate": 0.15, "long_rate": 2.5}
 LOWER = {"long_rate": 2.0}
 SPREAD = 4.0
 # A group with fewer documents takes the fences of its language, a language with fewer those of all documents; if
@@ -52,7 +52,8 @@ def counts_of(text: str | None) -> tuple[int, ...]:
             filled += 1
             doubled += line in lines
             lines.add(line)
-    windows = window_ids(numbered(words), WINDOW)
+    numbers = numbered(words)
+    windows = window_ids(numbers, WINDOW)
     covered = 0
     if len(windows):
         again = np.bincount(windows)[windows] > 1
@@ -62,7 +63,7 @@ def counts_of(text: str | None) -> tuple[int, ...]:
         np.subtract.at(steps, starts + WINDOW, 1)
         covered = int((np.cumsum(steps[:-1]) > 0).sum())
     chars = len(text) - sum(map(text.count, WHITE))
-    return (len(words), chars, len(_SYMBOLS.findall(text)), doubled, covered, filled, len(_UPPER.findall(text)), text.count("!"))
+    return (len(words), chars, len(_SYMBOLS.findall(text)), doubled, covered, filled, len(_UPPER.findall(text)), text.count("!"), int((numbers[1:] == numbers[:-1]).sum()))
 
 
 @F.arrow_udf(COUNTS_TYPE)
@@ -79,6 +80,7 @@ def _rates(counts: str) -> dict[str, Column]:
         "dup_line_rate": c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1.0)),
         "upper_rate": c["n_upper"] / words,
         "mark_rate": c["n_marks"] / words,
+        "doubled_rate": c["n_doubled"] / words,
         "long_rate": c["word_chars"] / words,
     }
 
