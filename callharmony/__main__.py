@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callharmony.operators import audit_summary, load_crosswalk
 from callharmony.plans import audit, fetch_pages, run
-from callharmony.session import build_session
+from callharmony.session import build_session, fit_to
 from callharmony.sinks import CallTable, preview
 from callharmony.sources import SPECS, SourceSpec, read_page_files, read_page_table
 from callharmony.streaming import run_stream
@@ -66,6 +66,8 @@ def landed_pages(spark: SparkSession, spec: SourceSpec, args: argparse.Namespace
 def main(argv: list[str] | None = None) -> None:
     args = parse_args(argv)
     spark = build_session()
+    if args.pages:
+        fit_to(spark, args.pages)
     spec = SPECS.get(args.source)
     if spec and args.page_size:
         spec = replace(spec, page_size=args.page_size)

@@ -46,6 +46,27 @@ def shuffle_conf(input_bytes: int) -> dict[str, str]:
     }
 
 
+def store_of(spark: SparkSession, path: str):
+    """The store that holds ``path``, as Spark's JVM sees it, and the path there."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    there, conf = fs.Path(path), spark._jsc.hadoopConfiguration()
+    context = fs.FileContext.getFileContext(*([there.toUri()] if there.toUri().getScheme() else []), conf)
+    return context, there
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    context, there = store_of(spark, path)
+    return context.util().getContentSummary(there).getLength()
+
+
+def fit_to(spark: SparkSession, path: str) -> None:
+    """Settings of ``shuffle_conf`` for what lies at ``path``, if that needs more than the usual partitions."""
+    size = input_bytes(spark, path)
+    if size > 200 * 2**29:
+        for key, value in shuffle_conf(size).items():
+            spark.conf.set(key, value)
+
+
 def require_utc(spark: SparkSession) -> None:
     """Local call times are shifted relative to the session zone, so it has to be UTC."""
     zone = spark.conf.get("spark.sql.session.timeZone")

@@ -32,7 +32,7 @@ from pyspark.sql.types import (
 from callharmony.operators.project import conform
 from callharmony.operators.upsert import delete_matching, empty_like, fold_pages
 from callharmony.schema import CALL_SCHEMA, KEYS, ORDER, fields
-from callharmony.session import local_frame
+from callharmony.session import local_frame, store_of
 
 # A stored row also knows its page, so that pages may be added in any order.
 STORED_SCHEMA = StructType(
@@ -204,6 +204,25 @@ class CallTable:
         folded = self._write(self._current(state.of(unfolded)), "folded")
         return self._commit(replace(state, parts=(*state.without(unfolded), *folded)))
 
+    def vacuum(self, keep: int = 10) -> list[str]:
+        """Delete what the last ``keep`` versions do not need; returns the names of the deleted parts.
+
+        Only the table's one writer may call this: parts of a write that has not ended look dead. Age says
+        nothing here, since a dataset that does not change keeps its old parts.
+        """
+        versions = self._versions()
+        live = {p.part for version in versions[-max(keep, 1) :] for p in self.state(version).parts}
+        context, parts = store_of(self.spark, f"{self.path}/parts")
+        if not versions or not context.util().exists(parts):
+            return []
+        found = [status.getPath() for status in context.util().listStatus(parts)]
+        dead = [p for p in found if p.getName().startswith("part=") and p.getName()[5:] not in live]
+        for version in versions[: -max(keep, 1)]:
+            context.delete(store_of(self.spark, f"{self.path}/manifest/version={version}")[1], True)
+        for path in dead:
+            context.delete(path, True)
+        return sorted(path.getName()[5:] for path in dead)
+
     def stage(self, rows: DataFrame, name: str, seen: Observation, metrics: Sequence[Column]) -> DataFrame:
         """Write rows to a staging folder, dropping what was there, and read them back."""
         path = self._staging(name)
@@ -239,16 +258,8 @@ class CallTable:
         self._write_manifest(state)
         return state.version
 
-    def _hadoop(self, path: str):
-        """The store of a path, as Spark's JVM sees it, and the path there."""
-        jvm = self.spark._jvm
-        there = jvm.org.apache.hadoop.fs.Path(path)
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(there.toUri(), self.spark._jsc.hadoopConfiguration()) \
-            if there.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark._jsc.hadoopConfiguration())
-        return context, there
-
     def _exists(self, name: str) -> bool:
-        context, path = self._hadoop(f"{self.path}/{name}")
+        context, path = store_of(self.spark, f"{self.path}/{name}")
         return context.util().exists(path)
 
     def _write_manifest(self, state: State) -> None:
@@ -259,8 +270,8 @@ class CallTable:
         manifest = local_frame(self.spark, rows, MANIFEST_SCHEMA).coalesce(1)
         draft = f"{self.path}/drafts/{uuid.uuid4().hex}"
         manifest.write.json(draft)
-        context, source = self._hadoop(draft)
-        final = self._hadoop(f"{self.path}/manifest/version={state.version}")[1]
+        context, source = store_of(self.spark, draft)
+        final = store_of(self.spark, f"{self.path}/manifest/version={state.version}")[1]
         context.mkdir(final.getParent(), None, True)
         gateway = self.spark.sparkContext._gateway
         options = gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Options.Rename, 0)

@@ -4,6 +4,7 @@ from dataclasses import replace
 import pytest
 from bodies import features, pages
 
+from callharmony import session
 from callharmony.__main__ import main, parse_args
 from callharmony.operators import load_crosswalk
 from callharmony.plans import fetch_pages, run, run_to_warehouse
@@ -82,3 +83,15 @@ def test_warehouse_job_prepares_staging_first(spark):
 def test_shuffle_partitions_follow_the_input():
     assert shuffle_conf(10**9)["spark.sql.shuffle.partitions"] == "200"
     assert shuffle_conf(100 * 10**12)["spark.sql.shuffle.partitions"] == str(100 * 10**12 // 2**29)
+
+
+def test_input_size_sets_the_partitions(spark, tmp_path, monkeypatch, conf):
+    conf(spark__sql__shuffle__partitions="4", spark__sql__files__maxPartitionBytes="128MB",
+         spark__sql__adaptive__advisoryPartitionSizeInBytes="64MB")
+    (tmp_path / "f").write_text("12345")
+    assert session.input_bytes(spark, str(tmp_path)) == 5
+    session.fit_to(spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    monkeypatch.setattr(session, "input_bytes", lambda *_: 10**12)
+    session.fit_to(spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == str(10**12 // 2**29)

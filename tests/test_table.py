@@ -141,3 +141,15 @@ def test_upsert_takes_pending_pages_into_account(spark, calls):
     calls.append_pages(rows(spark, (A, "1", "p1"), run_id="r", page_seq=1))
     calls.upsert(rows(spark, (A, "2", "new")))
     assert bag(calls.read()) == Counter([(A, "1", "p1"), (A, "2", "new")])
+
+
+def test_vacuum_knows_what_is_live(spark, calls, tmp_path):
+    calls.upsert(rows(spark, (B, "1", "old but live")))
+    for value in "xyz":
+        calls.upsert(rows(spark, (A, "1", value)))
+    dead = calls.vacuum(keep=2)
+    assert dead and not {p.part for p in calls.state().parts} & set(dead)
+    assert bag(calls.read()) == Counter([(A, "1", "z"), (B, "1", "old but live")])
+    assert bag(calls.read(3)) == Counter([(A, "1", "y"), (B, "1", "old but live")])
+    left = {f.name.removeprefix("part=") for f in (tmp_path / "calls" / "parts").iterdir()}
+    assert not left & set(dead) and calls.vacuum(keep=2) == []
