@@ -171,3 +171,10 @@ def test_register_raw(spark, tmp_path):
     assert spark.table("raw_calls").columns == ["a"]
     spark.sql("DROP TABLE raw_calls")
     assert (folder / "part-0.json").exists()
+
+
+@pytest.mark.parametrize("envelope, wrap", [(ROW_ARRAY, row_array), (FEATURES, features)])
+def test_spellings_that_alternate_on_a_page(spark, envelope, wrap):
+    rows = [{"nopd_item": "1", "x": None}, {"NOPD_ITEM": "2"}, {"Nopd_Item": "3", "other": "nopd_item"}, {"nopd_item": None}]
+    df = parse_rows(pages(spark, wrap(*rows)), envelope, ["nopd_item", "x"], keep=["page_seq"])
+    assert [r.nopd_item for r in df.collect()] == ["1", "2", "3", None]
