@@ -184,6 +184,8 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         .where("points > 1")
         .select("region", F.col("p.sid").alias("p_sid"), F.col("p.n").alias("p_n"), F.col("p.place").alias("p_place"))
     )
+    # Written, here and below, so that a join by region has an exchange of its own, whose large partitions Spark splits.
+    firsts = written(firsts, "pivots")
     members = written(regions.join(firsts, "region").where("sid != p_sid"), "regions")
     pairs = members.where(_may_link(percent)).select(F.col("p_sid").alias("a"), F.col("sid").alias("b")).distinct()
     known = written(_verified(pairs, sets, percent), "distances")
@@ -191,18 +193,16 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = components(links)
 
     # What is left of each region after its first pivot; d is null where the pair was ruled out unmeasured.
-    near = members.join(known.select(F.col("a").alias("p_sid"), F.col("b").alias("sid"), "d", "linked"), ["p_sid", "sid"], "left")
+    near = written(members.join(known.select(F.col("a").alias("p_sid"), F.col("b").alias("sid"), "d", "linked"), ["p_sid", "sid"], "left"), "regions")
     far = ~F.coalesce("linked", F.lit(False))
-    beyond = near.where(far).groupBy("region").agg(F.min(F.coalesce("d", F.lit(0.0))).alias("beyond"))
+    beyond = written(near.where(far).groupBy("region").agg(F.min(F.coalesce("d", F.lit(0.0))).alias("beyond")), "pivots")
     left = near.join(beyond, "region").where(far | (F.col("d") >= F.col("beyond") - r - 1e-9))
     region = left.select("region", "sid", "n", "place", "d")
     rounds = 0
     while True:
         rounds += 1
-        labelled = (
-            region.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-            .withColumn("label", F.coalesce("label", "sid"))
-        )
+        labelled = region.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+        labelled = written(labelled.withColumn("label", F.coalesce("label", "sid")), "regions")
         by_label = labelled.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c"))
         mixed = (
             by_label.groupBy("region")
@@ -210,6 +210,7 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             .where("points > home.c")
             .select("region", F.col("home.label").alias("home"), (F.col("points") - F.col("home.c")).alias("outside"))
         )
+        mixed = written(mixed, "pivots")
         # Points of the largest component need not meet each other, so the others are the pivots.
         chosen = (F.col("label") != F.col("home")) & (
             (F.col("outside") <= SMALL_REGION) | (F.pmod(F.xxhash64("sid", F.lit(rounds)), F.lit(2)) == 0)
