@@ -55,7 +55,9 @@ def repeats(keyed: DataFrame) -> DataFrame:
     often = written(chunks.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk_hash"), "chunk-hashes")
     found = written(chunks.join(broadcast_if_small(often, 100_000), "chunk_hash"), "chunks")
     # Grouping by the chunk itself compares bytes, so chunks that only share a hash stay apart.
-    first = found.groupBy("chunk_hash", "chunk").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Written, so that the join below has an exchange of its own, whose large partitions Spark can split.
+    firsts = found.groupBy("chunk_hash", "chunk").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = written(firsts.where("n > 1").drop("n"), "first-chunks")
     again = found.join(first, ["chunk_hash", "chunk"]).where(~_place().eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "text_key").agg(F.collect_set("chunk_no").alias("removed"))
 
