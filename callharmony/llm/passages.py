@@ -1,0 +1,79 @@
+"""Line dedup over every pair of lines: no passage of two or more lines that occurred before stays.
+
+A passage of several lines is a chain of pairs of lines that follow each other, blank lines aside, so it was seen
+before only if all its pairs were: pairs find what chunks with boundaries of their own miss. Pairs are matched by a
+64-bit hash first; those that repeat are then matched by the SHA-256 of both lines.
+
+Only DataFrame and SQL functions run here.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from callharmony.llm.tables import broadcast_if_small, column, written
+
+
+def _lined(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with its ``lines`` and the places ``at`` of those that are not blank."""
+    lined = keyed.withColumn("lines", F.split("text", "\n", -1))
+    places = F.sequence(F.lit(0), F.size("lines") - 1)
+    return lined.withColumn("at", F.filter(places, lambda i: F.get(F.col("lines"), i).rlike(r"\S")))
+
+
+def _pairs(keyed: DataFrame) -> DataFrame:
+    """``doc_id, text_key, pair_no, above, below``: lines that are not blank, each with the next one."""
+    lined = _lined(keyed).withColumn("body", F.transform("at", lambda i: F.get(F.col("lines"), i)))
+    below = F.slice("body", 2, F.greatest(F.size("body") - 1, F.lit(0)))
+    zipped = lined.select("doc_id", "text_key", F.arrays_zip(F.col("body").alias("above"), below.alias("below")).alias("zipped"))
+    # The outer form, since Spark derives a filter from the other one and moves it, inlined, to the scan.
+    exploded = zipped.select("doc_id", "text_key", F.posexplode_outer("zipped").alias("pair_no", "pair"))
+    # The last line has none below it.
+    return exploded.select("doc_id", "text_key", "pair_no", "pair.above", "pair.below").where("below IS NOT NULL")
+
+
+def _place() -> Column:
+    """The order of occurrences: by id, nulls last, then text, then position."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "pair_no")
+
+
+def repeats(keyed: DataFrame) -> DataFrame:
+    """``doc_id, text_key, again``: the numbers of the pairs that occurred before, for documents that have such."""
+    hashed = _pairs(keyed).withColumn("pair_hash", F.xxhash64("above", "below"))
+    often = written(hashed.groupBy("pair_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pair_hash"), "pair-hashes")
+    # No line holds a line break, so the joined pair is told apart from every other one.
+    digest = F.unhex(F.sha2(F.concat("above", F.lit("\n"), "below"), 256))
+    found = hashed.select("doc_id", "text_key", "pair_no", "pair_hash", digest.alias("digest"))
+    found = written(found.join(broadcast_if_small(often, 100_000), "pair_hash").drop("pair_hash"), "pairs")
+    # Written, so that the join below has an exchange of its own, whose large partitions Spark can split.
+    firsts = found.groupBy("digest").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = written(firsts.where("n > 1").drop("n"), "first-pairs")
+    # A line three times in a row is a pair that overlaps its own first occurrence, not a second one.
+    same_text = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    is_first = same_text & (F.col("pair_no") <= F.col("first.pair_no") + 1)
+    again = found.join(first, "digest").where(~is_first)
+    return again.groupBy("doc_id", "text_key").agg(F.collect_set("pair_no").alias("again"))
+
+
+def drop_repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per row: ``doc_id``, the remaining ``text``, ``n_lines`` before and ``n_removed`` of them.
+
+    A line goes if it and a neighbour, blank lines between them aside, occurred before as neighbours: by id (nulls
+    last), text and position, without overlap. Blank lines inside a removed passage go with it. The first place of
+    each line stays, and so does a repeated line whose neighbours are others. A passage whose first occurrence begins or
+    ends inside a repeat of another one loses the lines it shares with that there. A null text is an empty one, of one
+    line. Rows that share id and text are treated alike, so their texts stay equal.
+    """
+    body = F.coalesce(column(docs, text), F.lit(""))
+    keyed = docs.select(column(docs, doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_key"))
+    gone = written(repeats(keyed), "repeats").withColumnsRenamed({"doc_id": "g_id", "text_key": "g_key"})
+    same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key"))
+    # Texts move once, whatever the number of repeats.
+    cut = _lined(keyed.join(gone.hint("merge"), same, "left"))
+    at = F.col("at")
+    spans = F.transform("again", lambda k: F.sequence(F.get(at, k), F.get(at, k + 1)))
+    none = F.array().cast("array<int>")
+    kept_no = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce(F.flatten(spans), none))
+    kept = cut.withColumn("kept_no", kept_no).withColumn("kept", F.transform("kept_no", lambda i: F.get(F.col("lines"), i)))
+    n_lines = F.size("lines").cast("long")
+    return kept.select("doc_id", F.array_join("kept", "\n").alias("text"), n_lines.alias("n_lines"), (n_lines - F.size("kept_no")).alias("n_removed"))

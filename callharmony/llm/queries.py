@@ -13,6 +13,7 @@ from callharmony.llm.langid import identify, learn
 from callharmony.llm.linechunks import drop_repeated_chunks
 from callharmony.llm.mixing import mix
 from callharmony.llm.packing import pack
+from callharmony.llm.passages import drop_repeated_passages
 from callharmony.llm.personal import find_personal
 from callharmony.llm.quality import quality
 from callharmony.llm.tables import ship
@@ -100,6 +101,26 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_passages(documents(spark, sf_dir))
+
+
+ORACLES["op6_repeated_passages"] = r"""
+WITH lines AS (SELECT doc_id, unnest(split) AS line, unnest(range(len(split))) AS i
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS split FROM documents)),
+filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM lines WHERE regexp_matches(line, '\S')),
+pairs AS (SELECT doc_id, k, i, line AS above, lead(line) OVER own AS below, lead(i) OVER own AS next_i
+  FROM filled WINDOW own AS (PARTITION BY doc_id ORDER BY i)),
+firsts AS (SELECT *, min(struct_pack(d := doc_id, k := k)) OVER (PARTITION BY above, below) AS first FROM pairs WHERE below IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, next_i + 1)) AS i FROM firsts
+  WHERE doc_id <> first.d OR k > first.k + 1)
+SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text,
+       count(*) AS n_lines, count(g.i) AS n_removed
+FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
+"""
+
+
 @query
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir)).drop("text_key")
