@@ -83,7 +83,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         if args.landing:
             args.run_id = args.run_id or datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
-            pages = fetch_pages(spark, spec, args.landing, args.run_id)
+            pages = fetch_pages(spark, spec, args.landing, args.run_id, allow_incomplete=args.allow_incomplete)
         else:
             pages = landed_pages(spark, spec, args)
         calls = CallTable(spark, args.table)

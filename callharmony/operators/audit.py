@@ -69,17 +69,18 @@ def page_audit(
     """Judge each page of a fetch by the rule that ends it.
 
     ``counts`` has one row per page: ``n`` and, where known, ``has_rows`` (false for a reply
-    without a row array) and ``truncated`` (the service said there is more). A page ends the
-    fetch if it is not truncated or, for services that do not say so, holds fewer than
-    ``page_size`` rows. A page is ``complete`` if it has a row array, directly precedes the
-    next page, and ends the fetch exactly when it is the last one. The first page is number 0.
+    without a row array) and ``truncated`` (the service said there is more). A truncated page
+    never ends a fetch; another one does or, with a ``page_size``, does if it holds fewer rows.
+    A page is ``complete`` if it has a row array, directly precedes the next page, and ends
+    the fetch if it is the last one; the others hold ``page_size`` rows or, without one, are
+    truncated. The first page is number 0.
     """
     if "has_rows" not in counts.columns:
         counts = counts.withColumn("has_rows", F.lit(True))
-    if page_size is not None:
-        ends = F.col("n") < page_size
-    else:
-        ends = ~F.coalesce(F.col("truncated"), F.lit(False))
+    if "truncated" not in counts.columns:
+        counts = counts.withColumn("truncated", F.lit(False))
+    whole = ~F.coalesce(F.col("truncated"), F.lit(False))
+    is_short = F.col("n") < page_size if page_size is not None else whole
     is_last = F.col("next_seq").isNull()
     in_place = (F.col("page_seq") > F.col("first_seq")) | (F.col("page_seq") == 0)
     followed = is_last | (F.col("next_seq") == F.col("page_seq") + 1)
@@ -90,9 +91,9 @@ def page_audit(
         "running",
         (F.col("running") - F.col("n")).alias("offset"),
         is_last.alias("is_last"),
-        ends.alias("is_short"),
+        is_short.alias("is_short"),
         "has_rows",
-        (F.col("has_rows") & in_place & followed & (is_last == ends)).alias("complete"),
+        (F.col("has_rows") & in_place & followed & (is_last == is_short) & (whole | ~is_last)).alias("complete"),
     )
 
 

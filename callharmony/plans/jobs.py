@@ -99,6 +99,7 @@ def fetch_pages(
     landing: str,
     run_id: str,
     fetch: Fetch = http_fetch,
+    allow_incomplete: bool = False,
     **options: object,
 ) -> DataFrame:
     """Read a service on the executors, keep its bodies as a page table, and return those of this run.
@@ -106,14 +107,23 @@ def fetch_pages(
     Later steps start from what has landed, so no page is asked for twice. A repeated fetch
     of a run takes the place of the earlier one. ``options`` are those of the paged source but
     for the page size, which is the spec's, since the audit needs it too; with no ``total``,
-    services that count their rows are asked for it.
+    services that count their rows are asked for it. A fetch with fewer rows than were counted
+    is refused before it takes a place among the landed runs, unless allowed.
     """
     if "page_size" in options:
         raise ValueError("the page size is part of the spec")
-    if "total" not in options and spec.page_size and (total := total_rows(spec, fetch)) is not None:
-        options["total"] = total
+    counted = total_rows(spec, fetch) if "total" not in options and spec.page_size else None
+    if counted is not None:
+        options["total"] = counted
     register_paged(spark, spec, fetch)
     bodies = spark.read.format("paged").options(**options).load()
+    if counted and not allow_incomplete:
+        path = workspace(spark, f"{spec.slug}-pages")
+        bodies.write.parquet(path)
+        bodies = spark.read.schema(bodies.schema).parquet(path)
+        rows = page_sizes(bodies, spec.envelope, keep=["page_seq"]).agg(F.sum("n")).first()[0] or 0
+        if rows < counted:
+            raise IncompleteFetch(f"{spec.slug}: {rows} rows were sent, the service counted {counted}")
     replace_run(bodies, landing, spec.slug, run_id)
     landed = read_page_table(spark, landing)
     return landed.where((F.col("dataset") == spec.slug) & (F.col("run_id") == run_id))

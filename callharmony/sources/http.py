@@ -48,10 +48,15 @@ def range_condition(spec: SourceSpec) -> str:
     return f"{name} {between[0]} {low} {between[1]} {high}"
 
 
+def conditions(spec: SourceSpec, where: str = "") -> str:
+    """All conditions on a source's rows, as one."""
+    found = [c for c in (range_condition(spec), spec.where, where) if c]
+    return " AND ".join(f"({c})" for c in found) if len(found) > 1 else "".join(found)
+
+
 def page_request(spec: SourceSpec, offset: int, where: str = "") -> PageRequest:
     """The request for the page at a row offset, in the dialect of the source's service."""
-    conditions = [c for c in (range_condition(spec), spec.where, where) if c]
-    condition = " AND ".join(f"({c})" for c in conditions) if len(conditions) > 1 else "".join(conditions)
+    condition = conditions(spec, where)
     if spec.envelope.name == FEATURES.name:
         params = {
             "f": "json",
@@ -83,7 +88,7 @@ def total_rows(spec: SourceSpec, fetch=http_fetch) -> int | None:
         params = {"f": "json", "where": request.params["where"], "returnCountOnly": "true"}
         return json.loads(fetch(replace(request, params=params))).get("count")
     if spec.envelope.name == DATASTORE.name:
-        condition = range_condition(spec) or spec.where
+        condition = conditions(spec)
         sql = f'SELECT count(*) AS count FROM "{spec.resource}"' + f" WHERE {condition}" * bool(condition)
         rows = (json.loads(fetch(replace(request, params={"sql": sql}))).get("result") or {}).get("records")
     else:

@@ -11,6 +11,9 @@ themselves, and range filters on the source's time column are then sent with the
 from __future__ import annotations
 
 import json
+import math
+import re
+import secrets
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from datetime import date
@@ -66,6 +69,22 @@ def body_rows(spec: SourceSpec, body: str) -> tuple[list[dict], bool]:
     return rows, truncated
 
 
+def joined(spec: SourceSpec, bodies: list[str]) -> str:
+    """The last body with the rows of all, in order; numbers stay as they were written."""
+    if len(bodies) == 1:
+        return bodies[0]
+    mark = secrets.token_hex(16)
+    values = [json.loads(body, parse_int=lambda n: mark + n, parse_float=lambda n: mark + n) for body in bodies]
+    rows, names = [], list(filter(None, (spec.envelope.array_path or "").split(".")))
+    for value in values:
+        found = value
+        for name in names:
+            found = found[name]
+        rows += found
+    found[:] = rows
+    return re.sub(rf'"{mark}([^"]*)"', r"\1", json.dumps(values[-1], ensure_ascii=False))
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, spec: SourceSpec, fetch: Fetch, schema: StructType, options: dict[str, str], as_rows: bool):
         self.spec = replace(spec, page_size=int(options.get("page_size", spec.page_size or 0)))
@@ -94,19 +113,31 @@ class PagedReader(DataSourceReader):
         page = partition.first
         offset = page * self.spec.page_size
         while partition.last is None or page <= partition.last:
-            body = self.fetch(page_request(self.spec, offset, self.where))
-            rows, truncated = body_rows(self.spec, body)
+            body, rows, truncated = self._page(offset)
             if self.as_rows:
                 yield self._batch(rows)
             else:
                 yield (page, body)
-            ends = len(rows) < self.spec.page_size if self.spec.page_size else not truncated
+            ends = not truncated and len(rows) < (self.spec.page_size or math.inf)
             # With a filter sent along there are fewer rows than planned for.
             if ends and (partition.last is None or self.where):
                 return
             page += 1
             offset += self.spec.page_size or len(rows)
 
+    def _page(self, offset: int) -> tuple[str, list[dict], bool]:
+        """One page; of a service that grants fewer rows than asked and says that there are more, all its parts."""
+        bodies, rows, size = [], [], self.spec.page_size
+        while True:
+            spec = replace(self.spec, page_size=size and size - len(rows))
+            bodies.append(self.fetch(page_request(spec, offset + len(rows), self.where)))
+            more, truncated = body_rows(self.spec, bodies[-1])
+            rows += more
+            if truncated and not more:
+                raise ValueError(f"{spec.slug}: no rows at offset {offset + len(rows)}, and yet there are more")
+            if not (size and truncated and len(rows) < size):
+                return joined(self.spec, bodies), rows, truncated
+
     def _batch(self, rows: list[dict]) -> pa.RecordBatch:
         lowered = [{name.lower(): value for name, value in row.items()} for row in rows]
         arrow = to_arrow_schema(self.schema)

@@ -97,3 +97,10 @@ def test_runs_are_judged_apart(spark):
     second = pages(spark, datastore({"a": 1}, truncated=True), run_id="r2")
     got = audit_summary(audit(spec, first.union(second)), by=("dataset", "run_id")).collect()
     assert {(r.run_id, r.pages, r.records, r.complete) for r in got} == {("r1", 2, 2, True), ("r2", 1, 1, False)}
+
+
+def test_a_truncated_page_ends_no_fetch_whatever_the_page_size(spark):
+    rows = [("A", 0, 10, True), ("A", 1, 4, True), ("B", 0, 10, True), ("B", 1, 4, None), ("C", 0, 4, True), ("C", 1, 4, False)]
+    sizes = spark.createDataFrame(rows, "dataset string, page_seq int, n bigint, truncated boolean")
+    got = {(r.dataset, r.page_seq): r.complete for r in page_audit(sizes, page_size=10).collect()}
+    assert got == {("A", 0): True, ("A", 1): False, ("B", 0): True, ("B", 1): True, ("C", 0): False, ("C", 1): True}

@@ -6,6 +6,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql.datasource import GreaterThan, GreaterThanOrEqual, LessThan
 
+from callharmony.plans import IncompleteFetch, audit, complete_pages, fetch_pages
 from callharmony.sources import FEATURES, SPECS, parse_rows
 from callharmony.sources.http import page_request, total_rows
 from callharmony.sources.paged import FilteredReader, OffsetRange, PagedReader, register_paged
@@ -170,3 +171,51 @@ def test_total_rows():
         return '[{"count": "7"}]'
 
     assert total_rows(GNV, counted) == 7 and asked[-1]["$select"] == "count(*) AS count" and "between" in asked[-1]["$where"]
+
+
+def capped(rows, cap):
+    """A datastore that grants at most ``cap`` rows a reply, and counts 95 whatever it holds."""
+
+    def fetch(request):
+        if "count(*)" in request.params["sql"]:
+            return '{"result": {"records": [{"count": "95"}]}}'
+        limit, offset = (int(x) for x in re.search(r"LIMIT (\d+) OFFSET (\d+)$", request.params["sql"]).groups())
+        numbers = range(rows)[offset : offset + min(limit, cap)]
+        records = ", ".join(f'{{"_id": {i}, "x": {i}.50, "y": "é\\n"}}' for i in numbers)
+        return f'{{"result": {{"records": [{records}], "records_truncated": {json.dumps(cap < limit and offset + cap < rows)}}}}}'
+
+    return fetch
+
+
+@pytest.mark.parametrize("cap", [1, 3, 9, 10, 40])
+@pytest.mark.parametrize("options", [{}, {"total": "95"}, {"total": "40", "pages_per_task": "3"}])
+def test_a_datastore_that_caps_below_the_page_size_is_read_whole(cap, options):
+    reader = PagedReader(replace(PHX, page_size=10), capped(95, cap), None, options, as_rows=False)
+    got = [page for part in reader.partitions() for page in reader.read(part)]
+    assert [seq for seq, _ in got] == list(range(10))
+    assert [r["_id"] for _, body in got for r in json.loads(body)["result"]["records"]] == list(range(95))
+    assert all(f'"x": {seq * 10}.50, "y": "é\\n"' in body for seq, body in got)
+
+
+def test_more_rows_promised_and_none_sent():
+    reader = PagedReader(PHX, lambda request: '{"result": {"records": [], "records_truncated": true}}', None, {"page_size": "10"}, False)
+    with pytest.raises(ValueError, match="there are more"):
+        list(reader.read(OffsetRange(0, None)))
+
+
+def test_a_capped_fetch_lands_whole_and_a_short_one_not_at_all(spark, tmp_path):
+    spec, landing = replace(PHX, page_size=10), str(tmp_path / "pages")
+    landed = fetch_pages(spark, spec, landing, "r1", capped(95, 4), pages_per_task=2)
+    assert complete_pages({spec: landed}) == (10, 0)
+    assert audit(spec, landed).agg({"n": "sum"}).first()[0] == 95
+    with pytest.raises(IncompleteFetch, match="90 rows were sent, the service counted 95"):
+        fetch_pages(spark, spec, landing, "r1", capped(90, 10))
+    assert audit(spec, landed).agg({"n": "sum"}).first()[0] == 95
+    assert complete_pages({spec: fetch_pages(spark, spec, landing, "r2", capped(90, 10), allow_incomplete=True)}) == (10, 0)
+
+
+def test_the_count_is_of_the_rows_that_are_asked_for():
+    spec = replace(PHX, where="\"X\" = 1")
+    asked = []
+    total_rows(spec, lambda request: asked.append(request.params["sql"]) or '{"result": {"records": [{"count": "9"}]}}')
+    assert asked[0].split(" WHERE ")[1] == page_request(spec, 0).params["sql"].split(" WHERE ")[1].split(" ORDER")[0]
