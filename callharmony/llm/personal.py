@@ -82,7 +82,7 @@ def _ips(text: str, anchors: list[int]) -> Iterator[tuple[str, int, int]]:
             continue
         match = _IP.match(text, at)
         end = match.end() if match else _DIGITS.match(text, at).end()
-        if match and all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in match[0].split(".")):
+        if match and all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255 for part in match[0].split(".")):
             yield "ip", at, end
 
 

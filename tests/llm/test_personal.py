@@ -76,3 +76,9 @@ def test_odd_rows(odd, empty):
 def test_long_texts_in_linear_time():
     for text in ("a" * 300_000 + "@", "1." * 150_000, "9" * 300_000, "+1" + " " * 300_000, "a@" * 100_000):
         p.spans_of(text)
+
+
+def test_parts_of_thousands_of_zeros():
+    zeros = "0" * 5_000
+    text = f"{zeros}.0.0.{zeros}9 and {zeros}256.1.1.1"
+    assert [(kind, a, b) for kind, a, b in p.spans_of(text) if kind == "ip"] == [("ip", 0, 2 * len(zeros) + 6)]
