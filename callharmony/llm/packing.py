@@ -2,9 +2,11 @@
 
 Texts become token ids and are cut into pieces of at most one sequence. Pieces are dealt into partitions of
 bounded size, each packed by best-fit decreasing. Dual-feasible functions give a lower bound on the number of
-sequences any packing needs, for a partition and, from the histogram of lengths, for everything. While the total
-lies above the bound, the pieces in unfilled sequences leave their partitions, meet those of others and are packed
-again; a partition's new packing is taken only if it needs fewer sequences than the old ones together.
+sequences any packing needs, from the histogram of all lengths. While the total lies above the bound, the pieces in
+unfilled sequences leave their partitions, meet those of others and are packed again; a partition's new packing is
+taken only if it needs fewer sequences than the old ones together. Partitions that meet a bound of their own take part
+too: such bounds round up once per partition. A gap to the bound may be left when one partition holds all open
+sequences, after a later round without gain, or after ``MAX_ROUNDS`` more.
 """
 
 from __future__ import annotations
