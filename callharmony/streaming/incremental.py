@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from callharmony.operators.audit import page_audit
 from callharmony.plans.jobs import IncompleteFetch, harmonize
+from callharmony.session import store_of
 from callharmony.sinks.raw import land_raw_text
 from callharmony.sinks.table import CallTable
 from callharmony.sources.envelopes import page_sizes, raw_rows
@@ -31,10 +33,18 @@ def run_stream(
     raw rows of a batch have a folder of their own, which a replay overwrites. A reply without
     rows stops the stream before its batch is added, unless it is allowed. Pending pages are
     folded by readers, and into the table once there are many.
+
+    Page counts are kept below the checkpoint. When no page is left, the runs taken up so far
+    are audited by them, and incomplete ones raise ``IncompleteFetch``, unless allowed: their
+    rows are in the table, and a later call takes up what is missing. A checkpoint from before
+    counts were kept lacks those of its first pages.
     """
+    counts = f"{checkpoint}/page-counts"
 
     def add(pages: DataFrame, batch_id: int) -> None:
-        bad = 0 if allow_incomplete else page_sizes(pages, spec.envelope).where("NOT has_rows").count()
+        path = f"{counts}/batch={batch_id}"
+        page_sizes(pages, spec.envelope).write.mode("overwrite").parquet(path)
+        bad = 0 if allow_incomplete else pages.sparkSession.read.parquet(path).where("NOT has_rows").count()
         if bad:
             raise IncompleteFetch(f"{bad} replies of batch {batch_id} have no rows")
         if lake is not None:
@@ -50,4 +60,18 @@ def run_stream(
         .start()
     )
     query.awaitTermination()
+    if not allow_incomplete:
+        _refuse_incomplete(spec, target, counts)
     return query
+
+
+def _refuse_incomplete(spec: SourceSpec, target: CallTable, counts: str) -> None:
+    # A stream that has not seen any page has no counts.
+    context, path = store_of(target.spark, counts)
+    if not context.util().exists(path):
+        return
+    sizes = target.spark.read.parquet(counts).withColumn("run_id", F.coalesce("run_id", F.lit("")))
+    judged = page_audit(sizes, spec.page_size, by=("dataset", "run_id")).where("NOT complete")
+    row = judged.agg(F.count(F.lit(1)), F.min(F.struct("dataset", "run_id", "page_seq"))).first()
+    if row[0]:
+        raise IncompleteFetch(f"{row[0]} of the pages taken up are incomplete, the first is {tuple(row[1])}")

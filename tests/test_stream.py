@@ -1,10 +1,11 @@
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from bodies import ERROR, features
 
 from callharmony.operators import load_crosswalk
-from callharmony.plans import run
+from callharmony.plans import IncompleteFetch, run
 from callharmony.sinks import CallTable
 from callharmony.sources import SPECS, read_page_files
 from callharmony.streaming import run_stream
@@ -54,3 +55,22 @@ def test_stream_equals_the_batch_job(spark, tmp_path, files_per_batch):
     assert bag(streamed) == bag(batch) and sum(bag(batch).values()) == 6
     raw = spark.read.json(str(tmp_path / "lake" / "data" / SPEC.slug / "run_id=stream"))
     assert raw.count() == 8
+
+
+def test_a_lost_page_is_told_and_can_follow(spark, tmp_path):
+    landing = tmp_path / "landing" / "run_id=r1"
+    landing.mkdir(parents=True)
+    table, spec = CallTable(spark, str(tmp_path / "calls")), replace(SPEC, page_size=1)
+
+    def take_up():
+        run_stream(spec, str(landing), load_crosswalk(spark), table, str(tmp_path / "checkpoint"))
+
+    take_up()  # nothing has landed
+    for seq, body in {0: features(call("1", "DUI")), 2: features()}.items():
+        (landing / f"page-{seq}.json").write_text(body)
+    for _ in range(2):
+        with pytest.raises(IncompleteFetch, match="'r1', 0"):
+            take_up()
+    (landing / "page-1.json").write_text(features(call("2", "DUI")))
+    take_up()
+    assert table.read().count() == 2
