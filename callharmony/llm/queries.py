@@ -17,6 +17,7 @@ from callharmony.llm.passages import drop_repeated_passages
 from callharmony.llm.personal import find_personal
 from callharmony.llm.quality import quality
 from callharmony.llm.tables import ship
+from callharmony.llm.urls import filter_urls
 from callharmony.llm.viterbi import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +148,27 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 WINDOW same AS (PARTITION BY text_sha256)
 """
+
+
+@query
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+ORACLES["op12_url_filters"] = """
+WITH rests AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+dotted AS (SELECT *, '.' || host AS h FROM split),
+ruled AS (SELECT *, CASE WHEN h LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+  WHEN h LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+  WHEN h LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+  WHEN h LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM dotted)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN path LIKE '/search/help%' THEN 'allow'
+  WHEN (h LIKE '%.ads.%' OR h LIKE '%.tracker.%') AND path LIKE '/%' THEN 'block'
+  WHEN path LIKE '/cgi-bin/%' OR path LIKE '/%/login%' OR path LIKE '/login%' OR path LIKE '/search%' OR path LIKE '/tag_/%' THEN 'block'
+  WHEN path LIKE '%.exe%' OR path LIKE '%.zip%' OR path LIKE '%.jpg%' OR path LIKE '%.png%' THEN 'block'
+  ELSE 'allow' END AS verdict FROM ruled
+"""

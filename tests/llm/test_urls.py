@@ -1,0 +1,105 @@
+"""URL rules against a plain matcher."""
+
+import re
+
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from callharmony.llm import urls
+from callharmony.llm.urls import DEFAULTS, RULES, Automaton, Rule, canonical, filter_urls, judge_urls, parts_of
+
+
+def glob(text):
+    return "".join({"*": "[^\x00]*", "?": "[^\x00]"}.get(c, re.escape(c)) for c in text)
+
+
+def fits(rule, url):
+    host, path, _ = parts_of(url)
+    if rule.host and not re.fullmatch(r"(?:.*\.)?" + glob(rule.host.lower()), host, re.DOTALL):
+        return False
+    return re.match(glob(rule.path), path, re.DOTALL) is not None
+
+
+def plain(url, rules, defaults):
+    """Rules are tried by their length."""
+    for some, named in ((rules, True), (defaults, False)):
+        found = [rule for rule in some if fits(rule, url)]
+        if found:
+            best = min(found, key=lambda rule: (-len(rule.name), rule.verdict != "block", rule.name))
+            return best.name if named else None, best.verdict
+    return None, "allow"
+
+
+def judged(found, rules=RULES, defaults=DEFAULTS):
+    ranked = [Automaton(urls._by_rank(some)) for some in (rules, defaults)]
+    return list(judge_urls(found, *ranked))
+
+
+CASES = {
+    "https://a.example.net/en/x?y#z": ("a.example.net", "/en/x", "example.net/en/", "allow"),
+    "https://A.Example.NET/EN/x": ("a.example.net", "/EN/x", "net/", "block"),
+    "http://net/": ("net", "/", "net/", "block"),
+    "http://net": ("net", "", None, "allow"),
+    "http://subnet/": ("subnet", "/", None, "allow"),
+    "http://evil.com/a.net/": ("evil.com", "/a.net/", None, "allow"),
+    "http://evil.com?x=a.net/": ("evil.com", "", None, "allow"),
+    "http://evil.com#a.net/": ("evil.com", "", None, "allow"),
+    "http://example.com/de/?q": ("example.com", "/de/", "example.com/de/", "block"),
+    "http://example.com/de?q=/": ("example.com", "/de", None, "allow"),
+    "http://x.org/fr/": ("x.org", "/fr/", "org/fr/", "allow"),
+    "http://x.org/a.exe": ("x.org", "/a.exe", None, "block"),
+    "http://x.org/a?b.exe": ("x.org", "/a", None, "allow"),
+    "http://x.org/search/help/me": ("x.org", "/search/help/me", None, "allow"),
+    "http://x.org/search?q": ("x.org", "/search", None, "block"),
+    "http://ads.site.org/": ("ads.site.org", "/", None, "block"),
+    "http://x.org/tagß/": ("x.org", "/tagß/", None, "block"),
+    "a://b://net/": ("b:", "//net/", None, "allow"),
+    "no scheme.net/": ("", "", None, "allow"),
+    "": ("", "", None, "allow"),
+    "://": ("", "", None, "allow"),
+    None: ("", "", None, "allow"),
+}
+
+
+def test_cases():
+    assert dict(zip(CASES, judged(list(CASES)), strict=True)) == CASES
+
+
+pieces = st.sampled_from(["net", "org", "example", ".", "/", "/en/", "/de/", "?", "#", "://", "http://", "a", "Ä", "😀", "*", "\n", "login", ".exe", "ads."])
+globs = st.sampled_from(["net", "example", ".", "*", "?", "a", "Ä", "n*t", "/", "en"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(pieces, max_size=12).map("".join), max_size=8), st.lists(st.tuples(st.lists(globs, max_size=4), st.lists(globs, max_size=5)), max_size=30))
+def test_like_a_plain_matcher(found, drawn):
+    rules = [Rule(("block", "allow")[i % 2], "".join(host).replace("/", ""), "".join(path)) for i, (host, path) in enumerate(drawn)]
+    for url, (host, path, name, verdict) in zip(found, judged(found, rules), strict=True):
+        assert (host, path) == parts_of(url)[:2]
+        assert (name, verdict) == plain(url, rules, DEFAULTS)
+
+
+def test_many_words_and_long_urls(monkeypatch):
+    rules = [Rule("block", f"host{i}.*.example", f"/p{i}/*x{i}?") for i in range(200)]
+    automaton = Automaton(rules)
+    assert automaton.words > 30
+    texts = [canonical(f"a.host{i}.z.example", f"/p{i}/" + "y" * (i * 31) + f"x{i}é", None) for i in range(200)]
+    wide = automaton.read_all(texts)
+    assert (wide.nonzero()[1] == range(200)).all() and wide.sum() == 200
+    monkeypatch.setattr(urls, "WIDE", 10)
+    assert (automaton.read_all(texts) == wide).all()
+    assert judged(["http://a.net/" + "x" * 3_000_000 + "?q"])[0][2:] == ("net/", "block")
+
+
+def test_odd_rows(spark):
+    rows = [(1, "http://a.net/", "h", "r"), (1, "http://a.net/", "h", "r"), (None, None, None, None), (2, "", "h", "r")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")
+    got = sorted(map(tuple, filter_urls(pages).collect()), key=repr)
+    assert got == sorted([(1, "a.net", "/", "net/", "block")] * 2 + [(None, "", "", None, "allow"), (2, "", "", None, "allow")], key=repr)
+    assert filter_urls(pages.limit(0)).collect() == []
+    assert filter_urls(pages.limit(0)).columns == ["page_id", "host", "path", "rule", "verdict"]
+
+
+@pytest.mark.parametrize("rules", [(), (Rule("allow", "", ""),)])
+def test_few_rules(spark, rules):
+    verdicts = judged(["http://a.net/", None], rules, ())
+    assert [v[3] for v in verdicts] == ["allow", "allow"] and verdicts[1][2] == ("" if rules else None)
