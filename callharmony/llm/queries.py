@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from callharmony.llm.conversations import damage, repair_conversations
 from callharmony.llm.exact import exact_dedup
 from callharmony.llm.idfiles import id_files
 from callharmony.llm.jaccard import jaccard_join
@@ -172,3 +173,10 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
   WHEN path LIKE '%.exe%' OR path LIKE '%.zip%' OR path LIKE '%.jpg%' OR path LIKE '%.png%' THEN 'block'
   ELSE 'allow' END AS verdict FROM ruled
 """
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_conversations(damage(rows), rows)
