@@ -16,6 +16,7 @@ from callharmony.llm.mixing import mix
 from callharmony.llm.packing import pack
 from callharmony.llm.passages import drop_repeated_passages
 from callharmony.llm.personal import find_personal
+from callharmony.llm.phrases import collocations
 from callharmony.llm.quality import quality
 from callharmony.llm.tables import ship
 from callharmony.llm.urls import filter_urls
@@ -151,6 +152,33 @@ WINDOW same AS (PARTITION BY text_sha256)
 """
 
 
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]'), lambda x: x <> '') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+seen AS (SELECT lang, k AS size, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places, range(1, 6) AS r(k) WHERE i + k - 1 <= len(w)),
+totals AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM seen GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cuts AS (SELECT c.*, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM c, range(1, 5) AS r(k) WHERE k < size),
+scored AS (SELECT u.lang, u.phrase, u.size, u.a, k, x.a AS l, y.a AS r, n,
+    ((1000::HUGEINT * u.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts u JOIN f x ON x.lang = u.lang AND x.phrase = head JOIN f y ON y.lang = u.lang AND y.phrase = tail JOIN totals t ON t.lang = u.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covered AS (SELECT DISTINCT s.lang, s.phrase FROM (SELECT lang, a AS longer, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM c, range(2, 5) AS r(k), range(1, 5) AS p(i) WHERE k < size AND i + k - 1 <= size) s
+  JOIN f USING (lang, phrase) WHERE 100 * longer >= 100 * f.a),
+kept AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best ANTI JOIN covered USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM kept WHERE rank <= 2000
+"""
+
+
 @query
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
