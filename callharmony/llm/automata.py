@@ -9,7 +9,7 @@ ranges, and the parts of one range from many shards are united by summing the we
 from __future__ import annotations
 
 import struct
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -71,8 +71,8 @@ class Counter:
         low, high = 0, len(self.paths)
         for i, word in enumerate(bound.split(JOINT)):
             label = bisect_left(self.words, word) + 1
-            column = self.paths[low:high, i]
-            low, high = low + int(np.searchsorted(column, label, "left")), low + int(np.searchsorted(column, label, "right"))
+            column = self.paths[:, i]
+            low, high = bisect_left(column, label, low, high), bisect_right(column, label, low, high)
             # A word that is not here has its place between others: what has a label from it on is past the bound.
             if low == high or label > len(self.words) or self.words[label - 1] != word:
                 break
@@ -88,9 +88,11 @@ class Counter:
 
     def pack(self) -> bytes:
         """Only the words in use, and of each path only what it does not share with the one before."""
-        used = np.unique(self.paths)
-        used = used[used > 0]
-        paths = np.where(self.paths > 0, np.searchsorted(used, self.paths) + 1, 0).astype("<u4")
+        in_use = np.zeros(len(self.words) + 1, bool)
+        in_use[self.paths] = True
+        in_use[0] = False
+        used = np.flatnonzero(in_use)
+        paths = np.where(in_use, np.cumsum(in_use), 0).astype("<u4")[self.paths]
         shared = self.shared()
         fresh = np.arange(paths.shape[1]) >= shared[:, None]
         words = JOINT.join([self.words[i - 1] for i in used.tolist()])

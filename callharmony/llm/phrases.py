@@ -59,6 +59,14 @@ def tokens_of(text: str | None) -> Iterator[list[bytes]]:
     yield [BREAK]
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for; a break is 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Shard:
     """Collects texts and gives their automaton; the first label of a path is the language."""
 
@@ -67,17 +75,14 @@ class Shard:
         self._clear([], [])
 
     def _clear(self, words: list[bytes], langs: list[bytes]) -> None:
-        self.known: dict[bytes, int] = {BREAK: 0}
+        self.known = Numbers({BREAK: 0})
         self.parts, self.langs, self.size = [], [], 0
         for lang, word in zip(langs, words, strict=True):
             self.add(lang, [word])
 
     def add(self, lang: bytes, tokens: list[bytes]) -> None:
-        known = self.known
-        for word in {lang, *tokens} - known.keys():
-            known[word] = len(known)
-        self.parts.append(np.fromiter(map(known.__getitem__, tokens), np.uint32, len(tokens)))
-        self.langs.append((known[lang], len(tokens)))
+        self.parts.append(np.fromiter(map(self.known.__getitem__, tokens), np.uint32, len(tokens)))
+        self.langs.append((self.known[lang], len(tokens)))
         self.size += len(tokens)
 
     def take(self, last: bool) -> Counter:
