@@ -28,8 +28,8 @@ WORDS, LEAST, TOP, SCALE, COVERED_PERCENT = 5, 100, 2000, 1000, 100
 NO_LANG = "und"
 
 # Words in a shard, characters of a text that are split at once, and the paths a range is meant to have.
-SHARD_WORDS, SLICE, RANGE_PATHS = 1 << 20, 1 << 20, 2_000_000
-# Bounds go to every task, some 70 MB at most. Beyond so many ranges (10 TB of text) ranges are larger instead.
+SHARD_WORDS, SLICE, RANGE_PATHS = 1 << 20, 1 << 20, 1_000_000
+# Bounds go to every task, some 70 MB at most. Beyond so many ranges (5 TB of text) ranges are larger instead.
 MAX_RANGES = 1 << 20
 SAMPLES_PER_RANGE, MAX_SAMPLES, SAMPLED_WORDS = 8, 1 << 21, 2_000
 BYTES_PER_WORD = 5
