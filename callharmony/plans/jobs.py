@@ -28,9 +28,9 @@ from callharmony.sources.specs import SourceSpec
 
 @dataclass(frozen=True)
 class RunReport:
-    """The new version of the table, and counts taken while the rows were written."""
+    """How many buckets of the table were written, and counts taken while the rows were."""
 
-    version: int
+    buckets: int
     records: int
     null_keys: int
     unmapped: int
@@ -182,7 +182,7 @@ def run_all(
         # Within one run, a reply that is not paged has nothing to fold.
         one_batch = kind == "whole" and len(span) == 1
         batches.append(staged if one_batch else fold_pages(staged, KEYS, page_order(len(span))))
-    version = target.upsert(_union(batches))
+    buckets = target.upsert(_union(batches))
     for staging in stagings:
         target.clear_staging(staging)
 
@@ -190,7 +190,7 @@ def run_all(
         return sum(seen.get[name] for seen in counts)
 
     return RunReport(
-        version=version,
+        buckets=buckets,
         records=total("records"),
         null_keys=total("null_keys"),
         unmapped=total("unmapped"),

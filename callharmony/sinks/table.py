@@ -1,80 +1,34 @@
-"""The table of calls: Parquet parts split by dataset, and a small manifest of the live ones.
+"""The table of calls: Parquet, split by dataset and by a hash of the key.
 
-Parquet has no transactions and must not be overwritten while it is read, so every change
-writes new parts and then one manifest file that names the parts of the new version. A write
-that fails before its manifest leaves the table as it was.
+    <path>/buckets=<n>/dataset=<label>/bucket=<i>/*.parquet
+    <path>/merged/                what is to take the place of its buckets
+    <path>/staging/<name>/
 
-    <path>/parts/part=<id>/dataset=<label>/*.parquet
-    <path>/manifest/version=<n>/*.json
-    <path>/staging/<slug>/
+An upsert reads and writes only the buckets that its keys fall into; Spark's dynamic partition overwrite puts them in
+place and leaves the files of all others as they are. Spark swaps buckets one after another, so the merged rows are
+kept until all are swapped: a writer that finds them finishes what an earlier one began, which gives the same rows
+however far that one came.
 """
 
 from __future__ import annotations
 
-import dataclasses
 import re
-import uuid
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Sequence
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
-from pyspark.sql.types import (
-    BooleanType,
-    IntegerType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-)
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from callharmony.operators.project import conform
-from callharmony.operators.upsert import delete_matching, empty_like, fold_pages
-from callharmony.schema import CALL_SCHEMA, KEYS, ORDER, fields
-from callharmony.session import local_frame, store_of
+from callharmony.operators.upsert import delete_matching, empty_like, fold_pages, has_null_key
+from callharmony.schema import CALL_SCHEMA, KEYS, ORDER
+from callharmony.session import store_of, workspace
 
 # A stored row also knows its page, so that pages may be added in any order.
-STORED_SCHEMA = StructType(
-    [*CALL_SCHEMA.fields, StructField("run_id", StringType()), StructField("page_seq", IntegerType())]
-)
-PART_SCHEMA = StructType([*STORED_SCHEMA.fields, StructField("part", StringType())])
-MANIFEST_SCHEMA = StructType(
-    [
-        *fields("kind", "dataset", "part", "first_run", "last_run", "stream", dtype=StringType()),
-        StructField("pending", BooleanType()),
-        StructField("batch_id", LongType()),
-    ]
-)
-VERSION_PATTERN = re.compile(r"/manifest/version=(\d+)/")
-
-
-@dataclass(frozen=True)
-class Part:
-    dataset: str | None
-    part: str
-    pending: bool  # holds pages that are not folded into the other parts yet
-    first_run: str
-    last_run: str
-
-
-@dataclass(frozen=True)
-class State:
-    version: int = 0
-    parts: tuple[Part, ...] = ()
-    batches: dict[str, int] = dataclasses.field(default_factory=dict)
-
-    def of(self, datasets: Iterable[str | None]) -> list[Part]:
-        wanted = set(datasets)
-        return [p for p in self.parts if p.dataset in wanted]
-
-    def without(self, datasets: Iterable[str | None]) -> list[Part]:
-        touched = set(datasets)
-        return [p for p in self.parts if p.dataset not in touched]
-
-
-def _in_datasets(datasets: Iterable[str | None]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col("dataset").eqNullSafe(F.lit(d)) for d in datasets])
+STORED_SCHEMA = StructType([*CALL_SCHEMA.fields, StructField("run_id", StringType()), StructField("page_seq", IntegerType())])
+BUCKET_SCHEMA = StructType([*STORED_SCHEMA.fields, StructField("bucket", IntegerType())])
+PLACE = ("dataset", "bucket")
+MAX_BUCKETS = 16_384
 
 
 def page_order(runs: int) -> Sequence[str]:
@@ -82,202 +36,112 @@ def page_order(runs: int) -> Sequence[str]:
     return ORDER[1:] if runs <= 1 else ORDER
 
 
-class VersionConflict(RuntimeError):
-    """Two writers made the same version."""
-
-
 class CallTable:
     """One table at ``path``, in storage that all executors share. One writer at a time.
 
-    The first write creates it, from an empty version 0; reading a table that is not there fails.
+    The first write creates it with ``buckets`` buckets a dataset, which it keeps. A bucket should be some hundred
+    megabytes: more buckets make a small upsert cheaper, fewer keep files large. While an upsert swaps its buckets, a
+    reader may see some of them before and some after it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, max_pending: int = 64):
-        self.spark = spark
-        self.path = path.rstrip("/")
-        self.max_pending = max_pending
-
-    # Reading
-
-    def _versions(self) -> list[int]:
-        """The versions that have a manifest, from a listing alone."""
-        if not self._exists("manifest"):
-            return []
-        files = self.spark.read.schema(MANIFEST_SCHEMA).json(f"{self.path}/manifest").inputFiles()
-        return sorted(int(VERSION_PATTERN.search(file).group(1)) for file in files)
-
-    def state(self, version: int | None = None) -> State:
-        """The live parts of a version, the newest by default: a few rows per dataset."""
-        if version is None:
-            versions = self._versions()
-            if not versions:
-                return State()
-            version = versions[-1]
-        manifest = self.spark.read.schema(MANIFEST_SCHEMA).json(f"{self.path}/manifest/version={version}")
-        rows = manifest.collect()
-        if sum(r.kind == "head" for r in rows) != 1:
-            raise VersionConflict(f"version {version} of {self.path}")
-        return State(
-            version=version,
-            parts=tuple(
-                Part(r.dataset, r.part, r.pending, r.first_run, r.last_run) for r in rows if r.kind == "part"
-            ),
-            batches={r.stream: r.batch_id for r in rows if r.kind == "stream"},
-        )
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """The canonical rows of a version."""
-        if version is None and not self._versions():
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        if not 0 < buckets <= MAX_BUCKETS:
+            raise ValueError(f"a table has 1 to {MAX_BUCKETS} buckets a dataset")
+        self.spark, self.path, self._wanted = spark, path.rstrip("/"), buckets
+
+    @property
+    def buckets(self) -> int | None:
+        """Buckets per dataset, or None if there is no table yet."""
+        context, path = store_of(self.spark, self.path)
+        if not context.util().exists(path):
+            return None
+        names = (status.getPath().getName() for status in context.util().listStatus(path))
+        return next((int(found[1]) for found in map(re.compile(r"buckets=(\d+)").fullmatch, names) if found), None)
+
+    def read(self) -> DataFrame:
+        """The canonical rows."""
+        if self.buckets is None:
             raise FileNotFoundError(f"no table at {self.path}")
-        return self._current(self.state(version).parts).select(*CALL_SCHEMA.names)
-
-    def _scan(self, parts: Sequence[Part]) -> DataFrame:
-        """Exactly these parts; part and dataset are folders, so nothing else is listed or read."""
-        if not parts:
-            return local_frame(self.spark, [], STORED_SCHEMA)
-        ids = sorted({p.part for p in parts})
-        live = [
-            (F.col("part") == part) & _in_datasets(p.dataset for p in parts if p.part == part) for part in ids
-        ]
-        return (
-            self.spark.read.schema(PART_SCHEMA)
-            .option("basePath", f"{self.path}/parts")
-            .parquet(*[f"{self.path}/parts/part={part}" for part in ids])
-            .where(reduce(lambda a, b: a | b, live))
-            .select(*STORED_SCHEMA.names)
-        )
-
-    def _current(self, parts: Sequence[Part]) -> DataFrame:
-        """Parts as rows. Only datasets with pending pages pay for folding them."""
-        unfolded = {p.dataset for p in parts if p.pending}
-        frames = [self._scan([p for p in parts if p.dataset not in unfolded])]
-        for dataset in unfolded:
-            of_dataset = [p for p in parts if p.dataset == dataset]
-            runs = {p.first_run for p in of_dataset} | {p.last_run for p in of_dataset}
-            frames.append(fold_pages(self._scan(of_dataset), KEYS, page_order(len(runs))))
-        return reduce(DataFrame.unionByName, frames)
-
-    # Writing
+        return self._stored().select(*CALL_SCHEMA.names)
 
     def upsert(self, batch: DataFrame) -> int:
-        """Replace the rows whose key is in the batch, add the whole batch, return the version.
-
-        Only the datasets the batch holds are rewritten; the parts of all others are carried
-        over by name. The batch is computed once, and its keys are read back from its own part.
-        """
-        state = self.state()
-        added = self._write(batch, "batch")
-        touched = [p.dataset for p in added]
-        if any(p.pending for p in state.of(touched)):
-            self.compact(touched)  # the target is read in two branches below, which should not fold twice
-            state = self.state()
-        old = state.of(touched)
-        kept = []
-        if old:
-            target = self._current(old)
-            kept = self._write(delete_matching(target, self._scan(added).select(*KEYS)), "kept")
-        return self._commit(replace(state, parts=(*state.without(touched), *kept, *added)))
+        """Replace the rows whose key is in the batch and add the whole batch; returns how many buckets were written."""
+        return self._merge(batch, lambda target, rows: delete_matching(target, rows.select(*KEYS)).unionByName(rows))
 
-    def append_pages(self, rows: DataFrame, stream: str | None = None, batch_id: int | None = None) -> int:
-        """Add canonical rows of some pages, to be folded when the table is read or compacted.
+    def add_pages(self, rows: DataFrame) -> int:
+        """Add canonical rows of some pages, in whatever order pages come; of a key the rows of its last page stay.
 
-        The cost is that of the new pages alone. A batch of a stream that is already in the
-        table is skipped, so a replay after a crash changes nothing.
+        A page that was added before is replaced, so a repeated call changes nothing.
         """
-        state = self.state()
-        if stream is not None and batch_id <= state.batches.get(stream, -1):
-            return state.version
-        added = [replace(p, pending=True) for p in self._write(rows, "pages")]
-        batches = state.batches if stream is None else {**state.batches, stream: batch_id}
-        parts = (*state.parts, *added)
-        version = self._commit(replace(state, parts=parts, batches=batches))
-        if len({p.part for p in parts if p.pending}) > self.max_pending:
-            return self.compact()
-        return version
 
-    def compact(self, datasets: Iterable[str | None] | None = None) -> int:
-        """Fold the pending pages of some or all datasets into one part per dataset."""
-        state = self.state()
-        unfolded = {p.dataset for p in (state.parts if datasets is None else state.of(datasets)) if p.pending}
-        if not unfolded:
-            return state.version
-        folded = self._write(self._current(state.of(unfolded)), "folded")
-        return self._commit(replace(state, parts=(*state.without(unfolded), *folded)))
+        def folded(target: DataFrame, rows: DataFrame) -> DataFrame:
+            pages = rows.select("dataset", *ORDER).distinct()
+            same = reduce(lambda a, b: a & b, [target[name].eqNullSafe(pages[name]) for name in pages.columns])
+            return fold_pages(target.join(pages, same, "left_anti").unionByName(rows), KEYS, ORDER)
 
-    def vacuum(self, keep: int = 10) -> list[str]:
-        """Delete what the last ``keep`` versions do not need; returns the names of the deleted parts.
+        return self._merge(rows, folded)
 
-        Only the table's one writer may call this: parts of a write that has not ended look dead. Age says
-        nothing here, since a dataset that does not change keeps its old parts.
-        """
-        versions = self._versions()
-        live = {p.part for version in versions[-max(keep, 1) :] for p in self.state(version).parts}
-        context, parts = store_of(self.spark, f"{self.path}/parts")
-        if not versions or not context.util().exists(parts):
-            return []
-        found = [status.getPath() for status in context.util().listStatus(parts)]
-        dead = [p for p in found if p.getName().startswith("part=") and p.getName()[5:] not in live]
-        for version in versions[: -max(keep, 1)]:
-            context.delete(store_of(self.spark, f"{self.path}/manifest/version={version}")[1], True)
-        for path in dead:
-            context.delete(path, True)
-        return sorted(path.getName()[5:] for path in dead)
+    def recover(self) -> None:
+        """Finish an upsert that broke off while its buckets were swapped."""
+        context, merged = store_of(self.spark, f"{self.path}/merged")
+        if context.util().exists(store_of(self.spark, f"{self.path}/merged/_SUCCESS")[1]):
+            self._swap()
+        elif context.util().exists(merged):
+            context.delete(merged, True)  # it broke off before its rows were whole
 
     def stage(self, rows: DataFrame, name: str, seen: Observation, metrics: Sequence[Column]) -> DataFrame:
         """Write rows to a staging folder, dropping what was there, and read them back."""
-        path = self._staging(name)
+        path = f"{self.path}/staging/{name}"
         rows.observe(seen, *metrics).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def clear_staging(self, name: str) -> None:
         """Leave an empty staging folder behind."""
-        staged = self.spark.read.schema(STORED_SCHEMA).parquet(self._staging(name))
-        empty_like(staged).write.mode("overwrite").parquet(self._staging(name))
-
-    def _staging(self, name: str) -> str:
-        return f"{self.path}/staging/{name}"
-
-    def _write(self, rows: DataFrame, kind: str) -> list[Part]:
-        """Write one part and list what is in it: its datasets, which are its folders, and their runs."""
-        part = f"{uuid.uuid4().hex}-{kind}"
+        path = f"{self.path}/staging/{name}"
+        empty_like(self.spark.read.schema(STORED_SCHEMA).parquet(path)).write.mode("overwrite").parquet(path)
+
+    def _merge(self, batch: DataFrame, merge) -> int:
+        self.recover()
+        if self.buckets is None:
+            context, place = store_of(self.spark, f"{self.path}/buckets={self._wanted}")
+            context.mkdir(place, None, True)
+        path = workspace(self.spark, "batch")
+        self._placed(batch).write.parquet(path)  # the batch is computed once
+        rows = self.spark.read.schema(BUCKET_SCHEMA).parquet(path)
+        touched = rows.select(*PLACE).distinct().collect()  # at most the buckets of the table
+        if not touched:
+            return 0
+        target = self._stored().where(_in_places(touched))
+        # A bucket in which one key has many rows is split by Spark, small ones share a task.
+        merged = merge(target, rows).select(*BUCKET_SCHEMA.names).hint("rebalance", *PLACE)
+        merged.write.partitionBy(*PLACE).parquet(f"{self.path}/merged")
+        self._swap()
+        return len(touched)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """Rows as they are stored, with their bucket. Rows without a key, which no key can replace, are spread."""
         stored = conform(rows, STORED_SCHEMA).withColumns(
-            {
-                "run_id": F.coalesce("run_id", F.lit("")),
-                "page_seq": F.coalesce("page_seq", F.lit(-1)),
-            }
+            {"run_id": F.coalesce("run_id", F.lit("")), "page_seq": F.coalesce("page_seq", F.lit(-1))}
         )
-        path = f"{self.path}/parts/part={part}"
-        stored.write.partitionBy("dataset").parquet(path)
-        written = self.spark.read.schema(STORED_SCHEMA).parquet(path)
-        runs = written.groupBy("dataset").agg(F.min("run_id").alias("first"), F.max("run_id").alias("last"))
-        return [Part(row["dataset"], part, False, row["first"], row["last"]) for row in runs.collect()]
-
-    def _commit(self, state: State) -> int:
-        """Make ``state`` the next version, or fail if another writer has made it."""
-        state = replace(state, version=state.version + 1)
-        self._write_manifest(state)
-        return state.version
-
-    def _exists(self, name: str) -> bool:
-        context, path = store_of(self.spark, f"{self.path}/{name}")
-        return context.util().exists(path)
-
-    def _write_manifest(self, state: State) -> None:
-        """Write the manifest beside the table and rename its folder, which only one writer can do."""
-        rows = [{"kind": "head"}]
-        rows += [{"kind": "part", **vars(p)} for p in state.parts]
-        rows += [{"kind": "stream", "stream": s, "batch_id": b} for s, b in state.batches.items()]
-        manifest = local_frame(self.spark, rows, MANIFEST_SCHEMA).coalesce(1)
-        draft = f"{self.path}/drafts/{uuid.uuid4().hex}"
-        manifest.write.json(draft)
-        context, source = store_of(self.spark, draft)
-        final = store_of(self.spark, f"{self.path}/manifest/version={state.version}")[1]
-        context.mkdir(final.getParent(), None, True)
-        gateway = self.spark.sparkContext._gateway
-        options = gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        if context.util().exists(final):
-            raise VersionConflict(f"version {state.version} of {self.path} is there already")
-        try:
-            context.rename(source, final, options)
-        except Py4JJavaError as failure:
-            raise VersionConflict(f"version {state.version} of {self.path} is there already") from failure
+        hashed = F.when(has_null_key(), F.xxhash64(*STORED_SCHEMA.names)).otherwise(F.xxhash64(*KEYS))
+        return stored.withColumn("bucket", F.pmod(hashed, F.lit(self.buckets)).cast("int"))
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(BUCKET_SCHEMA).parquet(f"{self.path}/buckets={self.buckets}")
+
+    def _swap(self) -> None:
+        """Put the merged buckets in the place of the old ones; their files are written anew, so this can be repeated."""
+        merged = self.spark.read.schema(BUCKET_SCHEMA).parquet(f"{self.path}/merged")
+        writer = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE)
+        writer.parquet(f"{self.path}/buckets={self.buckets}")
+        context, path = store_of(self.spark, f"{self.path}/merged")
+        context.delete(path, True)
+
+
+def _in_places(places: list) -> Column:
+    """Whether a row lies in one of the given buckets, so that Spark lists and reads no others."""
+    by_dataset: dict[str | None, list[int]] = {}
+    for dataset, bucket in places:
+        by_dataset.setdefault(dataset, []).append(bucket)
+    wanted = [F.col("dataset").eqNullSafe(F.lit(dataset)) & F.col("bucket").isin(found) for dataset, found in by_dataset.items()]
+    return reduce(lambda a, b: a | b, wanted)

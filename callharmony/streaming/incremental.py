@@ -9,7 +9,7 @@ from callharmony.operators.audit import page_audit
 from callharmony.plans.jobs import IncompleteFetch, harmonize
 from callharmony.session import store_of
 from callharmony.sinks.raw import land_raw_text
-from callharmony.sinks.table import CallTable
+from callharmony.sinks.table import STORED_SCHEMA, CallTable
 from callharmony.sources.envelopes import page_sizes, raw_rows
 from callharmony.sources.landed import stream_page_files
 from callharmony.sources.specs import SourceSpec
@@ -27,19 +27,18 @@ def run_stream(
 ) -> StreamingQuery:
     """Take up every page that has landed since the last call, then stop.
 
-    Each batch adds its pages to the table at the cost of those pages alone. Rows carry
-    their run and page number, so the result does not depend on the order in which files
-    arrive, and batch numbers are kept in the table, so a replayed batch is skipped. The
-    raw rows of a batch have a folder of their own, which a replay overwrites. A reply without
-    rows stops the stream before its batch is added, unless it is allowed. Pending pages are
-    folded by readers, and into the table once there are many.
+    Each batch stages its rows below the checkpoint, in a folder of its own, which a replay
+    overwrites; its raw rows likewise. When no page is left, what was staged goes into the table
+    in one upsert. Rows carry their run and page number, so the result does not depend on the order
+    in which files arrive, and pages that are added twice, after a crash, count once. A reply without
+    rows stops the stream before its batch is staged, unless it is allowed.
 
     Page counts are kept below the checkpoint. When no page is left, the runs taken up so far
     are audited by them, and incomplete ones raise ``IncompleteFetch``, unless allowed: their
     rows are in the table, and a later call takes up what is missing. A checkpoint from before
     counts were kept lacks those of its first pages.
     """
-    counts = f"{checkpoint}/page-counts"
+    counts, staged = f"{checkpoint}/page-counts", f"{checkpoint}/rows"
 
     def add(pages: DataFrame, batch_id: int) -> None:
         path = f"{counts}/batch={batch_id}"
@@ -50,7 +49,7 @@ def run_stream(
         if lake is not None:
             rows = raw_rows(pages, spec.envelope)
             land_raw_text(rows, lake, spec.slug, f"stream/batch={batch_id}", mode="overwrite")
-        target.append_pages(harmonize(spec, pages, crosswalk), stream=checkpoint, batch_id=batch_id)
+        harmonize(spec, pages, crosswalk).write.mode("overwrite").parquet(f"{staged}/batch={batch_id}")
 
     pages = stream_page_files(target.spark, landing, spec.slug, files_per_batch)
     query = (
@@ -59,12 +58,22 @@ def run_stream(
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        _add_staged(target, staged)  # also what was staged before a batch failed
     if not allow_incomplete:
         _refuse_incomplete(spec, target, counts)
     return query
 
 
+def _add_staged(target: CallTable, staged: str) -> None:
+    context, path = store_of(target.spark, staged)
+    if context.util().exists(path):
+        target.add_pages(target.spark.read.schema(STORED_SCHEMA).parquet(staged))
+        context.delete(path, True)
+
+
 def _refuse_incomplete(spec: SourceSpec, target: CallTable, counts: str) -> None:
     # A stream that has not seen any page has no counts.
     context, path = store_of(target.spark, counts)

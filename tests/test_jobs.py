@@ -248,7 +248,7 @@ def test_all_sources_in_one_upsert(spark, crosswalk, tmp_path):
     report = run_all({spec: make(spark) for spec, make in SOURCES.items()}, crosswalk, calls)
     counts = {r.dataset: r["count"] for r in calls.read().groupBy("dataset").count().collect()}
     assert counts == {PHX.label: 8, GNV.label: 6, NOLA.label: 4, BAL.label: 2003, WOR.label: 1002, BTV.label: 1000}
-    assert report.version == 1 and report.records == 9 + 6 + 4 + 2004 + 2003 + 1000
+    assert report.buckets > 6 and report.records == 9 + 6 + 4 + 2004 + 2003 + 1000
     assert report.time_rejects == 1 + 1 + 1 + 0 + 1 + 0
 
 

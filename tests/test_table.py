@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callharmony.operators import conform
 from callharmony.schema import CALL_SCHEMA
-from callharmony.sinks import CallTable, VersionConflict
+from callharmony.sinks import CallTable, table
 from callharmony.sinks.table import STORED_SCHEMA
 
 
@@ -27,12 +28,16 @@ def bag(df):
     return Counter((r.dataset, r.call_id, r.call_type) for r in df.collect())
 
 
+def files(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet") if "buckets=" in str(f)}
+
+
 A, B = "Phoenix, AZ", "New: Orleans/LA=100%"
 
 
 def test_new_table_is_empty_with_the_canonical_schema(spark, calls):
-    assert calls.state().version == 0
-    calls.upsert(rows(spark, (A, "1", "x")).limit(0))
+    assert calls.buckets is None
+    assert calls.upsert(rows(spark, (A, "1", "x")).limit(0)) == 0
     assert calls.read().schema == CALL_SCHEMA and calls.read().count() == 0
 
 
@@ -43,20 +48,44 @@ def test_reading_creates_nothing(calls, tmp_path):
 
 
 def test_upserts_in_turn(spark, calls):
-    assert calls.upsert(rows(spark, (A, "1", "x"), (A, "2", "x"), (B, "1", "x"), (A, None, "x"))) == 1
-    assert calls.upsert(rows(spark, (A, "2", "y"), (A, "2", "z"), (A, "3", "y"), (A, None, "y"))) == 2
+    assert calls.upsert(rows(spark, (A, "1", "x"), (A, "2", "x"), (B, "1", "x"), (A, None, "x"), (None, "1", "x"))) == 5
+    assert calls.upsert(rows(spark, (A, "2", "y"), (A, "2", "z"), (A, "3", "y"), (A, None, "y"), (None, "1", "y"))) == 4
     assert bag(calls.read()) == Counter(
-        [(A, "1", "x"), (A, "2", "y"), (A, "2", "z"), (A, "3", "y"), (B, "1", "x"), (A, None, "x"), (A, None, "y")]
+        [(A, "1", "x"), (A, "2", "y"), (A, "2", "z"), (A, "3", "y"), (B, "1", "x"), (A, None, "x"), (A, None, "y"),
+         (None, "1", "x"), (None, "1", "y")]
     )
-    assert bag(calls.read(1)) == Counter([(A, "1", "x"), (A, "2", "x"), (B, "1", "x"), (A, None, "x")])
 
 
-def test_a_dataset_without_new_rows_is_carried_over_as_it_is(spark, calls):
-    calls.upsert(rows(spark, (A, "1", "x"), (B, "1", "x")))
-    before = {p.part for p in calls.state().parts if p.dataset == B}
-    calls.upsert(rows(spark, (A, "1", "y")))
-    assert {p.part for p in calls.state().parts if p.dataset == B} == before
-    assert bag(calls.read().where(F.col("dataset") == B)) == Counter([(B, "1", "x")])
+def test_a_small_batch_leaves_all_other_buckets_as_they_are(spark, calls, tmp_path):
+    calls.upsert(rows(spark, *[(d, str(i), "x") for d in (A, B) for i in range(500)]))
+    before = files(tmp_path)
+    assert len(before) >= 2 * 60
+    assert calls.upsert(rows(spark, (A, "7", "y"), (A, "new", "y"))) in (1, 2)
+    after = files(tmp_path)
+    gone, added = before.keys() - after.keys(), after.keys() - before.keys()
+    assert 1 <= len(gone) <= 2 and 1 <= len(added) <= 2
+    assert all(after[f] == before[f] for f in before.keys() & after.keys())
+    want = Counter((d, str(i), "x") for d in (A, B) for i in range(500)) - Counter([(A, "7", "x")])
+    assert bag(calls.read()) == want + Counter([(A, "7", "y"), (A, "new", "y")])
+
+
+def test_an_upsert_reads_only_the_buckets_it_touches(spark, calls, monkeypatch):
+    calls.upsert(rows(spark, *[(A, str(i), "x") for i in range(300)]))
+    seen = []
+    merge = CallTable._merge
+
+    def spy(self, batch, how):
+        def look(target, found):
+            seen.append(target.inputFiles())
+            scan = target._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters: [" in scan and "bucket" in scan.split("PartitionFilters")[1].split("]")[0]
+            return how(target, found)
+
+        return merge(self, batch, look)
+
+    monkeypatch.setattr(CallTable, "_merge", spy)
+    calls.upsert(rows(spark, (A, "7", "y")))
+    assert len(seen) == 1
 
 
 def test_reading_one_dataset_opens_only_its_folders(spark, calls):
@@ -71,37 +100,63 @@ def test_an_empty_batch_changes_no_rows(spark, calls):
     assert bag(calls.read()) == Counter([(A, "1", "x")])
 
 
-def test_a_failed_write_leaves_the_old_version_and_a_rerun_is_clean(spark, calls):
+def test_the_number_of_buckets_stays(spark, tmp_path):
+    for buckets in (3, 50):
+        table = CallTable(spark, str(tmp_path / "calls"), buckets)
+        table.upsert(rows(spark, *[(A, str(i), str(buckets)) for i in range(40)]))
+    assert table.buckets == 3 and bag(table.read()) == Counter((A, str(i), "50") for i in range(40))
+    with pytest.raises(ValueError, match="buckets"):
+        CallTable(spark, "x", 0)
+
+
+def test_rows_without_a_key_are_spread(spark, calls, tmp_path):
+    calls.upsert(rows(spark, *[(A, None, str(i)) for i in range(300)]))
+    assert len({f.rsplit("/", 2)[1] for f in files(tmp_path)}) > 32
+
+
+def test_a_failed_batch_leaves_the_table_and_a_rerun_is_clean(spark, calls):
     calls.upsert(rows(spark, (A, "1", "x")))
     batch = rows(spark, (A, "1", "y"), (A, "2", "y"))
     bad = batch.withColumn("call_type", F.when(F.col("call_id") == "2", F.raise_error(F.lit("lost"))).otherwise("y"))
     with pytest.raises(PySparkException, match="lost"):
         calls.upsert(conform(bad, STORED_SCHEMA))
-    assert calls.state().version == 1 and bag(calls.read()) == Counter([(A, "1", "x")])
+    assert bag(calls.read()) == Counter([(A, "1", "x")])
     calls.upsert(batch)
     assert bag(calls.read()) == Counter([(A, "1", "y"), (A, "2", "y")])
 
 
-def test_a_second_writer_of_the_same_version_fails(spark, calls):
-    state = calls.state()
-    calls.upsert(rows(spark, (A, "1", "x")))
-    with pytest.raises(VersionConflict):
-        calls._commit(state)
-    assert bag(calls.read()) == Counter([(A, "1", "x")])
-    with pytest.raises(VersionConflict):  # both passed the check together: the rename lets one through
-        calls._write_manifest(calls.state())
-    assert bag(calls.read()) == Counter([(A, "1", "x")])
-    assert calls.upsert(rows(spark, (A, "1", "y"))) == 2
+@pytest.mark.parametrize("swapped", [False, True])
+def test_an_upsert_that_broke_off_is_finished_by_the_next(spark, calls, monkeypatch, swapped):
+    """The writer is lost before the swap, or after some buckets were swapped; rows without a key count once."""
+    calls.upsert(rows(spark, *[(A, str(i), "x") for i in range(100)], (A, None, "x")))
+    swap = CallTable._swap
+
+    def lost(self):
+        if swapped:  # a part of the buckets is gone, a part is in place
+            places = [r for r in self._stored().select("dataset", "bucket").distinct().collect() if r["bucket"] % 2]
+            context, _ = table.store_of(spark, self.path)
+            for place in places:
+                found = self._stored().where((F.col("dataset") == place[0]) & (F.col("bucket") == place[1])).inputFiles()
+                context.delete(table.store_of(spark, found[0].rsplit("/", 1)[0])[1], True)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(CallTable, "_swap", lost)
+    with pytest.raises(RuntimeError, match="lost"):
+        calls.upsert(rows(spark, *[(A, str(i), "y") for i in range(100)], *[(A, None, f"y{i}") for i in range(200)]))
+    monkeypatch.setattr(CallTable, "_swap", swap)
+    CallTable(spark, calls.path).upsert(rows(spark, (B, "1", "z")))
+    want = Counter([(A, str(i), "y") for i in range(100)] + [(A, None, f"y{i}") for i in range(200)] + [(A, None, "x"), (B, "1", "z")])
+    assert bag(calls.read()) == want
 
 
-def test_an_attempt_that_ended_before_its_manifest_is_no_hindrance(spark, tmp_path):
-    (tmp_path / "calls" / "drafts" / "one" / "_temporary").mkdir(parents=True)
-    calls = CallTable(spark, str(tmp_path / "calls"))
-    assert calls.upsert(rows(spark, (A, "1", "x"))) == 1
-    assert bag(CallTable(spark, str(tmp_path / "calls")).read()) == Counter([(A, "1", "x")])
+def test_rows_that_were_not_merged_whole_are_dropped(spark, calls, tmp_path):
+    calls.upsert(rows(spark, (A, "1", "x")))
+    (tmp_path / "calls" / "merged" / "_temporary").mkdir(parents=True)
+    calls.upsert(rows(spark, (A, "1", "y")))
+    assert bag(calls.read()) == Counter([(A, "1", "y")])
 
 
-def test_pages_may_come_in_any_order(spark, calls):
+def test_pages_may_come_in_any_order_and_again(spark, calls):
     pages = {
         0: [(A, "1", "p0"), (A, "2", "p0"), (A, None, "p0")],
         1: [(A, "1", "p1"), (A, "3", "p1"), (A, "3", "p1")],
@@ -109,47 +164,31 @@ def test_pages_may_come_in_any_order(spark, calls):
     }
     want = Counter([(A, "1", "p1"), (A, "3", "p1"), (A, "3", "p1"), (A, "2", "p2"), (A, None, "p0"), (A, None, "p2"),
                     (B, "1", "p2")])
-    for seq in (2, 0, 1):
-        calls.append_pages(rows(spark, *pages[seq], run_id="r1", page_seq=seq))
+    for seq in (2, 0, 1, 1, 0, 2):
+        calls.add_pages(rows(spark, *pages[seq], run_id="r1", page_seq=seq))
     assert bag(calls.read()) == want
-    calls.compact()
-    assert bag(calls.read()) == want and not any(p.pending for p in calls.state().parts)
-    calls.append_pages(rows(spark, (A, "1", "late"), (A, "4", "late"), run_id="r1", page_seq=0))
+    calls.add_pages(rows(spark, (A, "1", "late"), (A, "4", "late"), run_id="r1", page_seq=-5))
     assert bag(calls.read()) == want + Counter([(A, "4", "late")])
-    calls.append_pages(rows(spark, (A, "1", "next run"), run_id="r2", page_seq=0))
+    calls.add_pages(rows(spark, (A, "1", "next run"), run_id="r2", page_seq=0))
     assert bag(calls.read())[(A, "1", "next run")] == 1 and bag(calls.read())[(A, "1", "p1")] == 0
-
-
-def test_a_replayed_batch_is_skipped(spark, calls):
-    for batch_id in (0, 1, 1, 0):
-        calls.append_pages(rows(spark, (A, None, f"b{batch_id}"), run_id="r", page_seq=0), "s", batch_id)
-    assert bag(calls.read()) == Counter([(A, None, "b0"), (A, None, "b1")])
-    calls.append_pages(rows(spark, (A, None, "b0"), run_id="r", page_seq=0), "another stream", 0)
-    assert sum(bag(calls.read()).values()) == 3
-
-
-def test_many_pending_parts_are_compacted(spark, tmp_path):
-    calls = CallTable(spark, str(tmp_path / "calls"), max_pending=2)
-    for seq in range(3):
-        calls.append_pages(rows(spark, (A, "1", f"p{seq}"), run_id="r", page_seq=seq))
-    assert [p.pending for p in calls.state().parts] == [False]
-    assert bag(calls.read()) == Counter([(A, "1", "p2")])
-
-
-def test_upsert_takes_pending_pages_into_account(spark, calls):
-    calls.append_pages(rows(spark, (A, "1", "p0"), (A, "2", "p0"), run_id="r", page_seq=0))
-    calls.append_pages(rows(spark, (A, "1", "p1"), run_id="r", page_seq=1))
     calls.upsert(rows(spark, (A, "2", "new")))
-    assert bag(calls.read()) == Counter([(A, "1", "p1"), (A, "2", "new")])
-
-
-def test_vacuum_knows_what_is_live(spark, calls, tmp_path):
-    calls.upsert(rows(spark, (B, "1", "old but live")))
-    for value in "xyz":
-        calls.upsert(rows(spark, (A, "1", value)))
-    dead = calls.vacuum(keep=2)
-    assert dead and not {p.part for p in calls.state().parts} & set(dead)
-    assert bag(calls.read()) == Counter([(A, "1", "z"), (B, "1", "old but live")])
-    assert bag(calls.read(3)) == Counter([(A, "1", "y"), (B, "1", "old but live")])
-    left = {f.name.removeprefix("part=") for f in (tmp_path / "calls" / "parts").iterdir()}
-    assert not left & set(dead) and calls.vacuum(keep=2) == []
+    assert bag(calls.read())[(A, "2", "new")] == 1 and bag(calls.read())[(A, "2", "p2")] == 0
+
+
+def test_upserts_equal_a_plain_twin(spark, calls):
+    random.seed(8)
+    held = Counter()
+    for step in range(4):
+        batch = [(random.choice([A, B]), random.choice([None, *map(str, range(9))]), f"{step}-{i}") for i in range(30)]
+        keys = {row[:2] for row in batch if row[1] is not None}
+        held = Counter({row: n for row, n in held.items() if row[:2] not in keys}) + Counter(batch)
+        calls.upsert(rows(spark, *batch))
+        assert bag(calls.read()) == held
+
+
+def test_a_key_with_a_third_of_the_rows(spark, calls):
+    batch = spark.range(60_000).selectExpr(f"'{A}' AS dataset", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE string(id) END AS call_id", "'x' AS call_type")
+    for _ in range(2):
+        calls.upsert(conform(batch, STORED_SCHEMA))
+    counts = calls.read().groupBy(F.col("call_id") == "hot").count().collect()
+    assert {row[0]: row[1] for row in counts} == {True: 20_000, False: 40_000}
