@@ -13,7 +13,7 @@ however far that one came.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
@@ -22,13 +22,18 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from callharmony.operators.project import conform
 from callharmony.operators.upsert import delete_matching, empty_like, fold_pages, has_null_key
 from callharmony.schema import CALL_SCHEMA, KEYS, ORDER
-from callharmony.session import store_of, workspace
+from callharmony.session import input_bytes, store_of, workspace
 
 # A stored row also knows its page, so that pages may be added in any order.
 STORED_SCHEMA = StructType([*CALL_SCHEMA.fields, StructField("run_id", StringType()), StructField("page_seq", IntegerType())])
 BUCKET_SCHEMA = StructType([*STORED_SCHEMA.fields, StructField("bucket", IntegerType())])
 PLACE = ("dataset", "bucket")
-MAX_BUCKETS = 16_384
+
+# What the buckets of a batch hold afterwards, from what they hold now (None: there is no table yet) and the batch.
+Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
+
+# Where no number of buckets is given: so many, or what gives buckets of this size if a first batch is far larger.
+LEAST_BUCKETS, MAX_BUCKETS, BUCKET_BYTES = 8, 16_384, 256 * 2**20
 
 
 def page_order(runs: int) -> Sequence[str]:
@@ -39,15 +44,15 @@ def page_order(runs: int) -> Sequence[str]:
 class CallTable:
     """One table at ``path``, in storage that all executors share. One writer at a time.
 
-    The first write creates it with ``buckets`` buckets a dataset, which it keeps. A bucket should be some hundred
-    megabytes: more buckets make a small upsert cheaper, fewer keep files large. While an upsert swaps its buckets, a
-    reader may see some of them before and some after it.
+    The first write creates it with ``buckets`` buckets a dataset, or as many as its size asks for, and ``rebucket``
+    changes them. A bucket should be some hundred megabytes: more buckets make a small upsert cheaper, fewer keep files
+    large. While an upsert swaps its buckets, a reader may see some of them before and some after it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        if not 0 < buckets <= MAX_BUCKETS:
-            raise ValueError(f"a table has 1 to {MAX_BUCKETS} buckets a dataset")
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path, self._wanted = spark, path.rstrip("/"), buckets
+        if buckets is not None:
+            _checked(buckets)
 
     @property
     def buckets(self) -> int | None:
@@ -56,7 +61,8 @@ class CallTable:
         if not context.util().exists(path):
             return None
         names = (status.getPath().getName() for status in context.util().listStatus(path))
-        return next((int(found[1]) for found in map(re.compile(r"buckets=(\d+)").fullmatch, names) if found), None)
+        # Two, if dealing anew broke off before the old buckets were deleted: both hold the same rows.
+        return max((int(found[1]) for found in map(re.compile(r"buckets=(\d+)").fullmatch, names) if found), default=None)
 
     def read(self) -> DataFrame:
         """The canonical rows."""
@@ -66,7 +72,11 @@ class CallTable:
 
     def upsert(self, batch: DataFrame) -> int:
         """Replace the rows whose key is in the batch and add the whole batch; returns how many buckets were written."""
-        return self._merge(batch, lambda target, rows: delete_matching(target, rows.select(*KEYS)).unionByName(rows))
+
+        def replaced(target: DataFrame | None, rows: DataFrame) -> DataFrame:
+            return rows if target is None else delete_matching(target, rows.select(*KEYS)).unionByName(rows)
+
+        return self._merge(batch, replaced)
 
     def add_pages(self, rows: DataFrame) -> int:
         """Add canonical rows of some pages, in whatever order pages come; of a key the rows of its last page stay.
@@ -74,13 +84,25 @@ class CallTable:
         A page that was added before is replaced, so a repeated call changes nothing.
         """
 
-        def folded(target: DataFrame, rows: DataFrame) -> DataFrame:
-            pages = rows.select("dataset", *ORDER).distinct()
-            same = reduce(lambda a, b: a & b, [target[name].eqNullSafe(pages[name]) for name in pages.columns])
-            return fold_pages(target.join(pages, same, "left_anti").unionByName(rows), KEYS, ORDER)
+        def folded(target: DataFrame | None, rows: DataFrame) -> DataFrame:
+            if target is not None:
+                pages = rows.select("dataset", *ORDER).distinct()
+                same = reduce(lambda a, b: a & b, [target[name].eqNullSafe(pages[name]) for name in pages.columns])
+                rows = target.join(pages, same, "left_anti").unionByName(rows)
+            return fold_pages(rows, KEYS, ORDER)
 
         return self._merge(rows, folded)
 
+    def rebucket(self, buckets: int) -> None:
+        """Deal all rows into more buckets, once the table has grown. What was there stays until all is written."""
+        self.recover()
+        old = self.buckets
+        if old is None or _checked(buckets) <= old:
+            raise ValueError(f"the table has {old} buckets a dataset, and only more can be asked for")
+        self._deal(self._placed(self._stored().drop("bucket"), buckets), buckets)
+        context, path = store_of(self.spark, f"{self.path}/buckets={old}")
+        context.delete(path, True)
+
     def recover(self) -> None:
         """Finish an upsert that broke off while its buckets were swapped."""
         context, merged = store_of(self.spark, f"{self.path}/merged")
@@ -100,31 +122,49 @@ class CallTable:
         path = f"{self.path}/staging/{name}"
         empty_like(self.spark.read.schema(STORED_SCHEMA).parquet(path)).write.mode("overwrite").parquet(path)
 
-    def _merge(self, batch: DataFrame, merge) -> int:
+    def _merge(self, batch: DataFrame, merge: Merge) -> int:
         self.recover()
+        buckets = self.buckets or self._wanted or LEAST_BUCKETS
+        stored = conform(batch, STORED_SCHEMA).withColumns(
+            {"run_id": F.coalesce("run_id", F.lit("")), "page_seq": F.coalesce("page_seq", F.lit(-1))}
+        )
+        placed = self._placed(stored, buckets)
         if self.buckets is None:
-            context, place = store_of(self.spark, f"{self.path}/buckets={self._wanted}")
-            context.mkdir(place, None, True)
-        path = workspace(self.spark, "batch")
-        self._placed(batch).write.parquet(path)  # the batch is computed once
-        rows = self.spark.read.schema(BUCKET_SCHEMA).parquet(path)
-        touched = rows.select(*PLACE).distinct().collect()  # at most the buckets of the table
-        if not touched:
+            self._deal(merge(None, placed), buckets)
+            datasets, size = self._stored().select("dataset").distinct().count(), input_bytes(self.spark, self.path)
+            fitting = min(MAX_BUCKETS, size // (BUCKET_BYTES * max(datasets, 1)))
+            if self._wanted is None and fitting > 4 * buckets:
+                self.rebucket(fitting)
+            return len({file.rpartition("/")[0] for file in self._stored().inputFiles()})
+        path, seen = workspace(self.spark, "batch"), Observation()
+        # The batch is computed once, and its buckets are told by the write: at most those of the table.
+        placed.observe(seen, F.collect_set(F.struct(*PLACE)).alias("places")).write.parquet(path)
+        if not seen.get["places"]:
             return 0
-        target = self._stored().where(_in_places(touched))
-        # A bucket in which one key has many rows is split by Spark, small ones share a task.
-        merged = merge(target, rows).select(*BUCKET_SCHEMA.names).hint("rebalance", *PLACE)
-        merged.write.partitionBy(*PLACE).parquet(f"{self.path}/merged")
+        rows = self.spark.read.schema(BUCKET_SCHEMA).parquet(path)
+        merged = merge(self._stored().where(_in_places(seen.get["places"])), rows)
+        self._write(merged, f"{self.path}/merged")
         self._swap()
-        return len(touched)
+        return len(seen.get["places"])
 
-    def _placed(self, rows: DataFrame) -> DataFrame:
-        """Rows as they are stored, with their bucket. Rows without a key, which no key can replace, are spread."""
-        stored = conform(rows, STORED_SCHEMA).withColumns(
-            {"run_id": F.coalesce("run_id", F.lit("")), "page_seq": F.coalesce("page_seq", F.lit(-1))}
-        )
+    def _deal(self, placed: DataFrame, buckets: int) -> None:
+        """Write a whole table of so many buckets, which is there once its folder has its name."""
+        context, dealt = store_of(self.spark, f"{self.path}/dealt")
+        self._write(placed, f"{self.path}/dealt")
+        rename = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(dealt, store_of(self.spark, f"{self.path}/buckets={buckets}")[1], rename)
+
+    @staticmethod
+    def _write(rows: DataFrame, path: str) -> None:
+        # A bucket in which one key has many rows is split by Spark, small ones share a task.
+        split = rows.select(*BUCKET_SCHEMA.names).hint("rebalance", *PLACE)
+        split.write.mode("overwrite").partitionBy(*PLACE).parquet(path)
+
+    @staticmethod
+    def _placed(rows: DataFrame, buckets: int) -> DataFrame:
+        """Rows with their bucket. Those without a key, which no key can replace, are spread."""
         hashed = F.when(has_null_key(), F.xxhash64(*STORED_SCHEMA.names)).otherwise(F.xxhash64(*KEYS))
-        return stored.withColumn("bucket", F.pmod(hashed, F.lit(self.buckets)).cast("int"))
+        return rows.withColumn("bucket", F.pmod(hashed, F.lit(buckets)).cast("int"))
 
     def _stored(self) -> DataFrame:
         return self.spark.read.schema(BUCKET_SCHEMA).parquet(f"{self.path}/buckets={self.buckets}")
@@ -138,6 +178,12 @@ class CallTable:
         context.delete(path, True)
 
 
+def _checked(buckets: int) -> int:
+    if not 0 < buckets <= MAX_BUCKETS:
+        raise ValueError(f"a table has 1 to {MAX_BUCKETS} buckets a dataset")
+    return buckets
+
+
 def _in_places(places: list) -> Column:
     """Whether a row lies in one of the given buckets, so that Spark lists and reads no others."""
     by_dataset: dict[str | None, list[int]] = {}
