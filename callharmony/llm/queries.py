@@ -105,11 +105,11 @@ FROM marked GROUP BY doc_id
 
 
 @query
-def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(documents(spark, sf_dir))
 
 
-ORACLES["op6_repeated_passages"] = r"""
+ORACLES["repeated_passages"] = r"""
 WITH lines AS (SELECT doc_id, unnest(split) AS line, unnest(range(len(split))) AS i
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS split FROM documents)),
 filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM lines WHERE regexp_matches(line, '\S')),

@@ -1,13 +1,17 @@
-"""Token ids of whole texts, as packed bytes, with a bounded memory of chunks seen before.
+"""Token ids of whole texts, as packed bytes, with a bounded memory of words seen before.
 
-The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks between ASCII
-white space, one after another. Chunks repeat, so each worker keeps the ids of those it has met. A tokenizer
-that minds white space is found out when it is loaded and then gets whole texts.
+Two things about a tokenizer are found out when it is loaded, by comparing it with the rule on probes. If it drops
+white space and never joins across it, a text's ids are those of its chunks between white space, one after another.
+If besides it lower-cases and parts letters, digits and marks as ``_units`` does, they are those of these units. Units
+repeat far more than chunks, so each worker keeps the ids of those it has met. Texts with letters for which the probes
+do not prove the rule are taken chunk by chunk where they have them, and those of other tokenizers whole.
 """
 
 from __future__ import annotations
 
 import re
+import struct
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -15,52 +19,80 @@ from tokenizers import Tokenizer
 
 # Default vocabulary file; a parameter of every operator that needs one.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-# Chunks remembered per generation, of which a worker holds two, and the longest one remembered, in bytes.
-REMEMBERED, LONGEST = 250_000, 48
+# Units and chunks remembered, of which a worker holds twice as many at most, and the longest one remembered.
+REMEMBERED, LONGEST = 300_000, 48
 
 ID = np.dtype("<u4")
-# Letters and then plain marks: after lower-casing, the tokenizer's model sees exactly these two words.
-_PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)\Z")
-_PROBE = "Two words,  and\nmore"
+_PROBES = ("Two words,  and\nmore", "It's he'll ISN'T 'd''s 'x", "a1b22 3.5,c-d_e", "\x01a\x1cb\x7f\v(c)\f[d]\t{~}", "!?.", "", "l'été '")
+# Letters that may be found to follow the rule: of the scripts that are written with blanks and case.
+_LETTERS = [chr(i) for i in (*range(0xAA, 0x250), *range(0x370, 0x530)) if chr(i).isalpha()]
 
 
-class Encoder(dict):
-    """Maps a chunk to its ids as packed little-endian unsigned 32-bit numbers."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it is printable."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = (i for i in range(256) if i not in shown)
+    return {i: chr(i) for i in shown} | {i: chr(256 + n) for n, i in enumerate(hidden)}
 
-    def __init__(self, path: str):
+
+_AS_LETTERS = str.maketrans({chr(byte): letter for byte, letter in _byte_letters().items()})
+
+
+class _Known(dict):
+    """Ids of the units, or chunks, met so far; ``older`` are those of the generation before."""
+
+    def __init__(self, make, older: dict):
         super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = self.make(unit)
+        if len(unit) <= LONGEST:
+            self[unit] = ids
+        return ids
+
+
+class Encoder:
+    """A vocabulary file's ids for texts, as packed little-endian unsigned 32-bit numbers."""
+
+    def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.older: dict[bytes, bytes] = {}
-        chunks = b"".join(self._library(chunk) for chunk in _PROBE.split())
-        self.by_chunk = chunks == self._library(_PROBE)
-        word = self._library("Word,")
-        self.plain = self.by_chunk and word == self._model("word") + self._model(",")
+        self.units = _Known(self._model, {})
+        self.chunks = _Known(self._library, {})
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_chunk = all(b"".join(map(self._library, probe.split())) == self._library(probe) for probe in _PROBES[:3])
+        self.by_unit, self.letters = self.by_chunk, ""
+        self._compile()
+        self.by_unit = self.by_chunk and all(self._in_units(probe) == self._library(probe) for probe in _PROBES[:-1])
+        if self.by_unit:
+            self.letters = "".join(filter(self._follows, _LETTERS))
+            self._compile()
+            self.by_unit = self._in_units(_PROBES[-1]) == self._library(_PROBES[-1])
+
+    def _compile(self) -> None:
+        proven = "".join(dict.fromkeys(self.letters + self.letters.lower()))
+        self._odd = re.compile(f"[^\\x00-\\x7f{proven}]")
+        self._units = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{proven}]+|[0-9]|[^ \\t-\\ra-z0-9{proven}]+").findall
+
+    def _follows(self, letter: str) -> bool:
+        """Whether a letter is lower-cased, kept in its word and spelled in bytes, wherever it stands."""
+        if unicodedata.normalize("NFC", letter) != letter or len(letter.lower()) != 1:
+            return False
+        words = (f"a{letter}b", f"{letter}{letter}", f"x{letter}", f"{letter}Y")
+        return b"".join(self._model(word.lower()) for word in words) == self._library(" ".join(words))
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
 
-    def _model(self, word: str) -> bytes:
-        return np.array([token.id for token in self.model.tokenize(word)], ID).tobytes()
+    def _model(self, unit: str) -> bytes:
+        spelled = unit.encode("utf-8").decode("latin-1").translate(_AS_LETTERS)
+        return struct.pack(f"<{len(tokens := self.model.tokenize(spelled))}I", *[token.id for token in tokens])
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            plain = self.plain and len(chunk) <= LONGEST and _PLAIN.match(chunk)
-            if plain and plain[2]:
-                ids = self[plain[1].lower()] + self[plain[2]]
-            elif plain and not plain[1].islower():
-                ids = self[plain[1].lower()]
-            elif plain:
-                ids = self._model(chunk.decode())
-            else:
-                ids = self._library(chunk.decode("utf-8"))
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.older = self.copy()
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def _in_units(self, text: str) -> bytes:
+        return b"".join(map(self.units.__getitem__, self._units(text.lower())))
 
     def ids(self, text: str | None) -> bytes:
         """A whole text's ids; none for a null."""
@@ -68,7 +100,19 @@ class Encoder(dict):
             return b""
         if not self.by_chunk:
             return self._library(text)
-        return b"".join(map(self.__getitem__, text.encode("utf-8").split()))
+        for name in ("units", "chunks"):
+            known = getattr(self, name)
+            if len(known) >= REMEMBERED:
+                known.older = {}  # the generation before that is dropped
+                setattr(self, name, _Known(known.make, known))
+        if self.by_unit and (text.isascii() or not self._odd.search(text)) and not any(token in text for token in self.added):
+            return self._in_units(text)
+        return b"".join(map(self._of_chunk, re.split(r"[ \t-\r]+", text)))
+
+    def _of_chunk(self, chunk: str) -> bytes:
+        if self.by_unit and (chunk.isascii() or not self._odd.search(chunk)) and not any(token in chunk for token in self.added):
+            return self._in_units(chunk)
+        return self.chunks[chunk] if chunk else b""
 
 
 _loaded: dict[str, Encoder] = {}

@@ -3,12 +3,15 @@ from collections import defaultdict
 from itertools import combinations_with_replacement
 
 import numpy as np
+import public_tokenizers
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from callharmony.llm import packing
+from callharmony.llm import packing, tokenizing
 from callharmony.llm.tokenizing import WORD_BPE, Encoder
 
+_LIBRARY, _ENCODER = Tokenizer.from_file(WORD_BPE), Encoder(WORD_BPE)
+
 
 def optimum(lengths, capacity):
     lengths, best = sorted(lengths, reverse=True), [len(lengths)]
@@ -115,3 +118,26 @@ def test_ids_are_the_library_s():
         for text in (f"{a} {b}", f"{a}\n\t{b}", a + b):
             want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             assert encoder.ids(text) == want, text
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("aAzZ09 .,'’-_\"\n\t\v\x1c\x00\x85\xa0éÉßẞıİſÆΣςЖж日😀́ﬁ½²ªẞstreLD<|>"), max_size=20))
+def test_ids_of_any_text(text):
+    want = np.array(_LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert _ENCODER.ids(text) == want
+
+
+def test_ids_do_not_depend_on_what_is_remembered(monkeypatch):
+    monkeypatch.setattr(tokenizing, "REMEMBERED", 20)
+    small = Encoder(WORD_BPE)
+    for i in range(300):
+        text = " ".join(f"w{chr(97 + i % 26)}ord{chr(97 + j)}é {i}日{j}" for j in range(i % 40))
+        assert small.ids(text) == _ENCODER.ids(text)
+        assert len(small.units) + len(small.units.older) < 400 and not getattr(small.units.older, "older", None)
+
+
+def test_a_tokenizer_that_minds_white_space_gets_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), Encoder(path)
+    for text in ("Two  words\n\n and", " x", "été's"):
+        assert encoder.ids(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
