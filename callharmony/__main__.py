@@ -19,7 +19,7 @@ from callharmony.operators import audit_summary, load_crosswalk
 from callharmony.plans import audit, fetch_pages, run
 from callharmony.session import build_session, fit_to
 from callharmony.sinks import CallTable, preview
-from callharmony.sources import SPECS, SourceSpec, read_page_files, read_page_table
+from callharmony.sources import SPECS, SourceSpec, read_array_files, read_page_files, read_page_table
 from callharmony.streaming import run_stream
 
 
@@ -52,7 +52,9 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
 
 
 def landed_pages(spark: SparkSession, spec: SourceSpec, args: argparse.Namespace) -> DataFrame:
-    if args.layout == "files":
+    if args.layout == "files" and not spec.paged:
+        pages = read_array_files(spark, args.pages, spec.slug)
+    elif args.layout == "files":
         pages = read_page_files(spark, args.pages, spec.slug)
     else:
         pages = read_page_table(spark, args.pages).where(F.col("dataset") == spec.slug)

@@ -19,7 +19,7 @@ from callharmony.session import require_utc, workspace
 from callharmony.sinks.jdbc import staging_sql, upsert_sql, write_jdbc
 from callharmony.sinks.raw import land_raw_text
 from callharmony.sinks.table import STORED_SCHEMA, CallTable, page_order
-from callharmony.sources.envelopes import page_sizes, parse_rows, raw_rows
+from callharmony.sources.envelopes import PAGE_COLUMNS, page_sizes, parse_rows, raw_rows
 from callharmony.sources.http import http_fetch, total_rows
 from callharmony.sources.landed import read_page_table, replace_run
 from callharmony.sources.paged import Fetch, register_paged
@@ -81,6 +81,10 @@ def harmonize(
 def audit(spec: SourceSpec, pages: DataFrame) -> DataFrame:
     """Whether the pages of each run are all there, by the source's own rule for the last page."""
     sizes = page_sizes(pages, spec.envelope)  # one pass over the bodies; what follows reads the written counts
+    if "part" in pages.columns:  # a page that was cut into several bodies
+        sizes = sizes.groupBy(*PAGE_COLUMNS).agg(
+            F.sum("n").alias("n"), F.every("has_rows").alias("has_rows"), F.bool_or("truncated").alias("truncated")
+        )
     return page_audit(sizes, spec.page_size, by=("dataset", "run_id"))
 
 

@@ -43,6 +43,7 @@ from callharmony.sources import (
     observed_fields,
     parse_body,
     raw_rows,
+    read_array_files,
     read_datastore_pages,
     read_feature_pages,
     read_page_table,
@@ -254,6 +255,23 @@ def row_array_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_row_array(spark, page_files(bodies, workspace(spark, "rowarray")), EVENT_FIELDS)
 
 
+@query("SELECT event_id, user_id, event_type, value, props FROM events")
+def row_array_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as the one array, without line breaks, that a service sends for them."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    ends = rows.agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    text = F.concat(
+        F.when(F.col("event_id") == F.col("first"), "[").otherwise(""),
+        F.to_json(F.struct(*rows.columns)),
+        F.when(F.col("event_id") == F.col("last"), "]").otherwise(""),
+    )
+    path = workspace(spark, "array")
+    # One file has one writer, which takes the sorted rows as they come.
+    rows.join(F.broadcast(ends)).orderBy("event_id").select(text).coalesce(1).write.option("lineSep", ",").text(path)
+    parsed = parse_body(read_array_files(spark, path), ROW_ARRAY.schema(f"struct<{EVENT_FIELDS}>"))
+    return unwrap(parsed, ROW_ARRAY.array_path)
+
+
 @query("SELECT event_id, user_id, event_type, value, props FROM events")
 def row_lines_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")

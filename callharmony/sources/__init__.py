@@ -1,3 +1,4 @@
+from callharmony.sources.arrays import read_array_files
 from callharmony.sources.catalog import register_raw
 from callharmony.sources.envelopes import (
     DATASTORE,
@@ -27,6 +28,6 @@ from callharmony.sources.specs import SPECS, SourceSpec, TimeRange, TimeRule
 __all__ = [
     "DATASTORE", "FEATURES", "ROW_ARRAY", "Envelope", "SPECS", "SourceSpec", "TimeRange", "TimeRule",
     "land_pages", "observed_fields", "page_sizes", "parse_body", "parse_rows", "raw_rows",
-    "read_datastore_pages", "read_feature_pages", "read_page_files", "read_page_table",
+    "read_array_files", "read_datastore_pages", "read_feature_pages", "read_page_files", "read_page_table",
     "read_row_array", "read_row_lines", "register_raw", "replace_run", "stream_page_files", "unwrap",
 ]

@@ -19,16 +19,20 @@ RUN_PATTERN = r"run_id=([^/]+)"
 PAGE_PATTERN = r"page(?:-|_seq=)(\d+)"
 
 
-def _located(bodies: DataFrame, dataset: str | None) -> DataFrame:
-    path = F.col("_metadata.file_path")
+def located(bodies: DataFrame, path: Column, body: Column, dataset: str | None) -> DataFrame:
+    """Bodies as pages, their run and number taken from the path they were landed at."""
     return bodies.select(
         F.lit(dataset).cast("string").alias("dataset"),
         _first_group(path, RUN_PATTERN).alias("run_id"),
         _first_group(path, PAGE_PATTERN).cast("int").alias("page_seq"),
-        F.col("value").alias("body"),
+        body.alias("body"),
     )
 
 
+def _located(bodies: DataFrame, dataset: str | None) -> DataFrame:
+    return located(bodies, F.col("_metadata.file_path"), F.col("value"), dataset)
+
+
 def _first_group(path: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
 

@@ -159,7 +159,7 @@ class FilteredReader(PagedReader):
     """Rows with range filters on the time column sent along; Spark still applies every filter itself.
 
     Only bounds that are times are sent: text and numbers order or print differently at the services.
-    Filters reach a Python source only with ``spark.sql.python.filterPushdown.enabled``.
+    Spark refuses a reader with filters where ``spark.sql.python.filterPushdown.enabled`` is off.
     """
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -174,8 +174,10 @@ class FilteredReader(PagedReader):
         self.where = " AND ".join(bounds)
 
 
-def paged_source(spec: SourceSpec, fetch: Fetch = http_fetch, name: str = "paged") -> type[DataSource]:
-    """A data source class for one source, with the function that sends a request."""
+def paged_source(
+    spec: SourceSpec, fetch: Fetch = http_fetch, name: str = "paged", pushdown: bool = True
+) -> type[DataSource]:
+    """A data source class for one source, with the function that sends a request; ``pushdown`` sends filters along."""
 
     class Paged(DataSource):
         @classmethod
@@ -187,7 +189,7 @@ def paged_source(spec: SourceSpec, fetch: Fetch = http_fetch, name: str = "paged
 
         def reader(self, schema: StructType) -> DataSourceReader:
             as_rows = [name.lower() for name in schema.names] != ["page_seq", "body"]
-            reader = FilteredReader if as_rows else PagedReader
+            reader = FilteredReader if as_rows and pushdown else PagedReader
             return reader(spec, fetch, schema, dict(self.options), as_rows)
 
     return Paged
@@ -199,10 +201,11 @@ def register_paged(
     """Make the source readable as ``format(name)``.
 
     The package travels with the class, which is pickled here, so executors need no copy of it.
-    Later functions are pickled as usual.
+    Later functions are pickled as usual. Filters are sent along if the session's setting allows it now.
     """
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true"
     cloudpickle.register_pickle_by_value(callharmony)
     try:
-        spark.dataSource.register(paged_source(spec, fetch, name))
+        spark.dataSource.register(paged_source(spec, fetch, name, pushdown))
     finally:
         cloudpickle.unregister_pickle_by_value(callharmony)

@@ -1,0 +1,97 @@
+"""A row array without line breaks, cut by byte ranges."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from callharmony.__main__ import main
+from callharmony.operators import load_crosswalk
+from callharmony.plans import IncompleteFetch, run
+from callharmony.plans.jobs import audit
+from callharmony.sinks import CallTable
+from callharmony.sources import SPECS, read_array_files, read_page_files
+
+NOLA = SPECS["louisiana-new-orleans"]
+AWKWARD = ["}", "{", "]", "[", "},{", '"', '\\"', "\\", "\\\\", '\\\\"', '"},{"', "], [", "é日😀", "", " ", "a,b", "\n", "\\u007d", "x" * 300]
+
+
+def rows_of(pages):
+    values = [json.loads(row["body"]) for row in pages.select("body").collect()]
+    return sorted(json.dumps(row, sort_keys=True) for value in values if isinstance(value, list) for row in value)
+
+
+def land(tmp_path, text, page=0):
+    folder = tmp_path / "run_id=r1"
+    folder.mkdir(exist_ok=True)
+    (folder / f"page-{page}.json").write_text(text)
+    return str(folder)
+
+
+def awkward_rows(seed, count):
+    random.seed(seed)
+
+    def value(depth):
+        kind = random.random()
+        if depth and kind < 0.2:
+            return [value(depth - 1) for _ in range(random.randint(0, 3))]
+        if depth and kind < 0.4:
+            return {random.choice(AWKWARD) + str(i): value(depth - 1) for i in range(random.randint(0, 3))}
+        return random.choice([1.5, None, True, *AWKWARD])
+
+    return [{"nopd_item": str(i), "v": value(3)} for i in range(count)]
+
+
+@pytest.mark.parametrize("split", ["37b", "200b", "5000b", "128m"])
+@pytest.mark.parametrize("layout", [{"separators": (",", ":")}, {"indent": 1}, {}])
+def test_elements_are_found_wherever_ranges_begin(spark, conf, tmp_path, split, layout):
+    conf(spark__sql__files__maxPartitionBytes=split, spark__sql__files__openCostInBytes="1b")
+    rows = awkward_rows(len(split), 80 if split != "37b" else 12)
+    path = land(tmp_path, json.dumps(rows, ensure_ascii=split == "200b", **layout))
+    assert rows_of(read_array_files(spark, path)) == sorted(json.dumps(row, sort_keys=True) for row in rows)
+
+
+def test_many_tasks_read_one_array(spark, conf, tmp_path):
+    rows = [{"nopd_item": str(i), "text": "}" * (i % 7)} for i in range(20_000)]
+    path = land(tmp_path, json.dumps(rows))
+    conf(spark__sql__files__maxPartitionBytes="64k", spark__sql__files__openCostInBytes="1b")
+    text = spark.read.option("lineSep", "}").text(path)
+    assert text.rdd.getNumPartitions() > 4
+    pages = read_array_files(spark, path, "d")
+    assert pages.count() > 8 and rows_of(pages) == sorted(json.dumps(row, sort_keys=True) for row in rows)
+    assert {tuple(row) for row in pages.select("dataset", "run_id", "page_seq").distinct().collect()} == {("d", "r1", 0)}
+
+
+@pytest.mark.parametrize(("text", "count", "whole"), [
+    ("[]", 0, True), (" [ ] \n", 0, True), ('[{"a": 1}]', 1, True), ('\n[{"a": 1} ,\t{"a": "]"}]\r\n', 2, True),
+    ('[{"a": [1, 2]}, {}, {"b": null}]', 3, True),
+    ('{"error": [{"a": 1}, {"a": 2}]}', None, False), ('[{"a": 1}, {"a": 2', 1, False), ('[{"a": 1}, {"a": "', 1, False), ("", None, None),
+])
+def test_odd_arrays(spark, tmp_path, text, count, whole):
+    pages = read_array_files(spark, land(tmp_path, text), NOLA.slug)
+    judged = audit(NOLA, pages).collect()
+    assert [row["complete"] for row in judged] == ([] if whole is None else [whole])
+    if count is not None:
+        assert [row["n"] for row in judged] == [count]
+
+
+def test_the_job_takes_the_parts(spark, conf, tmp_path):
+    conf(spark__sql__files__maxPartitionBytes="2k", spark__sql__files__openCostInBytes="1b")
+    rows = [{"nopd_item": str(i % 700), "timecreate": "2021-07-01T10:00:00.000", "initialtypetext": "TRAFFIC STOP, } [", "priority": i} for i in range(1_500)]
+    path = land(tmp_path, json.dumps(rows))
+    split, whole = CallTable(spark, str(tmp_path / "split")), CallTable(spark, str(tmp_path / "whole"))
+    crosswalk = load_crosswalk(spark)
+    report = run(NOLA, read_array_files(spark, path, NOLA.slug), crosswalk, split, str(tmp_path / "lake"), "r1")
+    run(NOLA, read_page_files(spark, path, NOLA.slug), crosswalk, whole)
+    assert (report.records, report.pages, report.bad_pages) == (1_500, 1, 0)
+    assert split.read().exceptAll(whole.read()).count() == 0 and split.read().count() == whole.read().count()
+    assert spark.read.text(str(tmp_path / "lake" / "data" / NOLA.slug)).count() == 1_500
+    main(["run", NOLA.slug, "--pages", path, "--layout", "files", "--table", str(tmp_path / "cli")])
+    assert CallTable(spark, str(tmp_path / "cli")).read().where(F.col("priority") == "1499").count() == 1
+
+
+def test_a_broken_array_is_refused(spark, tmp_path):
+    path = land(tmp_path, '[{"nopd_item": "1"}, {"nopd_item"')
+    with pytest.raises(IncompleteFetch):
+        run(NOLA, read_array_files(spark, path, NOLA.slug), load_crosswalk(spark), CallTable(spark, str(tmp_path / "t")))

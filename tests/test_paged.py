@@ -62,14 +62,16 @@ def test_bodies_through_spark(spark):
 BTV = SPECS["vermont-burlington"]
 
 
-def test_rows_as_the_bodies_have_them(spark, conf):
-    conf(spark__sql__python__filterPushdown__enabled="true")
+@pytest.mark.parametrize("pushdown", ["true", "false"])
+def test_rows_as_the_bodies_have_them(spark, conf, pushdown):
+    conf(spark__sql__python__filterPushdown__enabled=pushdown)
     register_paged(spark, BTV, service(50), name="paged_rows")
     options = {"page_size": 10, "total": 50, "pages_per_task": 1}
     df = spark.read.format("paged_rows").schema("callnumber STRING, flag STRING").options(**options).load()
     got = df.collect()
     assert sorted(int(r.callnumber) for r in got) == list(range(50)) and {r.flag for r in got} == {"true", "false"}
     assert df.rdd.getNumPartitions() == 5
+    assert df.where("callnumber < 7").count() == 7
 
 
 def pushed(spec, *filters):

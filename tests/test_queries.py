@@ -19,6 +19,12 @@ def test_query_equals_its_sql(spark, con, name):
     assert oracle.difference(entry.queries()[name](spark, SF_DIR), con, entry.oracle_sql()[name]) == ""
 
 
+def test_a_session_without_filter_pushdown(spark, con, conf):
+    conf(spark__sql__python__filterPushdown__enabled="false")
+    name = "paged_rows_filtered"
+    assert oracle.difference(entry.queries()[name](spark, SF_DIR), con, entry.oracle_sql()[name]) == ""
+
+
 def test_every_query_has_sql():
     assert QUERIES.keys() == ORACLES.keys()
 
