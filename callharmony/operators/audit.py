@@ -73,14 +73,17 @@ def page_audit(
     never ends a fetch; another one does or, with a ``page_size``, does if it holds fewer rows.
     A page is ``complete`` if it has a row array, directly precedes the next page, and ends
     the fetch if it is the last one; the others hold ``page_size`` rows or, without one, are
-    truncated. The first page is number 0.
+    truncated. Where ``more`` is known, a planned fetch has told whether others follow, and pages
+    may have any size. The first page is number 0.
     """
+    if "more" not in counts.columns:
+        counts = counts.withColumn("more", F.lit(None).cast("boolean"))
     if "has_rows" not in counts.columns:
         counts = counts.withColumn("has_rows", F.lit(True))
     if "truncated" not in counts.columns:
         counts = counts.withColumn("truncated", F.lit(False))
-    whole = ~F.coalesce(F.col("truncated"), F.lit(False))
-    is_short = F.col("n") < page_size if page_size is not None else whole
+    whole = ~F.coalesce(F.col("more"), F.col("truncated"), F.lit(False))
+    is_short = F.coalesce(~F.col("more"), F.col("n") < page_size) if page_size is not None else whole
     is_last = F.col("next_seq").isNull()
     in_place = (F.col("page_seq") > F.col("first_seq")) | (F.col("page_seq") == 0)
     followed = is_last | (F.col("next_seq") == F.col("page_seq") + 1)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
@@ -15,14 +15,15 @@ from callharmony.operators.project import conform, label
 from callharmony.operators.ranges import in_range
 from callharmony.operators.upsert import fold_pages
 from callharmony.schema import CALL_SCHEMA, KEYS, ORDER
-from callharmony.session import require_utc, workspace
+from callharmony.session import require_utc, store_of, workspace
 from callharmony.sinks.jdbc import staging_sql, upsert_sql, write_jdbc
 from callharmony.sinks.raw import land_raw_text
 from callharmony.sinks.table import STORED_SCHEMA, CallTable, page_order
 from callharmony.sources.envelopes import PAGE_COLUMNS, page_sizes, parse_rows, raw_rows
-from callharmony.sources.http import http_fetch, total_rows
+from callharmony.sources.fetching import REQUEST_ROWS, Patience, fetch_ranges, key_ranges, offset_ranges
+from callharmony.sources.http import http_fetch, key_request, total_rows
 from callharmony.sources.landed import read_page_table, replace_run
-from callharmony.sources.paged import Fetch, register_paged
+from callharmony.sources.paged import Fetch, body_rows
 from callharmony.sources.specs import SourceSpec
 
 
@@ -80,7 +81,8 @@ def harmonize(
 
 def audit(spec: SourceSpec, pages: DataFrame) -> DataFrame:
     """Whether the pages of each run are all there, by the source's own rule for the last page."""
-    sizes = page_sizes(pages, spec.envelope)  # one pass over the bodies; what follows reads the written counts
+    keep = [*PAGE_COLUMNS, *(name for name in ("more",) if name in pages.columns)]
+    sizes = page_sizes(pages, spec.envelope, keep)  # one pass over the bodies; what follows reads the written counts
     if "part" in pages.columns:  # a page that was cut into several bodies
         sizes = sizes.groupBy(*PAGE_COLUMNS).agg(
             F.sum("n").alias("n"), F.every("has_rows").alias("has_rows"), F.bool_or("truncated").alias("truncated")
@@ -104,31 +106,38 @@ def fetch_pages(
     run_id: str,
     fetch: Fetch = http_fetch,
     allow_incomplete: bool = False,
-    **options: object,
+    total: int | None = None,
+    pages_per_task: int = 16,
+    patience: Patience = Patience(),
 ) -> DataFrame:
     """Read a service on the executors, keep its bodies as a page table, and return those of this run.
 
-    Later steps start from what has landed, so no page is asked for twice. A repeated fetch
-    of a run takes the place of the earlier one. ``options`` are those of the paged source but
-    for the page size, which is the spec's, since the audit needs it too; with no ``total``,
-    services that count their rows are asked for it. A fetch with fewer rows than were counted
-    is refused before it takes a place among the landed runs, unless allowed.
+    The rows are planned as ranges, of the source's order key where it has one, else of offsets, and each range is
+    read by a task of its own, in requests of at most ``REQUEST_ROWS`` rows. Pages land as they come: a request that
+    fails is tried again, a range that fails goes on in a later round, and a call that fails can be repeated for the
+    same run, which asks only for what is missing. A repeated fetch of a whole run takes the place of the earlier one.
+    A fetch with fewer rows than the service counted is refused before it takes a place among the landed runs, unless
+    allowed.
     """
-    if "page_size" in options:
-        raise ValueError("the page size is part of the spec")
-    counted = total_rows(spec, fetch) if "total" not in options and spec.page_size else None
-    if counted is not None:
-        options["total"] = counted
-    register_paged(spark, spec, fetch)
-    bodies = spark.read.format("paged").options(**options).load()
-    if counted and not allow_incomplete:
-        path = workspace(spark, f"{spec.slug}-pages")
-        bodies.write.parquet(path)
-        bodies = spark.read.schema(bodies.schema).parquet(path)
-        rows = page_sizes(bodies, spec.envelope, keep=["page_seq"]).agg(F.sum("n")).first()[0] or 0
-        if rows < counted:
-            raise IncompleteFetch(f"{spec.slug}: {rows} rows were sent, the service counted {counted}")
-    replace_run(bodies, landing, spec.slug, run_id)
+    asked = replace(spec, page_size=min(spec.page_size or REQUEST_ROWS, REQUEST_ROWS))
+    counted = total_rows(spec, fetch) if total is None else None
+    rows = total if total is not None else counted
+    by_key, parts = False, offset_ranges(rows, asked.page_size, pages_per_task)
+    if spec.key and rows:
+        ends = [body_rows(spec, fetch(key_request(replace(spec, page_size=1), None, last=last)))[0] for last in (False, True)]
+        if all(ends):
+            low, high = (int(found[0][spec.key]) for found in ends)
+            by_key, parts = True, key_ranges(low, high, -(-rows // (asked.page_size * pages_per_task)))
+    place = f"{landing.rstrip('/')}-fetching/{spec.slug}/{run_id}"
+    pages = fetch_ranges(spark, asked, parts, place, fetch, patience, by_key, pages_per_task)
+    got = pages.agg(F.sum("n")).first()[0] or 0
+    short = counted is not None and got < counted and not allow_incomplete
+    if not short:
+        replace_run(pages, landing, spec.slug, run_id)
+    context, path = store_of(spark, place)
+    context.delete(path, True)  # nothing of it is missing, so a repeated call begins anew
+    if short:
+        raise IncompleteFetch(f"{spec.slug}: {got} rows were sent, the service counted {counted}")
     landed = read_page_table(spark, landing)
     return landed.where((F.col("dataset") == spec.slug) & (F.col("run_id") == run_id))
 

@@ -27,7 +27,7 @@ from callharmony.operators import (
     upsert,
 )
 from callharmony.operators.crosswalk import crosswalk_of, load_crosswalk
-from callharmony.plans.jobs import audit, harmonize, run, run_all
+from callharmony.plans.jobs import audit, fetch_pages, harmonize, run, run_all
 from callharmony.schema import CALL_SCHEMA
 from callharmony.session import workspace
 from callharmony.sinks import CallTable, land_raw, land_raw_text
@@ -342,6 +342,41 @@ def paged_row_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unwrap(parse_body(bodies, ROW_ARRAY.schema(f"struct<{EVENT_FIELDS}>")), ROW_ARRAY.array_path, keep=["page_seq"])
 
 
+@query("SELECT event_id, user_id, event_type, value, props FROM events")
+def paged_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, fetched by ranges of their ids and landed; the service grants at most 300 rows at a time."""
+    root = page_files(event_bodies(spark, sf_dir, ROW_ARRAY), workspace(spark, "service"))
+    bounds = table(spark, sf_dir, "events").agg(F.min("event_id"), F.max("event_id"), F.count(F.lit(1))).first()
+
+    def fetch(request) -> str:
+        import json
+        import re
+
+        from pyarrow import fs
+
+        if "returnCountOnly" in request.params:
+            return json.dumps({"count": bounds[2]})
+        system, path = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        limits = {sign: int(value) for sign, value in re.findall(r"event_id (>|<=) (-?\d+)", request.params["where"])}
+        low, high = limits.get(">", bounds[0] - 1), min(limits.get("<=", bounds[1]), bounds[1])
+        low = high - 1 if "DESC" in request.params["orderByFields"] else low
+        found = []
+        while not found and low < high:
+            page = (low + 1) // 1000
+            folder = fs.FileSelector(f"{path}/page_seq={page}", allow_not_found=True)
+            for file in system.get_file_info(folder):
+                if file.base_name.startswith("part-"):
+                    with system.open_input_stream(file.path) as stream:
+                        found += [row for row in json.loads(stream.read()) if low < row["event_id"] <= high]
+            low = max(low, page * 1000 + 999)
+        found = sorted(found, key=lambda row: row["event_id"])[: min(request.limit, 300)]
+        return json.dumps({"features": [{"attributes": row} for row in found]})
+
+    spec = replace(EVENTS_SPEC, key="event_id")
+    pages = fetch_pages(spark, spec, workspace(spark, "landing"), "r1", fetch, pages_per_task=2)
+    return unwrap(parse_body(pages, FEATURES.schema(f"struct<{EVENT_FIELDS}>")), FEATURES.array_path, FEATURES.row_field)
+
+
 @query("SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(value AS DOUBLE) AS value FROM events WHERE event_type <> 'error'")
 def paged_rows_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows straight from the service, filtered by Spark."""

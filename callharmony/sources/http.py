@@ -76,6 +76,22 @@ def page_request(spec: SourceSpec, offset: int, where: str = "") -> PageRequest:
     return PageRequest(spec.url, params, offset, spec.page_size)
 
 
+def key_request(spec: SourceSpec, after: int | None, upto: int | None = None, last: bool = False) -> PageRequest:
+    """The request for the page of rows whose order key comes after ``after``; with ``last``, from the end."""
+    name = name_in(spec, spec.key)
+    bounds = ([f"{name} > {after}"] if after is not None else []) + ([f"{name} <= {upto}"] if upto is not None else [])
+    condition = conditions(spec, " AND ".join(bounds))
+    order = f"{name} {'DESC' if last else 'ASC'}"
+    if spec.envelope.name == FEATURES.name:
+        params = {"f": "json", "outFields": "*", "where": condition or "1=1", "orderByFields": order, "resultRecordCount": str(spec.page_size)}
+    elif spec.envelope.name == DATASTORE.name:
+        where = f" WHERE {condition}" if condition else ""
+        params = {"sql": f'SELECT * FROM "{spec.resource}"{where} ORDER BY {order} LIMIT {spec.page_size}'}
+    else:
+        params = {"$limit": str(spec.page_size), "$order": order} | ({"$where": condition} if condition else {})
+    return PageRequest(spec.url, params, 0, spec.page_size)
+
+
 def http_fetch(request: PageRequest, timeout: float = 300) -> str:
     with urlopen(f"{request.url}?{urlencode(request.params)}", timeout=timeout) as reply:
         return reply.read().decode("utf-8")

@@ -10,10 +10,13 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from callharmony.schema import PAGE_SCHEMA
 from callharmony.sources.envelopes import DATASTORE, FEATURES, ROW_ARRAY, parse_body, unwrap
 
+TABLE_SCHEMA = StructType([*PAGE_SCHEMA.fields, StructField("more", BooleanType())])
+
 # How a landed path names its run and its page.
 RUN_PATTERN = r"run_id=([^/]+)"
 PAGE_PATTERN = r"page(?:-|_seq=)(\d+)"
@@ -52,20 +55,25 @@ def stream_page_files(
     return _located(reader.text(path, wholetext=True, recursiveFileLookup=True), dataset)
 
 
+def _with_more(pages: DataFrame) -> Column:
+    return F.col("more") if "more" in pages.columns else F.lit(None).cast("boolean").alias("more")
+
+
 def land_pages(pages: DataFrame, path: str, mode: str = "append") -> None:
     """Keep response bodies as a page table, split by dataset and run."""
-    pages.select(*PAGE_SCHEMA.names).write.mode(mode).partitionBy("dataset", "run_id").parquet(path)
+    pages.select(*PAGE_SCHEMA.names, _with_more(pages)).write.mode(mode).partitionBy("dataset", "run_id").parquet(path)
 
 
 def replace_run(pages: DataFrame, path: str, dataset: str, run_id: str) -> None:
     """Keep the bodies of one run in its own folder of the page table, in place of what an earlier try left."""
     if not re.fullmatch(r"[\w.-]+", run_id):
         raise ValueError(f"run id {run_id!r} is no folder name")
-    pages.select("page_seq", "body").write.mode("overwrite").parquet(f"{path}/dataset={dataset}/run_id={run_id}")
+    pages.select("page_seq", "body", _with_more(pages)).write.mode("overwrite").parquet(f"{path}/dataset={dataset}/run_id={run_id}")
 
 
 def read_page_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAGE_SCHEMA).parquet(path).select(*PAGE_SCHEMA.names)
+    """Pages with ``more``: whether others follow, where a planned fetch has told so, else null."""
+    return spark.read.schema(TABLE_SCHEMA).parquet(path).select(*TABLE_SCHEMA.names)
 
 
 def read_feature_pages(spark: SparkSession, path: str, attrs_schema: str) -> DataFrame:

@@ -67,6 +67,7 @@ class SourceSpec:
     resource: str = ""
     where: str = ""
     order: str = ""
+    key: str = ""  # a whole number that orders the rows, where there is one
     aliases: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     @property
@@ -104,6 +105,7 @@ PHOENIX = SourceSpec(
     url="https://www.phoenixopendata.com/api/3/action/datastore_search_sql",
     resource="1d536ee6-7ffb-49c3-bffe-5cdd98a3c97e",
     order='"_id" ASC',
+    key="_id",
 )
 
 GAINESVILLE = SourceSpec(

@@ -68,8 +68,7 @@ def test_fetch_land_and_run(spark, tmp_path):
     assert report.records == 25 and calls.read().count() == 25
     asked = [json.loads(line) for line in open(log)]
     assert sorted(int(a["resultOffset"]) for a in asked if "returnCountOnly" not in a) == [0, 0, 10, 10, 20, 20]
-    with pytest.raises(ValueError, match="page size"):
-        fetch_pages(spark, BTV, str(tmp_path / "pages"), "r1", fetch, page_size=10)
+    assert not (tmp_path / "pages-fetching" / BTV.slug / "r1").exists()
 
 
 def test_warehouse_job_prepares_staging_first(spark):
