@@ -2,8 +2,9 @@
 
 Every document gets rates (symbols, doubled lines and words, capitals, exclamation marks, word length). Their quantiles are
 kept as mergeable KLL sketches per language and source. A group's fence is its third quartile plus a multiple of
-its interquartile range; small groups use the merged sketch of their language, or of everything. The fences are
-then joined to the documents, and those outside are rejected.
+its interquartile range. It is blended with that of the merged sketch of its language, and this with that of
+everything, each weighed by its number of documents, so that no number of documents switches from one to another. The
+fences are then joined to the documents, and those outside are rejected.
 """
 
 from __future__ import annotations
@@ -31,9 +32,12 @@ WINDOW = 5
 UPPER = {"symbol_rate": 0.10, "dup_line_rate": 0.30, "upper_rate": 1.00, "mark_rate": 0.25, "doubled_rate": 0.15, "long_rate": 2.5}
 LOWER = {"long_rate": 2.0}
 SPREAD = 4.0
-# A group with fewer documents takes the fences of its language, a language with fewer those of all documents; if
-# these are fewer as well, only the base rules count.
-LEAST_GROUP = 100
+# With so many documents a group's own fence weighs as much as that of its language, and that as that of everything.
+BLEND = 5
+# Word length says nothing from one language to the next: its fences are not blended with those of everything.
+OWN = ("long_rate",)
+# How much farther from the median a fence stands for a language with one document; with the root of their number less.
+WIDER = 2.0
 SKETCH_K = 400
 
 # What parts words.
@@ -72,6 +76,10 @@ def text_counts(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(COUNTS))], names=COUNTS)
 
 
+# So marked, it is not computed again for a filter that Spark would move below a join.
+text_counts = text_counts.asNondeterministic()
+
+
 def _rates(counts: str) -> dict[str, Column]:
     c = {name: F.col(f"`{counts}`.`{name}`").cast("double") for name in COUNTS}
     words = F.greatest(c["n_words"], F.lit(1.0))
@@ -122,27 +130,25 @@ def fences(counted: DataFrame, counts: str, lang: str, source: str) -> DataFrame
     by_lang = merged(fine, ["lang_key"], "lang_")
     everything = merged(fine, [], "all_")
     both = fine.join(by_lang, "lang_key").join(F.broadcast(everything))  # one row, so not a product
-    picked = both.select(
-        "lang_key",
-        "source_key",
-        *[
-            F.when(F.col("n") >= LEAST_GROUP, F.col(name))
-            .when(F.col("lang_n") >= LEAST_GROUP, F.col(f"lang_{name}"))
-            .when(F.col("all_n") >= LEAST_GROUP, F.col(f"all_{name}"))
-            .alias(name)
-            for name in rates
-        ],
-    )
-    quartile = {
-        name: [F.kll_sketch_get_quantile_double(name, F.lit(q)) for q in (0.25, 0.5, 0.75)] for name in rates
-    }
-    out = [F.col("lang_key"), F.col("source_key")]
-    for name, (q1, q2, q3) in quartile.items():
+
+    def fence(sketch: str, name: str, upper: bool) -> Column:
+        q1, q2, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.5, 0.75))
         wide = SPREAD * (q3 - q1)
-        out.append(F.greatest(q3 + wide, q2 + F.lit(UPPER[name])).alias(f"high_{name}"))
-        if name in LOWER:
-            out.append(F.least(q1 - wide, q2 - F.lit(LOWER[name])).alias(f"low_{name}"))
-    return written(picked.select(*out), "quality-fences")
+        return F.greatest(q3 + wide, q2 + F.lit(UPPER[name])) if upper else F.least(q1 - wide, q2 - F.lit(LOWER[name]))
+
+    def blended(name: str, upper: bool) -> Column:
+        found = fence(f"lang_{name}", name, upper)
+        if name not in OWN:
+            found = (F.col("lang_n") * found + BLEND * fence(f"all_{name}", name, upper)) / (F.col("lang_n") + BLEND)
+        found = (F.col("n") * fence(name, name, upper) + BLEND * found) / (F.col("n") + BLEND)
+        middle = F.kll_sketch_get_quantile_double(f"lang_{name}", F.lit(0.5))
+        wider = F.abs(found - middle) * WIDER / F.sqrt(F.col("lang_n").cast("double"))
+        return found + wider if upper else found - wider
+
+    out = [F.col("lang_key"), F.col("source_key")]
+    out += [blended(name, True).alias(f"high_{name}") for name in UPPER]
+    out += [blended(name, False).alias(f"low_{name}") for name in LOWER]
+    return written(both.select(*out), "quality-fences")
 
 
 def judge(counted: DataFrame, counts: str, limits: DataFrame, lang: str, source: str, into: str) -> DataFrame:
@@ -164,8 +170,10 @@ def judge(counted: DataFrame, counts: str, limits: DataFrame, lang: str, source:
 def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
     """Per document: id, the counts of its whole text, ``base_failed`` and ``kept``.
 
-    A null or empty text has no words and fails. Null languages and sources form groups of their own. Rows
-    are judged one by one, so repeated rows are all returned; an empty table gives no rows.
+    A null or empty text has no words and fails. Null languages and sources form groups of their own. A group of any
+    size has fences of its own, blended with its language's and those of everything the more, and standing the farther
+    out, the fewer documents there are; word length is never judged by other languages. Rows are judged one by one, so
+    repeated rows are all returned; an empty table gives no rows.
     """
     counted = written(
         docs.select(

@@ -1,6 +1,8 @@
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -66,3 +68,73 @@ def test_fences_follow_the_group(spark):
     out = q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
     kept = Counter((row["doc_id"] == 999, row["kept"]) for row in out.collect())
     assert kept == {(False, True): 400, (True, False): 1}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+def clean(i, long=5):
+    return " ".join(f"{'w' * (long - 3)}{(i * 37 + j * j) % 900:03d}" for j in range(40 + i % 30)).capitalize() + "."
+
+
+@pytest.mark.parametrize("few", [1, 3, 20, 99, 101])
+def test_a_few_clean_documents_of_another_language_stay(spark, few):
+    """Their words are four times as long as those of 200 others."""
+    rows = [(i, clean(i), "en", "a") for i in range(200)] + [(1000 + i, clean(i, 20), "fi", "a") for i in range(few)]
+    kept = {row["doc_id"] for row in q.quality(spark.createDataFrame(rows, SCHEMA)).where("kept").collect()}
+    assert kept == {row[0] for row in rows}
+
+
+@pytest.mark.parametrize("many", [25, 90, 99, 101, 130])
+def test_junk_goes_whatever_the_number_of_documents(spark, many):
+    junk = " ".join(f"#{i}$ %{i}& x{i}" for i in range(30))
+    rows = [(i, clean(i), "en", "a") for i in range(many)] + [(1000 + i, f"{junk} {i}", "en", "a") for i in range(5)]
+    kept = {row["doc_id"] for row in q.quality(spark.createDataFrame(rows, SCHEMA)).where("kept").collect()}
+    assert kept == set(range(many))
+
+
+def test_fences_equal_those_of_exact_quartiles(spark):
+    """Groups smaller than a sketch, whose quantiles are then exact; every verdict recomputed in Python."""
+    random.seed(9)
+    rows = []
+    for i in range(400):
+        marks = [random.choice(["#a", "!", "AB", "x" * random.randint(1, 25)]) for _ in range(random.choice([0, 1, 2, 9, 30]))]
+        words = [*clean(i, random.choice([4, 6])).split(), *marks]
+        rows.append((i, " ".join(words), random.choice(["en", "en", "de", None]), random.choice(["a", "b", "b", None])))
+    by_id = {row["doc_id"]: row for row in q.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+    def rates(row):
+        words = max(row["n_words"], 1)
+        values = {"symbol_rate": row["n_symbols"], "upper_rate": row["n_upper"], "mark_rate": row["n_marks"], "doubled_rate": row["n_doubled"], "long_rate": row["word_chars"]}
+        return {name: value / words for name, value in values.items()} | {"dup_line_rate": row["n_dup_lines"] / max(row["n_lines"], 1)}
+
+    found = [(rates(by_id[i]), lang, source) for i, _, lang, source in rows if not by_id[i]["base_failed"]]
+
+    def fence(name, upper, *wanted):
+        values = [rate[name] for rate, lang, source in found if wanted == ("all",) or (lang, source)[: len(wanted)] == wanted]
+        q1, q2, q3 = np.quantile(values, (0.25, 0.5, 0.75), method="inverted_cdf")
+        wide = q.SPREAD * (q3 - q1)
+        return len(values), q2, max(q3 + wide, q2 + q.UPPER[name]) if upper else min(q1 - wide, q2 - q.LOWER[name])
+
+    for i, _, lang, source in rows:
+        row, inside = by_id[i], True
+        if row["base_failed"]:
+            assert not row["kept"]
+            continue
+        slack = 1 + 6 / row["n_words"] ** 0.5
+        for name, value in rates(row).items():
+            for upper in (True, False)[: 1 + (name in q.LOWER)]:
+                lang_n, middle, edge = fence(name, upper, lang)
+                if name not in q.OWN:
+                    edge = (lang_n * edge + q.BLEND * fence(name, upper, "all")[2]) / (lang_n + q.BLEND)
+                n, _, own = fence(name, upper, lang, source)
+                edge = (n * own + q.BLEND * edge) / (n + q.BLEND)
+                edge += (1 if upper else -1) * abs(edge - middle) * q.WIDER / lang_n**0.5
+                inside &= value <= edge * slack + 1e-12 if upper else value * slack >= edge - 1e-12
+        assert row["kept"] == inside, (i, row)
+    assert 20 < sum(row["kept"] for row in by_id.values()) < 400
+
+
+def test_texts_are_counted_once_in_a_pass(odd):
+    plan = q.drop_low_quality(odd)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
