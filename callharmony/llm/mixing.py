@@ -10,6 +10,8 @@ Only DataFrame functions run here.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from callharmony.llm.tables import broadcast_if_small, column, fresh, written
@@ -31,8 +33,12 @@ def unit(key: Column, bits: int = 52) -> Column:
 def rates(docs: DataFrame, weights: dict[str | None, float] | None, budget: float, text: str, source: str) -> DataFrame:
     """``source_key, rate, steps, cdf``: one row per source.
 
-    ``cdf`` is the distribution of one step. A source that ``weights`` does not name is left out (rate 0).
+    ``cdf`` is the distribution of one step. A source that ``weights`` does not name is left out (rate 0), and all are
+    if none of the named ones is present. A weight below zero, or that is no finite number, is refused.
     """
+    wrong = [weight for weight in (weights or {}).values() if not 0 <= weight < math.inf]
+    if wrong:
+        raise ValueError(f"weights are finite numbers from zero on, not {wrong[0]}")
     key = F.coalesce(F.concat(F.lit("="), column(docs, source).cast("string")), F.lit("null"))
     size = F.length(F.coalesce(column(docs, text), F.lit(""))).cast("long")
     sizes = written(docs.select(key.alias("source_key"), size.alias("n")).groupBy("source_key").agg(F.sum("n").alias("n")), "mixing-sizes")
@@ -45,8 +51,8 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, budget: floa
             share = F.when(F.col("source_key") == name, F.lit(weight)).otherwise(share)
     shared = sizes.withColumn("share", share)
     total = shared.agg(F.sum("n").alias("total_n"), F.sum("share").alias("total_share"))
-    rate = F.lit(budget) * F.col("total_n") * F.col("share") / F.col("total_share") / F.col("n")
-    rated = shared.join(F.broadcast(total)).select("source_key", F.when(F.col("n") > 0, rate).otherwise(F.lit(0.0)).alias("rate"))
+    rate = F.lit(budget) * F.col("total_n") * F.col("share") / F.nullif("total_share", F.lit(0.0)) / F.nullif("n", F.lit(0))
+    rated = shared.join(F.broadcast(total)).select("source_key", F.coalesce(rate, F.lit(0.0)).alias("rate"))
     steps = F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")
     mean = F.col("rate") / F.col("steps")
     first = F.exp(-mean)
@@ -60,7 +66,8 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, budget: floa
         ),
         lambda acc: acc["cdf"],
     )
-    return written(rated.withColumn("steps", steps).select("source_key", "rate", "steps", grown.alias("cdf")), "mixing-rates")
+    # Where the distribution has come as near to 1 as numbers can, its values repeat.
+    return written(rated.withColumn("steps", steps).select("source_key", "rate", "steps", F.array_distinct(grown).alias("cdf")), "mixing-rates")
 
 
 def mix(
@@ -76,7 +83,7 @@ def mix(
 
     ``budget`` is the expected number of characters over those of ``docs``. A row without an id is known by its
     text; rows that share the key share the count. Sources without any characters and those without a weight give
-    nothing. Given columns named ``copy`` or ``place`` are replaced.
+    nothing; weights of which none names a present source give no rows, and negative ones an error. Given columns named ``copy`` or ``place`` are replaced.
     """
     given = [name for name in docs.columns if name.lower() not in ("copy", "place")]
     limits = rates(docs, weights, budget, text, source)
@@ -93,8 +100,10 @@ def mix(
         return F.size(F.filter(F.col(count)["cdf"], lambda c: c < u))
 
     total = F.aggregate(F.sequence(F.lit(1), F.col(count)["steps"]), F.lit(0), lambda acc, step: acc + drawn(step))
-    counted = keyed.withColumn(count, F.when(F.col(count)["rate"] > 0, total).otherwise(F.lit(0))).where(F.col(count) > 0)
-    copies = counted.select(*[F.col(f"`{name}`") for name in given], F.col(key), F.explode(F.sequence(F.lit(1), F.col(count))).alias("copy"))
+    counted = keyed.withColumn(count, F.when(F.col(count)["rate"] > 0, total).otherwise(F.lit(0)))
+    # The outer form, since Spark derives a filter from the other one, and would count again for it.
+    numbers = F.explode_outer(F.when(F.col(count) > 0, F.sequence(F.lit(1), F.col(count)))).alias("copy")
+    copies = counted.select(*[F.col(f"`{name}`") for name in given], F.col(key), numbers).where("copy IS NOT NULL")
     place = unit(F.concat(F.lit(f"{seed}:place:"), F.col(key), F.lit(":"), F.col("copy").cast("string")))
     placed = copies.select(*[F.col(f"`{name}`") for name in given], "copy", place.alias("place"))
     return placed.repartitionByRange("place").sortWithinPartitions("place")

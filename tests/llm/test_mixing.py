@@ -2,6 +2,8 @@ import hashlib
 import math
 from collections import Counter
 
+import pytest
+
 from callharmony.llm import mixing
 
 
@@ -58,3 +60,19 @@ def test_odd_rows(odd, empty):
     assert set(rows) <= {(row["doc_id"], row["text"]) for row in odd.collect()}
     assert rows == Counter((row["doc_id"], row["text"]) for row in mixing.mix(odd, budget=5.0).collect())
     assert mixing.mix(empty).count() == 0
+
+
+@pytest.mark.parametrize("weights", [{}, {"nowhere": 1.0}, {"a": 0.0, "b": 0.0}])
+def test_weights_that_name_no_present_source_give_no_rows(spark, weights):
+    assert mixing.mix(sources(spark), weights).collect() == []
+
+
+@pytest.mark.parametrize("weight", [-1.0, float("nan"), float("inf")])
+def test_weights_that_are_none(spark, weight):
+    with pytest.raises(ValueError, match="weights"):
+        mixing.mix(sources(spark), {"a": 1.0, "b": weight})
+
+
+def test_the_count_is_not_computed_again_for_a_filter(spark):
+    plan = mixing.mix(sources(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
