@@ -42,6 +42,7 @@ class Counter(dict):
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(piece) for piece, _ in pieces), default=1)
         self.unknown = min((score for _, score in pieces), default=0.0) - UNKNOWN_PENALTY
 
     def __missing__(self, word: bytes) -> int:
@@ -53,27 +54,33 @@ class Counter(dict):
         return count
 
     def count(self, text: str) -> int:
-        """Pieces of the best segmentation of ``text``."""
-        size = len(text)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
-        if len(self.automaton):
-            for last, piece in self.automaton.iter(text):
-                ending[last + 1].append(piece)
-        scores, counts, unknown = [0.0] * (size + 1), [0] * (size + 1), [False] * (size + 1)
+        """Pieces of the best segmentation of ``text``.
+
+        No piece is longer than the longest of the vocabulary, so only so many places are kept, in turn.
+        """
+        size, kept = len(text), self.longest + 1
+        scores, counts, unknown = [0.0] * kept, [0] * kept, [False] * kept
+        matches = iter(self.automaton.iter(text)) if len(self.automaton) else iter(())
+        match = next(matches, None)
         for end in range(1, size + 1):
-            best, single = None, False
-            for length, score in sorted(ending[end], reverse=True):
+            ending = []
+            while match is not None and match[0] == end - 1:
+                ending.append(match[1])
+                match = next(matches, None)
+            at, best, single, strange = end % kept, None, False, False
+            for length, score in sorted(ending, reverse=True):
                 single |= length == 1
-                total = score + scores[end - length]
+                total = score + scores[(end - length) % kept]
                 if best is None or total > best:
-                    best, counts[end] = total, counts[end - length] + 1
+                    best, count = total, counts[(end - length) % kept] + 1
             if not single:
-                total = self.unknown + scores[end - 1]
+                before = (end - 1) % kept
+                total = self.unknown + scores[before]
                 if best is None or total > best:
-                    best, unknown[end] = total, True
-                    counts[end] = counts[end - 1] + (not unknown[end - 1])
-            scores[end] = best
-        return counts[size]
+                    best, strange = total, True
+                    count = counts[before] + (not unknown[before])
+            scores[at], counts[at], unknown[at] = best, count, strange
+        return counts[size % kept]
 
 
 _loaded: dict[str, Counter] = {}

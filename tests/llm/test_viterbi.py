@@ -1,3 +1,5 @@
+import tracemalloc
+
 from hypothesis import given, settings, strategies as st
 from tokenizers.models import Unigram
 
@@ -36,3 +38,16 @@ def test_odd_rows(odd, empty):
     assert len(rows) == odd.count()
     assert {tuple(row)[1:] for row in rows if row["doc_id"] in (3, 4, 5)} == {(0, 0)}
     assert viterbi.token_counts(empty).count() == 0
+
+
+def test_memory_does_not_grow_with_a_word():
+    peaks = []
+    for size in (30_000, 300_000):
+        text = ("interationsx日" * size)[:size]
+        tracemalloc.start()
+        count = OWN.count(text)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert size / OWN.longest <= count <= size
+    assert peaks[1] < peaks[0] + 5 * 300_000  # the text itself, which the automaton copies
+    assert OWN.count("interationsx日" * 3_000) == len(LIBRARY.tokenize("interationsx日" * 3_000))
