@@ -239,6 +239,21 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(column(docs, doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_key"))
 
 
+def _crowded(keyed: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """``sid, c_id, c_key`` of the sets that may have a link, by their unique shingles in the first share.
+
+    Written in a function of its own: once nothing refers to the count's plan, Spark frees its shuffle files.
+    """
+    owners = _sampled(keyed, n).groupBy("shingle").agg(F.min("set_key").alias("set_key"), F.max("set_key").alias("other"))
+    unique = owners.where("set_key = other").groupBy("set_key").agg(F.count(F.lit(1)).alias("unique"))
+    # Two sets with one 64-bit key would be counted as one owner: both go on.
+    keys = sets.groupBy("set_key").agg(F.count(F.lit(1)).alias("sets"))
+    spare = F.col("n") - _need(F.col("n"), percent)
+    counted = sets.join(unique, "set_key", "left").join(keys, "set_key")
+    open_sets = counted.where((F.coalesce("unique", F.lit(0)) <= spare) | (F.col("sets") > 1))
+    return written(open_sets.select("sid", F.col("first.doc_id").alias("c_id"), F.col("first.text_key").alias("c_key")), "crowded")
+
+
 def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: ``doc_id, text_key, n_shingles, component_id``; ``text_key`` is ``xxhash64`` of the text.
 
@@ -256,23 +271,14 @@ def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str
         .withColumn("sid", F.monotonically_increasing_id()),
         "sets",
     )
-    owners = _sampled(keyed, n).groupBy("shingle").agg(F.min("set_key").alias("set_key"), F.max("set_key").alias("other"))
-    unique = owners.where("set_key = other").groupBy("set_key").agg(F.count(F.lit(1)).alias("unique"))
-    # Two sets with one 64-bit key would be counted as one owner: both go on.
-    keys = sets.groupBy("set_key").agg(F.count(F.lit(1)).alias("sets"))
-    spare = F.col("n") - _need(F.col("n"), percent)
-    crowded = written(
-        sets.join(unique, "set_key", "left").join(keys, "set_key").where((F.coalesce("unique", F.lit(0)) <= spare) | (F.col("sets") > 1)).select(
-            "sid", F.col("first.doc_id").alias("c_id"), F.col("first.text_key").alias("c_key")
-        ),
-        "crowded",
-    )
+    crowded = _crowded(keyed, sets, n, percent)
     small = broadcast_if_small(crowded, 200_000)
     texts = keyed.join(small, (F.col("text_key") == F.col("c_key")) & F.col("doc_id").eqNullSafe(F.col("c_id")))
     whole = written(_sets(texts.select("sid", "text"), n).dropDuplicates(["sid"]), "crowded-sets")
     labels = link_components(whole, percent)
     named = sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    lowest = named.groupBy("label").agg(F.min("smallest").alias("component_id"))
+    # Written, so that the join by label has an exchange of its own, whose large partitions Spark splits.
+    lowest = written(named.groupBy("label").agg(F.min("smallest").alias("component_id")), "lowest")
     by_set = named.join(lowest, "label").select("digest", "component_id")
     none = points.where("n = 0").withColumn("component_id", F.col("doc_id"))
     out = points.where("n > 0").join(by_set, "digest").unionByName(none.select("digest", *points.drop("digest").columns, "component_id"))
