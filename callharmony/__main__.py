@@ -1,6 +1,6 @@
 """The jobs from the command line, for ``spark-submit`` or ``python -m callharmony``.
 
-    run    <source> --pages <page table or files> --table <path> [--lake <path>] [--run-id <id>]
+    run    <source> --pages <page table or files> --table <path> [--lake <path>] [--rejected <path>] [--run-id <id>]
     run    <source> --landing <path> --table <path> ...       fetch first, then run
     stream <source> --pages <page files> --table <path> --checkpoint <path> [--lake <path>]
     audit  <source> --pages <page table or files>
@@ -32,6 +32,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--layout", choices=["table", "files"], default="table")
     parser.add_argument("--table", help="the table of calls")
     parser.add_argument("--lake", help="base path for raw rows")
+    parser.add_argument("--rejected", help="base path for rows that were refused or read in part, with the reasons")
     parser.add_argument("--checkpoint")
     parser.add_argument("--crosswalk", help="CSV files to use in place of the packaged dictionaries")
     parser.add_argument("--run-id", help="the run to read; for landed pages the last one, for a fetch the time now")
@@ -91,7 +92,7 @@ def main(argv: list[str] | None = None) -> None:
         calls = CallTable(spark, args.table)
         crosswalk = load_crosswalk(spark, args.crosswalk)
         run_id = args.run_id or datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
-        report = run(spec, pages, crosswalk, calls, args.lake, run_id, args.allow_incomplete)
+        report = run(spec, pages, crosswalk, calls, args.lake, run_id, args.allow_incomplete, args.rejected)
         print(f"{report.records} records found. {report}")
 
 

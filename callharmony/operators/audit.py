@@ -19,12 +19,13 @@ def record_count(df: DataFrame) -> int:
     return df.count()
 
 
-def call_metrics(keys: Sequence[str] = KEYS) -> list[Column]:
-    """Counts to ``observe`` on a write of canonical rows, so that they need no second pass."""
+def call_metrics(keys: Sequence[str] = KEYS, among: Column | None = None) -> list[Column]:
+    """Counts to ``observe`` on a write of canonical rows, so that they need no second pass; ``among`` picks rows."""
+    among = F.lit(True) if among is None else among
     return [
-        F.count(F.lit(1)).alias("records"),
-        F.count_if(has_null_key(keys)).alias("null_keys"),
-        F.count_if(F.col("call_type").isNotNull() & F.col("common_call_type").isNull()).alias("unmapped"),
+        F.count_if(among).alias("records"),
+        F.count_if(among & has_null_key(keys)).alias("null_keys"),
+        F.count_if(among & F.col("call_type").isNotNull() & F.col("common_call_type").isNull()).alias("unmapped"),
     ]
 
 

@@ -5,9 +5,11 @@ from callharmony.plans.jobs import (
     complete_pages,
     fetch_pages,
     harmonize,
+    judge,
+    read_rejected,
     run,
     run_all,
     run_to_warehouse,
 )
 
-__all__ = ["IncompleteFetch", "RunReport", "audit", "complete_pages", "fetch_pages", "harmonize", "run", "run_all", "run_to_warehouse"]
+__all__ = ["IncompleteFetch", "RunReport", "audit", "complete_pages", "fetch_pages", "harmonize", "judge", "read_rejected", "run", "run_all", "run_to_warehouse"]

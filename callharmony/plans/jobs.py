@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from callharmony.functions import whole_number
 from callharmony.operators.audit import call_metrics, page_audit
@@ -41,6 +42,13 @@ class RunReport:
     bad_pages: int
 
 
+# A canonical row, and what was found against it.
+JUDGED_SCHEMA = StructType(
+    [*STORED_SCHEMA, StructField("reasons", ArrayType(StringType())), StructField("refused", BooleanType()), StructField("sent", StringType())]
+)
+REJECTED = ("dataset", "call_id", *ORDER, "reasons", "refused", "sent")
+
+
 class IncompleteFetch(RuntimeError):
     """Pages are missing, or a reply has no rows; nothing was written."""
 
@@ -55,6 +63,16 @@ def harmonize(
     whose time is missing or cannot be read stay with a null time. ``rejects`` counts times
     that were sent but could not be read, and rows out of range.
     """
+    return judge(spec, pages, crosswalk, rejects).where("NOT refused").select(*STORED_SCHEMA.names)
+
+
+def judge(spec: SourceSpec, pages: DataFrame, crosswalk: DataFrame, rejects: Observation | None = None) -> DataFrame:
+    """Every row of a source's pages as ``harmonize`` gives it, with what was found against it.
+
+    ``reasons`` holds ``out_of_range``, ``unreadable_time`` and ``unreadable_flag`` (sent, but a null in the canonical
+    row), in this order, or nothing. ``refused`` rows, those out of range, are not for the table. ``sent`` is a JSON
+    text of the fields as they were sent, for rows with a reason. All come from the one parse.
+    """
     require_utc(pages.sparkSession)
     rows = parse_rows(pages, spec.envelope, spec.fields, spec.aliases, keep=ORDER)
     rows = rows.withColumn("_time", spec.time.source_time())
@@ -62,21 +80,31 @@ def harmonize(
     if spec.time_range is not None:
         bounds = spec.time_range
         outside = ~F.coalesce(in_range(F.col("_time"), bounds.low, bounds.high, bounds.half_open), F.lit(True))
+    unread = spec.time.rejected(F.col("_time"))
     if rejects is not None:
-        rejected = spec.time.rejected(F.col("_time"))
-        rows = rows.observe(rejects, F.count_if(rejected).alias("time_rejects"), F.count_if(outside).alias("out_of_range"))
-    rows = rows.where(~outside)
+        rows = rows.observe(rejects, F.count_if(unread).alias("time_rejects"), F.count_if(outside).alias("out_of_range"))
+
+    flags = {target: whole_number(F.col(source)).cast("boolean") for target, source in spec.flags.items()}
+    bad_flags = [F.col(spec.flags[target]).isNotNull() & flag.isNull() for target, flag in flags.items()]
+    bad_flag = reduce(lambda a, b: a | b, bad_flags, F.lit(False))
+    found = {"out_of_range": outside, "unreadable_time": unread, "unreadable_flag": bad_flag}
+    reasons = F.array_compact(F.array(*[F.when(condition, F.lit(reason)) for reason, condition in found.items()]))
 
     fields: dict[str, Column] = {"call_time": spec.time.call_time(F.col("_time"))}
     fields |= {target: F.col(source) for target, source in spec.texts.items()}
-    fields |= {target: whole_number(F.col(source)).cast("boolean") for target, source in spec.flags.items()}
+    fields |= flags
+    fields |= {
+        "reasons": reasons,
+        "refused": outside,
+        "sent": F.when(outside | unread | bad_flag, F.to_json(F.struct(*spec.fields))),
+    }
     # A reply that is not paged is one batch, in however many bodies it was landed.
     page = F.col("page_seq") if spec.paged else F.lit(0)
     rows = rows.select("run_id", page.alias("page_seq"), *[c.alias(name) for name, c in fields.items()])
     rows = label(rows, spec.label)
     if spec.has_crosswalk:
         rows = map_call_type(rows, crosswalk, "call_type")
-    return conform(rows, STORED_SCHEMA)
+    return conform(rows, JUDGED_SCHEMA)
 
 
 def audit(spec: SourceSpec, pages: DataFrame) -> DataFrame:
@@ -150,9 +178,10 @@ def run(
     lake: str | None = None,
     run_id: str | None = None,
     allow_incomplete: bool = False,
+    rejected: str | None = None,
 ) -> RunReport:
     """One source: audit the pages, keep the raw rows, harmonize, fold the pages, upsert."""
-    return run_all({spec: pages}, crosswalk, target, lake, run_id, allow_incomplete)
+    return run_all({spec: pages}, crosswalk, target, lake, run_id, allow_incomplete, rejected)
 
 
 def run_all(
@@ -162,39 +191,47 @@ def run_all(
     lake: str | None = None,
     run_id: str | None = None,
     allow_incomplete: bool = False,
+    rejected: str | None = None,
 ) -> RunReport:
     """Any number of sources in one upsert. Incomplete runs are refused before anything is written.
 
     With ``lake``, the raw rows are kept below it first, in the folder of ``run_id``; a
     repeated run replaces its own folder. Rows are staged as Parquet so that folding reads
-    narrow columns and no JSON is parsed twice. Of a source that replies in one batch, the
+    narrow columns and no JSON is parsed twice. With ``rejected``, the rows that ``judge`` has a reason against are kept
+    below it as a second output of the staged rows, likewise by ``run_id``; ``read_rejected`` reads them. Of a source that replies in one batch, the
     last run that has a key gives all rows of it.
     """
+    if run_id is None and (lake is not None or rejected is not None):
+        raise ValueError("landing raw or rejected rows needs a run_id")
     n_pages, bad_pages = complete_pages(sources, allow_incomplete)
     if lake is not None:
-        if run_id is None:
-            raise ValueError("landing raw rows needs a run_id")
         for spec, pages in sources.items():
             land_raw_text(raw_rows(pages, spec.envelope), lake, spec.slug, run_id, mode="overwrite")
 
     rejects = {spec.slug: Observation() for spec in sources}
     paged, whole = [], []
     for spec, pages in sources.items():
-        rows = harmonize(spec, pages, crosswalk, rejects[spec.slug])
+        rows = (harmonize if rejected is None else judge)(spec, pages, crosswalk, rejects[spec.slug])
         (paged if spec.paged else whole).append(rows)
 
-    counts, batches, stagings = [], [], []
+    counts, batches, stagings, refusals = [], [], [], []
+    stays = F.lit(True) if rejected is None else ~F.col("refused")
     for kind, frames in (("paged", paged), ("whole", whole)):
         if not frames:
             continue
         stagings.append(f"{kind}-" + "+".join(sorted(spec.slug for spec in sources if spec.paged == (kind == "paged"))))
         counts.append(Observation())
         runs = [F.min("run_id").alias("first_run"), F.max("run_id").alias("last_run")]
-        staged = target.stage(_union(frames), stagings[-1], counts[-1], [*call_metrics(), *runs])
+        staged = target.stage(_union(frames), stagings[-1], counts[-1], [*call_metrics(among=stays), *runs])
+        if rejected is not None:
+            refusals.append(staged.where(F.size("reasons") > 0).select(*REJECTED))
+            staged = staged.where(stays).select(*STORED_SCHEMA.names)
         span = {counts[-1].get["first_run"], counts[-1].get["last_run"]}
         # Within one run, a reply that is not paged has nothing to fold.
         one_batch = kind == "whole" and len(span) == 1
         batches.append(staged if one_batch else fold_pages(staged, KEYS, page_order(len(span))))
+    if refusals:
+        _union(refusals).write.mode("overwrite").parquet(_rejected_path(rejected, run_id))
     buckets = target.upsert(_union(batches))
     for staging in stagings:
         target.clear_staging(staging)
@@ -214,6 +251,16 @@ def run_all(
     )
 
 
+def _rejected_path(base: str, run_id: str) -> str:
+    return f"{base.rstrip('/')}/run={run_id}"
+
+
+def read_rejected(spark: SparkSession, base: str, run_id: str) -> DataFrame:
+    """The rows a run had something against: where they came from, ``reasons``, ``refused`` and what was ``sent``."""
+    schema = StructType([JUDGED_SCHEMA[name] for name in REJECTED])
+    return spark.read.schema(schema).parquet(_rejected_path(base, run_id))
+
+
 def run_to_warehouse(
     spec: SourceSpec,
     pages: DataFrame,

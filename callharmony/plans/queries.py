@@ -27,7 +27,7 @@ from callharmony.operators import (
     upsert,
 )
 from callharmony.operators.crosswalk import crosswalk_of, load_crosswalk
-from callharmony.plans.jobs import audit, fetch_pages, harmonize, run, run_all
+from callharmony.plans.jobs import audit, fetch_pages, harmonize, read_rejected, run, run_all
 from callharmony.schema import CALL_SCHEMA
 from callharmony.session import workspace
 from callharmony.sinks import CallTable, land_raw, land_raw_text
@@ -852,6 +852,27 @@ for _slug in SPECS:
     job(_slug)
 
 
+@query(
+    f"SELECT 'Phoenix, AZ' AS dataset, CAST({USER_ID} AS VARCHAR) AS call_id, event_id // 1000 AS page_seq, "
+    "CASE WHEN event_id % 50 = 1 THEN 'unreadable_time' ELSE 'out_of_range' END AS reasons, "
+    "event_id % 50 <> 1 AS refused, upper(event_type) AS sent_disposition FROM events "
+    f"WHERE event_id % 50 = 1 OR NOT {STAND_INS['arizona-phoenix'].where_sql}"
+)
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run had against its rows, kept beside the table."""
+    root, slug = workspace(spark, "rejected"), "arizona-phoenix"
+    calls = CallTable(spark, f"{root}/calls")
+    run(as_paged(slug), source_pages(spark, sf_dir, slug), load_crosswalk(spark), calls, run_id="r1", rejected=f"{root}/rejected")
+    return read_rejected(spark, f"{root}/rejected", "r1").select(
+        "dataset",
+        "call_id",
+        F.col("page_seq").cast("bigint").alias("page_seq"),
+        F.array_join("reasons", ",").alias("reasons"),
+        "refused",
+        F.get_json_object("sent", "$.DISPOSITION").alias("sent_disposition"),
+    )
+
+
 @query(
     "SELECT dataset, count(*) AS n, count(call_id) AS with_id, count(common_call_type) AS with_code FROM ("
     + " UNION ALL ".join(source_sql(slug) for slug in SPECS)

@@ -1,0 +1,103 @@
+"""Rows a run refuses or reads in part are kept with their reasons."""
+
+import json
+
+import pytest
+from bodies import datastore, features, pages, row_array
+
+from callharmony.operators import load_crosswalk
+from callharmony.plans import harmonize, judge, read_rejected, run, run_all
+from callharmony.sinks import CallTable
+from callharmony.sources import SPECS
+
+PHX, GNV, BTV = (SPECS[s] for s in ("arizona-phoenix", "florida-gainesville", "vermont-burlington"))
+
+
+def phoenix(spark):
+    def call(num, time, **more):
+        return {"INCIDENT_NUM": num, "CALL_RECEIVED": time, "FINAL_CALL_TYPE": "FIGHT", **more}
+
+    rows = [
+        call("good", "2021-05-01 10:00:00", alcohol_related=1),
+        call("no-time", None),
+        call("late", "2022-01-01 00:00:01"),
+        call("soon", "soon", drug_related="maybe"),
+        call("flag", "2021-05-01 10:00:00", dv_related="maybe"),
+        call(None, "1999-01-01 00:00:00", alcohol_related=[]),
+        {},
+    ]
+    return pages(spark, datastore(*rows, truncated=False), dataset=PHX.slug)
+
+
+WANT = {
+    "late": (["out_of_range"], True),
+    "soon": (["unreadable_time", "unreadable_flag"], False),
+    "flag": (["unreadable_flag"], False),
+    None: (["out_of_range", "unreadable_flag"], True),
+}
+
+
+def found(rows):
+    return {row["call_id"]: (row["reasons"], row["refused"]) for row in rows}
+
+
+def test_reasons(spark):
+    judged = judge(PHX, phoenix(spark), load_crosswalk(spark))
+    rows = judged.collect()
+    assert len(rows) == 7
+    assert found(row for row in rows if row["reasons"]) == WANT
+    sent = {row["call_id"]: row["sent"] for row in rows}
+    assert sent["good"] is None and sent["no-time"] is None
+    assert json.loads(sent["soon"]) == {
+        "INCIDENT_NUM": "soon", "CALL_RECEIVED": "soon", "FINAL_CALL_TYPE": "FIGHT", "drug_related": "maybe",
+    }
+    kept = harmonize(PHX, phoenix(spark), load_crosswalk(spark))
+    assert kept.count() + sum(row["refused"] for row in rows) == len(rows)
+
+
+def test_a_source_without_range_or_flags_has_only_times_to_refuse(spark):
+    wor = SPECS["massachusetts-worcester"]
+    body = features(
+        {"Incident_Number": "a", "Date_Logged": "2021-01-01", "Time_Logged": "25:99"},
+        {"Incident_Number": "b", "Date_Logged": "2021-01-01", "Time_Logged": None},
+    )
+    rows = judge(wor, pages(spark, body, dataset=wor.slug), load_crosswalk(spark)).collect()
+    assert found(rows) == {"a": (["unreadable_time"], False), "b": ([], False)}
+
+
+def test_run_keeps_them_beside_the_table(spark, tmp_path):
+    place, calls = f"{tmp_path}/rejected", CallTable(spark, f"{tmp_path}/calls")
+    plain = run(PHX, phoenix(spark), load_crosswalk(spark), CallTable(spark, f"{tmp_path}/plain"))
+    for _ in range(2):  # a repeated run replaces its own
+        report = run(PHX, phoenix(spark), load_crosswalk(spark), calls, run_id="x", rejected=place)
+    assert (report.records, report.null_keys, report.unmapped, report.time_rejects, report.out_of_range) == (
+        plain.records, plain.null_keys, plain.unmapped, plain.time_rejects, plain.out_of_range,
+    )
+    rows = read_rejected(spark, place, "x").collect()
+    assert found(rows) == WANT and len(rows) == len(WANT)
+    assert {(row["dataset"], row["run_id"], row["page_seq"]) for row in rows} == {(PHX.label, "r1", 0)}
+    assert {row["call_id"] for row in calls.read().collect()} == {"good", "no-time", "soon", "flag", None}
+
+
+def test_sources_of_both_kinds_and_none_rejected(spark, tmp_path):
+    gnv = pages(spark, row_array({"id": "g", "report_date": "2021-12-31T11:59:59.001"}), dataset=GNV.slug)
+    btv = pages(spark, features({"incident_number": "v", "call_time": "2021-05-01 10:00:00"}), dataset=BTV.slug)
+    calls, place = CallTable(spark, f"{tmp_path}/calls"), f"{tmp_path}/rejected"
+    run_all({GNV: gnv, BTV: btv}, load_crosswalk(spark), calls, run_id="x", rejected=place)
+    assert found(read_rejected(spark, place, "x").collect()) == {"g": (["out_of_range"], True)}
+    run(BTV, btv, load_crosswalk(spark), calls, run_id="x", rejected=place)
+    assert read_rejected(spark, place, "x").count() == 0
+
+
+def test_the_bodies_are_parsed_once(spark):
+    """The reasons and what was sent add no parse to that of the rows."""
+
+    def parses(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("from_json")
+
+    assert parses(judge(PHX, phoenix(spark), load_crosswalk(spark))) == parses(harmonize(PHX, phoenix(spark), load_crosswalk(spark)))
+
+
+def test_a_run_id_is_needed(spark, tmp_path):
+    with pytest.raises(ValueError, match="run_id"):
+        run(PHX, phoenix(spark), load_crosswalk(spark), CallTable(spark, f"{tmp_path}/calls"), rejected=f"{tmp_path}/r")
