@@ -50,6 +50,7 @@ from callharmony.sources import (
     read_row_array,
     read_row_lines,
     register_raw,
+    register_raw_runs,
     replace_run,
     unwrap,
 )
@@ -611,6 +612,19 @@ def raw_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(EVENT_FIELDS).json(path)
 
 
+@query(
+    "SELECT event_id, user_id, event_type, value, props, CASE WHEN event_id % 2 = 0 THEN 'r1' ELSE 'r2' END AS run_id "
+    "FROM events"
+)
+def raw_runs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two landed runs as one table of the catalog, split by run."""
+    rows, lake = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props"), workspace(spark, "lake")
+    for rest, run_id in enumerate(("r1", "r2")):
+        land_raw(rows.where(F.col("event_id") % 2 == rest), lake, "events", run_id)
+    register_raw_runs(spark, "callharmony_raw_runs", lake, "events", EVENT_FIELDS)
+    return spark.table("callharmony_raw_runs").select(*rows.columns, "run_id")
+
+
 # The jobs, on pages in each source's own shape
 
 

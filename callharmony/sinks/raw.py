@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def raw_source_path(base: str, slug: str) -> str:
+    return f"{base.rstrip('/')}/data/{slug}"
+
+
 def raw_path(base: str, slug: str, run_id: str) -> str:
-    return f"{base.rstrip('/')}/data/{slug}/run_id={run_id}"
+    return f"{raw_source_path(base, slug)}/run_id={run_id}"
 
 
 def land_raw(df: DataFrame, base: str, slug: str, run_id: str, mode: str = "append") -> str:

@@ -1,5 +1,5 @@
 from callharmony.sources.arrays import read_array_files
-from callharmony.sources.catalog import register_raw
+from callharmony.sources.catalog import recover_runs, register_raw, register_raw_runs
 from callharmony.sources.envelopes import (
     DATASTORE,
     FEATURES,
@@ -29,5 +29,5 @@ __all__ = [
     "DATASTORE", "FEATURES", "ROW_ARRAY", "Envelope", "SPECS", "SourceSpec", "TimeRange", "TimeRule",
     "land_pages", "observed_fields", "page_sizes", "parse_body", "parse_rows", "raw_rows",
     "read_array_files", "read_datastore_pages", "read_feature_pages", "read_page_files", "read_page_table",
-    "read_row_array", "read_row_lines", "register_raw", "replace_run", "stream_page_files", "unwrap",
+    "read_row_array", "read_row_lines", "recover_runs", "register_raw", "register_raw_runs", "replace_run", "stream_page_files", "unwrap",
 ]

@@ -48,7 +48,7 @@ def run_stream(
             raise IncompleteFetch(f"{bad} replies of batch {batch_id} have no rows")
         if lake is not None:
             rows = raw_rows(pages, spec.envelope)
-            land_raw_text(rows, lake, spec.slug, f"stream/batch={batch_id}", mode="overwrite")
+            land_raw_text(rows, lake, spec.slug, f"stream-{batch_id}", mode="overwrite")
         harmonize(spec, pages, crosswalk).write.mode("overwrite").parquet(f"{staged}/batch={batch_id}")
 
     pages = stream_page_files(target.spark, landing, spec.slug, files_per_batch)
