@@ -26,7 +26,8 @@ def register_raw_runs(spark: SparkSession, name: str, base: str, slug: str, sche
     """Make all raw rows of a source one table, with a text column ``run_id`` that is its partition.
 
     The catalog holds the runs' folders, so a read of one run lists and reads that folder only. Call
-    ``recover_runs`` after a new run has landed.
+    ``recover_runs`` after a new run has landed. Raw rows of streams lie a folder deeper and are not in it; read those
+    with ``register_raw``.
     """
     _create(spark, name, raw_source_path(base, slug), f"{schema}, run_id STRING", "PARTITIONED BY (run_id)")
     recover_runs(spark, name)
