@@ -1,9 +1,10 @@
 """Line dedup over content-defined chunks of lines.
 
-A rolling hash over the hashes of each line and the lines before it decides where chunks end, so boundaries depend
-on what stands nearby and not on how far the text's start is: after an insertion they fall into step again. Chunks
-of several lines that occur more than once, in one document or in many, are removed except for their first
-occurrence. Chunks are matched by a hash first; those that repeat are then compared byte by byte.
+A rolling hash runs over every two lines that follow each other, blank lines aside. A chunk is a longest run of lines
+whose windows all occur elsewhere as well, in one document or in many; its boundaries lie where the rolling hash stops
+being a repeated one. They depend on the chunk's own lines only, not on what stands before or after it nor on how
+far the text's start is, so no passage of two or more lines that occurred before is missed. Windows are matched by
+their hash first; those that repeat are then compared byte by byte.
 
 Only DataFrame and SQL functions run here.
 """
@@ -14,68 +15,77 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from callharmony.llm.tables import broadcast_if_small, column, written
 
-# A chunk ends after a line where the rolling hash of it and the line before is a multiple of the divisor.
-FACTOR, DIVISOR = 31, 3
-LEAST_LINES = 2
 
+def window_hash(above: str, below: str) -> Column:
+    """The hash of a line, rolled on by the next one."""
+    return F.xxhash64(above, below)
 
-def _chunked(keyed: DataFrame) -> DataFrame:
-    """``doc_id, text_key, text`` with ``lines`` and ``chunks``: arrays of lines that make up the text in order."""
-    line_hash = F.transform("lines", lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long"))
-    # One step per projection: an expression named inside a lambda would be computed for every element.
-    hashed = keyed.withColumn("lines", F.split("text", "\n", -1)).withColumn("hashes", line_hash)
-    count = F.size("lines")
 
-    def ends(i: Column) -> Column:
-        before = F.when(i > 0, F.get(F.col("hashes"), i - 1)).otherwise(F.lit(0))
-        return (F.get(F.col("hashes"), i) + FACTOR * before) % DIVISOR == 0
+def _lined(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with its ``lines`` and the places ``at`` of those that are not blank."""
+    lined = keyed.withColumn("lines", F.split("text", "\n", -1))
+    places = F.sequence(F.lit(0), F.size("lines") - 1)
+    return lined.withColumn("at", F.filter(places, lambda i: F.get(F.col("lines"), i).rlike(r"\S")))
 
-    last = F.filter(F.sequence(F.lit(0), count - 1), lambda i: (i == count - 1) | ends(i))
-    ended = hashed.withColumn("last", last)
 
-    def chunk(end: Column, i: Column) -> Column:
-        start = F.when(i > 0, F.get(F.col("last"), i - 1) + 1).otherwise(F.lit(0))
-        return F.slice(F.col("lines"), start + 1, end - start + 1)
-
-    return ended.withColumn("chunks", F.transform("last", chunk)).drop("hashes", "last")
+def _windows(keyed: DataFrame) -> DataFrame:
+    """``doc_id, text_key, window_no, window_hash, window``: lines that are not blank, each with the next one."""
+    lined = _lined(keyed).withColumn("body", F.transform("at", lambda i: F.get(F.col("lines"), i)))
+    below = F.slice("body", 2, F.greatest(F.size("body") - 1, F.lit(0)))
+    zipped = lined.select("doc_id", "text_key", F.arrays_zip(F.col("body").alias("above"), below.alias("below")).alias("zipped"))
+    # The outer form, since Spark derives a filter from the other one and moves it, inlined, to the scan.
+    exploded = zipped.select("doc_id", "text_key", F.posexplode_outer("zipped").alias("window_no", "pair"))
+    # The last line has none below it.
+    pairs = exploded.select("doc_id", "text_key", "window_no", "pair.above", "pair.below").where("below IS NOT NULL")
+    # No line holds a line break, so joined lines are told apart from all others.
+    both = F.concat("above", F.lit("\n"), "below")
+    return pairs.select("doc_id", "text_key", "window_no", window_hash("above", "below").alias("window_hash"), both.alias("window"))
 
 
 def _place() -> Column:
     """The order of occurrences: by id, nulls last, then text, then position."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "chunk_no")
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "window_no")
 
 
 def repeats(keyed: DataFrame) -> DataFrame:
-    """``doc_id, text_key, removed``: the numbers of the chunks that occurred before, for documents that have such."""
-    # The outer form, since Spark derives a filter from the other one and moves it, inlined, to the scan.
-    exploded = _chunked(keyed).select("doc_id", "text_key", F.posexplode_outer("chunks").alias("chunk_no", "chunk_lines"))
-    chunks = exploded.where(F.size("chunk_lines") >= LEAST_LINES).select(
-        "doc_id", "text_key", "chunk_no", F.array_join("chunk_lines", "\n").alias("chunk")
-    ).withColumn("chunk_hash", F.xxhash64("chunk"))
-    often = written(chunks.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk_hash"), "chunk-hashes")
-    found = written(chunks.join(broadcast_if_small(often, 100_000), "chunk_hash"), "chunks")
-    # Grouping by the chunk itself compares bytes, so chunks that only share a hash stay apart.
-    # Written, so that the join below has an exchange of its own, whose large partitions Spark can split.
-    firsts = found.groupBy("chunk_hash", "chunk").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = written(firsts.where("n > 1").drop("n"), "first-chunks")
-    again = found.join(first, ["chunk_hash", "chunk"]).where(~_place().eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id", "text_key").agg(F.collect_set("chunk_no").alias("removed"))
+    """``doc_id, text_key, again``: the numbers of the windows that occurred before, for documents that have such."""
+    windows = _windows(keyed)
+    often = written(windows.groupBy("window_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window_hash"), "window-hashes")
+    found = written(windows.join(broadcast_if_small(often, 100_000), "window_hash"), "windows")
+    # Grouping by the lines themselves compares bytes, so windows that only share a hash stay apart.
+    firsts = written(found.groupBy("window_hash", "window").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")), "first-windows")
+    # Where a hash has only one text, the hash says as much as the text and moves in its place.
+    shared = firsts.groupBy("window_hash").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    shared = broadcast_if_small(written(shared.select("window_hash", F.lit(True).alias("is_shared")), "shared-hashes"), 100_000)
+    told_by = F.when(F.col("is_shared"), F.col("window")).otherwise(F.lit(""))
+    first = firsts.where("n > 1").join(shared, "window_hash", "left").select("window_hash", told_by.alias("told_by"), "first")
+    found = found.join(shared, "window_hash", "left").select("doc_id", "text_key", "window_no", "window_hash", told_by.alias("told_by"))
+    # A line three times in a row is a window that overlaps its own first occurrence, not a second one.
+    same_text = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    is_first = same_text & (F.col("window_no") <= F.col("first.window_no") + 1)
+    again = found.join(first, ["window_hash", "told_by"]).where(~is_first)
+    return again.groupBy("doc_id", "text_key").agg(F.collect_set("window_no").alias("again"))
 
 
 def drop_repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row: ``doc_id``, the remaining ``text``, ``n_lines`` before and ``n_removed`` of them.
 
-    The first occurrence of a chunk, by id (nulls last), text and position, stays. A null text is an empty one, of
-    one line. Rows that share id and text are treated alike, so their texts stay equal. A text all of whose chunks
-    occurred before is empty.
+    A line goes if it and a neighbour, blank lines between them aside, occurred before as neighbours: by id (nulls
+    last), text and position, without overlap. Blank lines inside a removed chunk go with it. The first place of
+    each line stays, and so does a repeated line whose neighbours are others. A chunk whose first occurrence begins or
+    ends inside a repeat of another one loses the lines it shares with that there. A null text is an empty one, of one
+    line. Rows that share id and text are treated alike, so their texts stay equal. A text all of whose lines go is empty.
     """
     body = F.coalesce(column(docs, text), F.lit(""))
     keyed = docs.select(column(docs, doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_key"))
     gone = written(repeats(keyed), "repeats").withColumnsRenamed({"doc_id": "g_id", "text_key": "g_key"})
     same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key"))
     # Texts move once, whatever the number of repeats.
-    cut = _chunked(keyed.join(gone.hint("merge"), same, "left"))
-    kept_no = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.coalesce("removed", F.array().cast("array<int>")))
-    kept = cut.withColumn("kept_no", kept_no).withColumn("kept", F.flatten(F.transform("kept_no", lambda i: F.get(F.col("chunks"), i))))
+    cut = _lined(keyed.join(gone.hint("merge"), same, "left"))
+    at = F.col("at")
+    spans = F.transform("again", lambda k: F.sequence(F.get(at, k), F.get(at, k + 1)))
+    none = F.array().cast("array<int>")
+    kept_no = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce(F.flatten(spans), none))
+    kept = cut.withColumn("kept_no", kept_no).withColumn("kept", F.transform("kept_no", lambda i: F.get(F.col("lines"), i)))
     n_lines = F.size("lines").cast("long")
-    return kept.select("doc_id", F.array_join("kept", "\n").alias("text"), n_lines.alias("n_lines"), (n_lines - F.size("kept")).alias("n_removed"))
+    return kept.select("doc_id", F.array_join("kept", "\n").alias("text"), n_lines.alias("n_lines"), (n_lines - F.size("kept_no")).alias("n_removed"))

@@ -14,7 +14,6 @@ from callharmony.llm.langid import identify, learn
 from callharmony.llm.linechunks import drop_repeated_chunks
 from callharmony.llm.mixing import mix
 from callharmony.llm.packing import pack
-from callharmony.llm.passages import drop_repeated_passages
 from callharmony.llm.personal import find_personal
 from callharmony.llm.phrases import collocations
 from callharmony.llm.quality import quality
@@ -89,27 +88,7 @@ def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_chunks(documents(spark, sf_dir))
 
 
-ORACLES["op6_line_chunks"] = """
-WITH lines AS (SELECT doc_id, unnest(split) AS line, unnest(range(len(split))) AS i
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS split FROM documents)),
-hashed AS (SELECT *, ('0x' || md5(line)[1:8])::BIGINT AS h FROM lines),
-ends AS (SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS is_end FROM hashed),
-numbered AS (SELECT *, coalesce(sum(is_end::INT) OVER
-  (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ends),
-chunks AS (SELECT doc_id, c, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, c),
-marked AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY n >= 2, chunk ORDER BY doc_id, c) > 1 AS gone FROM chunks)
-SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (NOT gone), '') AS text,
-       sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed
-FROM marked GROUP BY doc_id
-"""
-
-
-@query
-def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_passages(documents(spark, sf_dir))
-
-
-ORACLES["repeated_passages"] = r"""
+ORACLES["op6_line_chunks"] = r"""
 WITH lines AS (SELECT doc_id, unnest(split) AS line, unnest(range(len(split))) AS i
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS split FROM documents)),
 filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM lines WHERE regexp_matches(line, '\S')),
