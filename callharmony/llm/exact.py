@@ -44,18 +44,21 @@ def heavy_digests(rows: DataFrame, digest: str) -> list[str]:
     return [row[0] for row in heavy.select("top.item").collect()]
 
 
-def winners(rows: DataFrame, digest: str, doc_id: str, heavy: list[str]) -> DataFrame:
-    """One row per heavy digest, from an exact count: which id stays and how many rows share the text."""
+def winners(rows: DataFrame, digest: str, doc_id: str, heavy: list[str], row_no: str) -> DataFrame:
+    """One row per heavy digest, from an exact count: which id and row stay and how many rows share the text."""
     names = rows.sparkSession.createDataFrame([(bytes.fromhex(h),) for h in heavy], "w_digest binary")
+    # Nulls are the least, so a row with an id comes before all without.
+    best = F.max(F.struct(F.col(f"`{doc_id}`").alias("w_keep"), F.col(f"`{row_no}`").alias("w_row")))
     return (
         rows.join(F.broadcast(names), column(rows, digest) == names.w_digest)
         .groupBy("w_digest")
-        .agg(F.max(F.col(f"`{doc_id}`")).alias("w_keep"), F.count(F.lit(1)).alias("w_size"))
+        .agg(best.alias("best"), F.count(F.lit(1)).alias("w_size"))
+        .select("w_digest", "best.*", "w_size")
     )
 
 
-def mark_copies(rows: DataFrame, won: DataFrame, digest: str, doc_id: str) -> DataFrame:
-    """``rows`` with ``keep_id``, ``group_size`` and ``kept`` (replaced where the names exist).
+def mark_tail(rows: DataFrame, won: DataFrame, digest: str, doc_id: str) -> DataFrame:
+    """Rows of no heavy digest with ``keep_id``, ``group_size`` and ``kept`` (replaced where the names exist).
 
     Of the rows with one digest that with the largest id is kept; nulls rank lowest. Where several rows share
     text *and* id, one of them is kept.
@@ -63,11 +66,10 @@ def mark_copies(rows: DataFrame, won: DataFrame, digest: str, doc_id: str) -> Da
     given = [name for name in rows.columns if name.lower() not in ("keep_id", "group_size", "kept")]
     rows = rows.select([column(rows, name) for name in given])
     row_no, ids, key = fresh(rows, "row_no"), F.col(f"`{doc_id}`"), F.col(f"`{digest}`")
-    same = column(rows, digest) == won.w_digest
     by_text = Window.partitionBy(key)
     ranked = by_text.orderBy(ids.desc_nulls_last())
-    tail = (
-        rows.join(F.broadcast(won), same, "left_anti")
+    return (
+        rows.join(F.broadcast(won), column(rows, digest) == won.w_digest, "left_anti")
         .withColumn(row_no, F.row_number().over(ranked))
         .select(
             *[F.col(f"`{name}`") for name in given],
@@ -76,15 +78,6 @@ def mark_copies(rows: DataFrame, won: DataFrame, digest: str, doc_id: str) -> Da
             (F.col(row_no) == 1).alias("kept"),
         )
     )
-    heavy = rows.join(F.broadcast(won), same)
-    outcome = [*[F.col(f"`{name}`") for name in given], F.col("w_keep").alias("keep_id"), F.col("w_size").alias("group_size")]
-    lost = heavy.where(~ids.eqNullSafe(F.col("w_keep"))).select(*outcome, F.lit(False).alias("kept"))
-    best = (
-        heavy.where(ids.eqNullSafe(F.col("w_keep")))
-        .withColumn(row_no, F.row_number().over(by_text.orderBy(ids)))
-        .select(*outcome, (F.col(row_no) == 1).alias("kept"))
-    )
-    return tail.unionByName(lost).unionByName(best)
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -93,17 +86,25 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     A null text is an empty text. An empty table gives no rows. Other columns play no part.
     """
     rows = docs.select(column(docs, doc_id).alias("doc_id"), digest_of(column(docs, text)).alias("digest"))
-    rows = written(rows, "digests")
-    won = winners(rows, "digest", "doc_id", heavy_digests(rows, "digest"))
-    marked = mark_copies(rows, won, "digest", "doc_id")
-    return marked.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+    # Numbered before they are written, so that a row's number stays what it is.
+    rows = written(rows.withColumn("row_no", F.monotonically_increasing_id()), "digests")
+    won = written(winners(rows, "digest", "doc_id", heavy_digests(rows, "digest"), "row_no"), "winners")
+    tail = mark_tail(rows.drop("row_no"), won, "digest", "doc_id")
+    heavy = rows.join(F.broadcast(won), rows.digest == won.w_digest)
+    heavy = heavy.select("doc_id", "digest", F.col("w_keep").alias("keep_id"), F.col("w_size").alias("group_size"), (F.col("row_no") == F.col("w_row")).alias("kept"))
+    return tail.unionByName(heavy).withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row for each distinct text, all columns as they were."""
     digest = fresh(docs, "digest")
     keyed = docs.withColumn(digest, digest_of(column(docs, text)))
-    slim = written(keyed.select(column(keyed, doc_id).alias("doc_id"), column(keyed, digest).alias("digest")), "digests")
-    won = winners(slim, "digest", "doc_id", heavy_digests(slim, "digest"))
-    first = keyed.select(F.struct(*[column(keyed, name) for name in docs.columns]).alias("row"), column(keyed, doc_id).alias("doc_id"), column(keyed, digest).alias("digest"))
-    return mark_copies(first, won, "digest", "doc_id").where("kept").select("row.*")
+    slim = written(keyed.select(column(keyed, doc_id).alias("doc_id"), column(keyed, digest).alias("digest"), F.lit(0).alias("row_no")), "digests")
+    won = written(winners(slim, "digest", "doc_id", heavy_digests(slim, "digest"), "row_no"), "winners")
+    whole = F.struct(*[column(keyed, name) for name in docs.columns]).alias("row")
+    first = keyed.select(whole, column(keyed, doc_id).alias("doc_id"), column(keyed, digest).alias("digest"))
+    tail = mark_tail(first, won, "digest", "doc_id").where("kept")
+    # Each task passes on one row of those that share a heavy text and the id that stays.
+    heavy = first.join(F.broadcast(won), first.digest == won.w_digest).where(F.col("doc_id").eqNullSafe(F.col("w_keep")))
+    best = heavy.groupBy("w_digest").agg(F.first("row").alias("row"))
+    return tail.select("row.*").unionByName(best.select("row.*"))

@@ -37,6 +37,19 @@ def test_heavy_groups_take_the_other_path_with_the_same_result(spark, monkeypatc
     assert both[0] == both[1] == expected(rows.collect())
 
 
+def test_a_third_of_the_rows_without_id_and_text(spark, conf):
+    """They are one heavy group, and no task of a window or join takes them in: nothing but the broadcast names them."""
+    rows = spark.range(3000).selectExpr("nullif(id % 3, 0) * id AS doc_id", "CASE WHEN id % 3 > 0 THEN concat('t', id % 700) END AS text")
+    assert found(exact.exact_dedup(rows)) == expected(rows.collect())
+    left = exact.drop_copies(rows).collect()
+    assert sorted(row["text"] or "" for row in left) == sorted({row["text"] or "" for row in rows.collect()})
+    digests = rows.selectExpr("doc_id", "unhex(sha2(coalesce(text, ''), 256)) AS digest", "monotonically_increasing_id() AS row_no")
+    won = exact.winners(digests, "digest", "doc_id", exact.heavy_digests(digests, "digest"), "row_no")
+    hot = won.where("w_digest = unhex(sha2('', 256))").collect()
+    assert [(row["w_keep"], row["w_size"]) for row in hot] == [(None, 1000)]
+    assert exact.mark_tail(digests, won, "digest", "doc_id").where("doc_id IS NULL").count() == 0
+
+
 def test_every_heavy_digest_is_named(spark):
     rows = spark.range(5000).selectExpr("id AS doc_id", "unhex(sha2(CASE WHEN id % 4 = 0 THEN 'x' ELSE cast(id AS string) END, 256)) AS digest")
     assert hashlib.sha256(b"x").hexdigest().upper() in exact.heavy_digests(rows, "digest")
