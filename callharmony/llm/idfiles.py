@@ -137,7 +137,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = WORD_BPE, end_id: i
     """Encode every whole text, end it with ``end_id`` and write id files below ``folder``; returns the manifest.
 
     A null text is an empty one. Documents without an id come first; rows that share an id stand in the order
-    of their texts; all rows are written. An empty table gives a manifest without files.
+    of a hash of their texts, over as many files as they need; all rows are written. An empty table gives a manifest without files.
     """
     rows = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), F.coalesce(column(docs, text), F.lit("")).alias("text"))
     dictionary = _sample_dictionary(rows, tokenizer, end_id)
@@ -156,7 +156,10 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = WORD_BPE, end_id: i
 
     store, place = fs.FileSystem.from_uri(folder)
     store.create_dir(place, recursive=True)
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    by_id, text_key, row_no = F.col("doc_id").asc_nulls_first(), F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("row_no")
+    # The last two keys split the rows that share an id, or are equal, between ranges.
+    keyed = rows.select("doc_id", "text", text_key, row_no).repartitionByRange(by_id, "text_key", "row_no")
+    ordered = keyed.sortWithinPartitions(by_id, "text_key", "text").select("doc_id", "text")
     files, before = [], 0
     for row in sorted(ordered.mapInArrow(write, "name string, docs long, ids long").collect()):
         files.append({"name": row["name"], "docs": row["docs"], "ids": row["ids"], "start": before})

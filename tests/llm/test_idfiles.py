@@ -53,3 +53,14 @@ def test_odd_rows(odd, empty):
     assert [row["start"] for row in rows] == [sum(r["n_tokens"] for r in rows[:i]) for i in range(len(rows))]
     assert {row["n_tokens"] for row in rows if row["doc_id"] in (3, 4, 5)} == {1}
     assert idfiles.id_files(empty).count() == 0
+
+
+def test_rows_that_share_an_id_are_split_between_files(spark, conf):
+    """Half of the rows have no id, and half of these no text either."""
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="8")
+    docs = spark.range(4000).selectExpr("nullif(id % 2, 0) * id AS doc_id", "CASE WHEN id % 4 > 0 THEN concat('text ', id) END AS text")
+    folder = workspace(spark, "ids")
+    manifest = idfiles.write_ids(docs, folder)
+    assert sum(file["docs"] for file in manifest["files"]) == 4000 and max(file["docs"] for file in manifest["files"]) < 1000
+    ids = [row["doc_id"] for row in idfiles.read_ids(spark, folder).orderBy("start").collect()]
+    assert ids == [None] * 2000 + list(range(1, 4000, 2))
