@@ -106,4 +106,7 @@ def mix(
     copies = counted.select(*[F.col(f"`{name}`") for name in given], F.col(key), numbers).where("copy IS NOT NULL")
     place = unit(F.concat(F.lit(f"{seed}:place:"), F.col(key), F.lit(":"), F.col("copy").cast("string")))
     placed = copies.select(*[F.col(f"`{name}`") for name in given], "copy", place.alias("place"))
-    return placed.repartitionByRange("place").sortWithinPartitions("place")
+    # Copies of rows that share the key share their places; a number of their own splits them between ranges.
+    row_no = fresh(placed, "row_no")
+    spread = placed.withColumn(row_no, F.monotonically_increasing_id()).repartitionByRange("place", row_no)
+    return spread.sortWithinPartitions("place").drop(row_no)

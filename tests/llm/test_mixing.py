@@ -3,6 +3,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from callharmony.llm import mixing
 
@@ -76,3 +77,12 @@ def test_weights_that_are_none(spark, weight):
 def test_the_count_is_not_computed_again_for_a_filter(spark):
     plan = mixing.mix(sources(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1
+
+
+def test_rows_that_share_the_key_are_split_between_ranges(spark, conf):
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="8")
+    rows = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'same text' AS text", "'a' AS source")
+    out = mixing.mix(rows, budget=4.0)
+    sizes = [row["count"] for row in out.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert sum(sizes) % 3000 == 0 and max(sizes) <= sum(sizes) / 4
+    assert [row["place"] for row in out.collect()] == sorted(row["place"] for row in out.collect())
