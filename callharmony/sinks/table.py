@@ -22,7 +22,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from callharmony.operators.project import conform
 from callharmony.operators.upsert import delete_matching, empty_like, fold_pages, has_null_key
 from callharmony.schema import CALL_SCHEMA, KEYS, ORDER
-from callharmony.session import input_bytes, store_of, workspace
+from callharmony.session import TASK_ROWS, dealt_by_rows, folders_side_by_side, input_bytes, store_of, workspace
 
 # A stored row also knows its page, so that pages may be added in any order.
 STORED_SCHEMA = StructType([*CALL_SCHEMA.fields, StructField("run_id", StringType()), StructField("page_seq", IntegerType())])
@@ -138,12 +138,14 @@ class CallTable:
             return len({file.rpartition("/")[0] for file in self._stored().inputFiles()})
         path, seen = workspace(self.spark, "batch"), Observation()
         # The batch is computed once, and its buckets are told by the write: at most those of the table.
-        placed.observe(seen, F.collect_set(F.struct(*PLACE)).alias("places")).write.parquet(path)
+        told = placed.observe(seen, F.collect_set(F.struct(*PLACE)).alias("places"), F.count(F.lit(1)).alias("rows"))
+        told.write.option("maxRecordsPerFile", TASK_ROWS).parquet(path)
         if not seen.get["places"]:
             return 0
         rows = self.spark.read.schema(BUCKET_SCHEMA).parquet(path)
-        merged = merge(self._stored().where(_in_places(seen.get["places"])), rows)
-        self._write(merged, f"{self.path}/merged")
+        target = self._stored().where(_in_places(seen.get["places"]))
+        with dealt_by_rows(self.spark, target.count() + seen.get["rows"]):  # a count reads no rows
+            self._write(merge(target, rows), f"{self.path}/merged")
         self._swap()
         return len(seen.get["places"])
 
@@ -154,11 +156,11 @@ class CallTable:
         rename = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         context.rename(dealt, store_of(self.spark, f"{self.path}/buckets={buckets}")[1], rename)
 
-    @staticmethod
-    def _write(rows: DataFrame, path: str) -> None:
+    def _write(self, rows: DataFrame, path: str) -> None:
         # A bucket in which one key has many rows is split by Spark, small ones share a task.
         split = rows.select(*BUCKET_SCHEMA.names).hint("rebalance", *PLACE)
-        split.write.mode("overwrite").partitionBy(*PLACE).parquet(path)
+        with folders_side_by_side(self.spark):
+            split.write.mode("overwrite").partitionBy(*PLACE).parquet(path)
 
     @staticmethod
     def _placed(rows: DataFrame, buckets: int) -> DataFrame:
@@ -173,7 +175,8 @@ class CallTable:
         """Put the merged buckets in the place of the old ones; their files are written anew, so this can be repeated."""
         merged = self.spark.read.schema(BUCKET_SCHEMA).parquet(f"{self.path}/merged")
         writer = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE)
-        writer.parquet(f"{self.path}/buckets={self.buckets}")
+        with folders_side_by_side(self.spark):
+            writer.parquet(f"{self.path}/buckets={self.buckets}")
         context, path = store_of(self.spark, f"{self.path}/merged")
         context.delete(path, True)
 

@@ -3,8 +3,9 @@ from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
+from callharmony import session
 from callharmony.operators import conform
 from callharmony.schema import CALL_SCHEMA
 from callharmony.sinks import CallTable, table
@@ -205,3 +206,32 @@ def test_a_key_with_a_third_of_the_rows(spark, calls):
         calls.upsert(conform(batch, STORED_SCHEMA))
     counts = calls.read().groupBy(F.col("call_id") == "hot").count().collect()
     assert {row[0]: row[1] for row in counts} == {True: 20_000, False: 40_000}
+
+
+def test_buckets_are_written_without_a_sort(spark, calls, conf, monkeypatch):
+    """Also in a session with Spark's own setting, which sorts every task's rows by their folders first."""
+    conf(spark__sql__maxConcurrentOutputFileWriters="0")
+    parquet, open_at_once = DataFrameWriter.parquet, []
+
+    def spy(self, path, *args, **kwargs):
+        if "buckets=" in path or path.endswith(("/dealt", "/merged")):
+            open_at_once.append(int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+        return parquet(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    for kind in ("x", "y"):
+        calls.upsert(rows(spark, *[(d, str(i), kind) for d in (A, B) for i in range(50)]))
+    assert len(open_at_once) == 3 and min(open_at_once) >= 2 * calls.buckets
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert bag(calls.read()) == Counter((d, str(i), "y") for d in (A, B) for i in range(50))
+
+
+def test_rows_that_are_small_on_disk_are_dealt_by_their_number(spark, calls, monkeypatch):
+    """A million rows without values take little on disk and much in a sort, so bytes alone would put them in few tasks."""
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    name, write, set_then = "spark.sql.adaptive.coalescePartitions.minPartitionNum", CallTable._write, []
+    monkeypatch.setattr(CallTable, "_write", lambda self, *args: (set_then.append(spark.conf.get(name, None)), write(self, *args))[1])
+    for kind in ("x", "y"):
+        calls.upsert(rows(spark, *[(A, str(i), kind) for i in range(900)]))
+    assert set_then == [None, "18"] and spark.conf.get(name, None) is None
+    assert bag(calls.read()) == Counter((A, str(i), "y") for i in range(900))
