@@ -24,10 +24,14 @@ from callharmony.sources.paged import Fetch, body_rows
 from callharmony.sources.specs import SourceSpec
 
 LANDED = "low long, high long, page int, body string, n long, upto long, whole boolean, error string"
+# A row that is a page; told by the error, since that opens no bodies.
+READ = "error IS NULL"
 # Rows asked for at once; services grant as many or fewer.
 REQUEST_ROWS = 50_000
 # What a range of keys with more pages than planned is split into.
 SPLIT = 4
+# Planned rows that a task reads, of as many ranges as they make; and tasks a core, which come before that.
+TASK_ROWS, TASKS_A_CORE = 16 * REQUEST_ROWS, 4
 
 
 @dataclass(frozen=True)
@@ -97,10 +101,15 @@ def _read(spec: SourceSpec, part: Range, fetch: Fetch, patience: Patience, by_ke
         row["page"] += 1
 
 
+def task_count(ranges: int, rows: int, cores: int) -> int:
+    """Tasks for so many ranges of about ``rows`` rows: one each while all cores are not busy, then small ones share a task."""
+    return min(ranges, max(-(-ranges // max(1, TASK_ROWS // max(1, rows))), TASKS_A_CORE * cores))
+
+
 def read_ranges(
     spark: SparkSession, spec: SourceSpec, parts: list[Range], fetch: Fetch, patience: Patience, by_key: bool, pages: int
 ) -> DataFrame:
-    """``LANDED`` rows of the given ranges, each read by a task of its own."""
+    """``LANDED`` rows of the given ranges. Small ranges share a task and its file; each still fails on its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
@@ -111,7 +120,8 @@ def read_ranges(
                 for row in _read(spec, Range(low, high), fetch, patience, by_key, pages):
                     yield pa.RecordBatch.from_pylist([row], schema)
 
-    rows = spark.createDataFrame([(part.low, part.high) for part in parts], "low long, high long").repartition(len(parts))
+    tasks = task_count(len(parts), pages * (spec.page_size or REQUEST_ROWS), spark.sparkContext.defaultParallelism)
+    rows = spark.createDataFrame([(part.low, part.high) for part in parts], "low long, high long").repartition(tasks)
     # The package travels with the function, which is pickled here, so executors need no copy of it.
     cloudpickle.register_pickle_by_value(callharmony)
     try:
@@ -171,22 +181,24 @@ def fetch_ranges(
     else:
         spark.createDataFrame([(part.low, part.high) for part in parts], "low long, high long").coalesce(1).write.mode("overwrite").parquet(f"{place}/plan")
     folders = context.util().listStatus(store_of(spark, place)[1])
-    done = sorted(status.getPath().getName() for status in folders if status.getPath().getName().startswith("round="))
-    idle = 0
-    for number in range(len(done), len(done) + rounds + 1):
-        landed = spark.read.schema(LANDED + ", round int").option("basePath", place).parquet(*[f"{place}/round={i}" for i in range(number)]) if number else None
-        left = sorted(_left(landed, parts, by_key, pages, number), key=lambda part: part.low)
-        if not left:
-            break
-        if number == len(done) + rounds or idle == 2:
-            error = landed.where("error IS NOT NULL").agg(F.max_by("error", "round")).first()[0]
+    begun = rounds_done = sum(status.getPath().getName().startswith("round=") for status in folders)
+    left, idle = parts, 0
+    for number in range(begun):  # each round's ranges follow from those before
+        left = unfinished(_round(spark, place, number), left, by_key, pages)
+    while left:
+        number = rounds_done
+        if number == begun + rounds or idle == 2:
+            error = _rounds(spark, place, number).where("error IS NOT NULL").agg(F.max_by("error", "round")).first()[0]
             raise ConnectionError(f"{spec.slug}: {len(left)} of the planned ranges are not whole; {error}")
         # A round that was lost on its way left a folder without its pages, which this one takes the place of.
+        left = sorted(left, key=lambda part: part.low)
         read_ranges(spark, spec, left, fetch, patience, by_key, pages).write.mode("overwrite").parquet(f"{place}/round={number}")
-        got = spark.read.schema(LANDED).parquet(f"{place}/round={number}").where("body IS NOT NULL").limit(1).count()
+        rounds_done += 1
+        got = _round(spark, place, number).where(READ).limit(1).count()
         idle = 0 if got else idle + 1
+        left = unfinished(_round(spark, place, number), left, by_key, pages)
     # An empty page ends a range; only of a service without any rows it is kept.
-    found = landed.where("body IS NOT NULL")
+    found = _rounds(spark, place, rounds_done).where(READ)
     found = found.where("n > 0") if found.where("n > 0").limit(1).count() else found.orderBy("low").limit(1)
     counts = found.groupBy("low", "round").agg(F.count(F.lit(1)).alias("count"))
     before = Window.orderBy("low", "round").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
@@ -196,9 +208,9 @@ def fetch_ranges(
     return found.join(first, ["low", "round"]).select(page_seq.alias("page_seq"), "body", "n", (page_seq < last).alias("more"))
 
 
-def _left(landed: DataFrame | None, parts: list[Range], by_key: bool, pages: int, rounds: int) -> list[Range]:
-    """What is left after each round in turn, since each round's ranges follow from those before."""
-    left = parts
-    for number in range(rounds):
-        left = unfinished(landed.where(F.col("round") == number), left, by_key, pages)
-    return left
+def _round(spark: SparkSession, place: str, number: int) -> DataFrame:
+    return spark.read.schema(LANDED).parquet(f"{place}/round={number}")
+
+
+def _rounds(spark: SparkSession, place: str, rounds: int) -> DataFrame:
+    return spark.read.schema(LANDED + ", round int").option("basePath", place).parquet(*[f"{place}/round={i}" for i in range(rounds)])

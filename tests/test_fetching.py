@@ -164,3 +164,41 @@ def test_shipped_specs_are_read_in_many_requests(spark, tmp_path, slug):
     pages = fetch_pages(spark, SPECS[slug], str(tmp_path / "pages"), "r1", fetch, pages_per_task=1)
     assert pages.count() == 3 and len(pages.inputFiles()) == 3
     assert all(row["complete"] for row in audit(SPECS[slug], pages).collect())
+
+
+def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    """A task and a file for each of thousands of small ranges cost more than the pages in them."""
+    written, read = [], fetching.read_ranges
+
+    def spy(spark, spec, parts, *args):
+        found = read(spark, spec, parts, *args)
+        written.append((len(parts), found.rdd.getNumPartitions()))
+        return found
+
+    monkeypatch.setattr(fetching, "read_ranges", spy)
+    pages = fetch_pages(spark, replace(BTV, page_size=1), str(tmp_path / "pages"), "r1", by_offset(tmp_path / "log", fails=(30, 70)), pages_per_task=1, patience=QUICK)
+    assert ids(pages) == [str(i) for i in range(95)]
+    assert Counter(asked(tmp_path / "log")) == {str(i): 2 if i in (30, 70) else 1 for i in range(96)}
+    assert written == [(95, fetching.TASKS_A_CORE * spark.sparkContext.defaultParallelism), (2, 2)]
+
+
+def test_rounds_are_judged_once_each(spark, tmp_path, monkeypatch):
+    calls, unfinished = [], fetching.unfinished
+    monkeypatch.setattr(fetching, "unfinished", lambda *args: calls.append(1) or unfinished(*args))
+    fails = [0, 1, 2]
+
+    def fetch(request):
+        if "returnCountOnly" not in request.params and not (tmp_path / f"asked-{request.offset}").exists():
+            (tmp_path / f"asked-{request.offset}").touch()
+            if request.offset in fails:
+                raise OSError("lost")
+        return by_offset(tmp_path / "log", total=3)(request)
+
+    pages = fetch_pages(spark, replace(BTV, page_size=1), str(tmp_path / "pages"), "r1", fetch, pages_per_task=3, patience=QUICK)
+    assert ids(pages) == ["0", "1", "2"] and len(calls) == 4  # one for each round, not one more in each
+
+
+def test_tasks_for_ranges():
+    assert fetching.task_count(3, 800_000, 4) == fetching.task_count(3, 10, 4) == 3
+    assert fetching.task_count(1_000, 800_000, 4) == 1_000
+    assert fetching.task_count(18_000, 2_000, 12) == 48 and fetching.task_count(1_000_000, 2_000, 12) == 2_500
