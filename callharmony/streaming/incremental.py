@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callharmony.operators.audit import page_audit
@@ -10,10 +10,13 @@ from callharmony.plans.jobs import IncompleteFetch, harmonize
 from callharmony.session import store_of
 from callharmony.sinks.raw import land_raw_text
 from callharmony.sinks.table import STORED_SCHEMA, CallTable
-from callharmony.sources.envelopes import page_sizes, raw_rows
+from callharmony.sources.envelopes import PAGE_COLUMNS, page_sizes, raw_rows
 from callharmony.sources.landed import stream_page_files
 from callharmony.sources.specs import SourceSpec
 
+# A page as it is staged.
+SIZED_SCHEMA = "dataset string, run_id string, page_seq int, body string, n bigint, has_rows boolean, truncated boolean, batch bigint"
+
 
 def run_stream(
     spec: SourceSpec,
@@ -27,29 +30,30 @@ def run_stream(
 ) -> StreamingQuery:
     """Take up every page that has landed since the last call, then stop.
 
-    Each batch stages its rows below the checkpoint, in a folder of its own, which a replay
-    overwrites; its raw rows likewise. When no page is left, what was staged goes into the table
-    in one upsert. Rows carry their run and page number, so the result does not depend on the order
-    in which files arrive, and pages that are added twice, after a crash, count once. A reply without
-    rows stops the stream before its batch is staged, unless it is allowed.
+    Each batch stages its pages and their sizes below the checkpoint in one write, in a folder of its own, which
+    a replay overwrites; its raw rows likewise. When no page is left, what was staged is harmonized at once and goes
+    into the table in one upsert, so a batch costs little beside its own files. Rows carry their run and page number,
+    so the result does not depend on the order in which files arrive, and pages that are added twice, after a crash,
+    count once. A batch with a reply without rows stops the stream and is not kept, unless it is allowed.
 
     Page counts are kept below the checkpoint. When no page is left, the runs taken up so far
     are audited by them, and incomplete ones raise ``IncompleteFetch``, unless allowed: their
     rows are in the table, and a later call takes up what is missing. A checkpoint from before
     counts were kept lacks those of its first pages.
     """
-    counts, staged = f"{checkpoint}/page-counts", f"{checkpoint}/rows"
+    staged = f"{checkpoint}/pages"
 
     def add(pages: DataFrame, batch_id: int) -> None:
-        path = f"{counts}/batch={batch_id}"
-        page_sizes(pages, spec.envelope).write.mode("overwrite").parquet(path)
-        bad = 0 if allow_incomplete else pages.sparkSession.read.parquet(path).where("NOT has_rows").count()
-        if bad:
-            raise IncompleteFetch(f"{bad} replies of batch {batch_id} have no rows")
+        path, seen = f"{staged}/batch={batch_id}", Observation()
+        sized = page_sizes(pages, spec.envelope, [*PAGE_COLUMNS, "body"])
+        sized.observe(seen, F.count_if(~F.col("has_rows")).alias("bad")).write.mode("overwrite").parquet(path)
+        if seen.get["bad"] and not allow_incomplete:
+            context, folder = store_of(pages.sparkSession, path)
+            context.delete(folder, True)
+            raise IncompleteFetch(f"{seen.get['bad']} replies of batch {batch_id} have no rows")
         if lake is not None:
             rows = raw_rows(pages, spec.envelope)
             land_raw_text(rows, lake, spec.slug, f"stream/batch={batch_id}", mode="overwrite")
-        harmonize(spec, pages, crosswalk).write.mode("overwrite").parquet(f"{staged}/batch={batch_id}")
 
     pages = stream_page_files(target.spark, landing, spec.slug, files_per_batch)
     query = (
@@ -61,17 +65,28 @@ def run_stream(
     try:
         query.awaitTermination()
     finally:
-        _add_staged(target, staged)  # also what was staged before a batch failed
+        _add_staged(spec, crosswalk, target, checkpoint)  # also what was staged before a batch failed
     if not allow_incomplete:
-        _refuse_incomplete(spec, target, counts)
+        _refuse_incomplete(spec, target, f"{checkpoint}/page-counts")
     return query
 
 
-def _add_staged(target: CallTable, staged: str) -> None:
-    context, path = store_of(target.spark, staged)
-    if context.util().exists(path):
-        target.add_pages(target.spark.read.schema(STORED_SCHEMA).parquet(staged))
-        context.delete(path, True)
+def _add_staged(spec: SourceSpec, crosswalk: DataFrame, target: CallTable, checkpoint: str) -> None:
+    """Keep the counts of all staged pages, by batch, and add their rows; what broke off can be repeated."""
+    spark = target.spark
+    context, pages = store_of(spark, f"{checkpoint}/pages")
+    _, rows = store_of(spark, f"{checkpoint}/rows")
+    if context.util().exists(pages):
+        found = spark.read.schema(SIZED_SCHEMA).parquet(f"{checkpoint}/pages")
+        sizes = found.drop("body").repartition("batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        sizes.partitionBy("batch").parquet(f"{checkpoint}/page-counts")
+        # Folding reads its rows twice, so they are written once. A checkpoint of before may hold rows of its batches.
+        harmonize(spec, found, crosswalk).write.mode("overwrite").parquet(f"{checkpoint}/rows/batch=-1")
+    if context.util().exists(rows):
+        target.add_pages(spark.read.schema(STORED_SCHEMA).parquet(f"{checkpoint}/rows"))
+        context.delete(rows, True)
+    if context.util().exists(pages):
+        context.delete(pages, True)
 
 
 def _refuse_incomplete(spec: SourceSpec, target: CallTable, counts: str) -> None:
